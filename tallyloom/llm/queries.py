@@ -21,9 +21,30 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 3) = 1"
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(F.expr(f"NOT ({HELD_OUT})")))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op7_language_id": op7_language_id,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from tallyloom.session import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +27,15 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARDS = 40
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import sharding
+
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
+
+
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 3) = 1"
 
 
@@ -66,7 +81,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op6_sharding": op6_sharding,
         "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op10_quality_rules": op10_quality_rules,

@@ -27,6 +27,13 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.learn_patterns(docs))
+
+
 SHARDS = 40
 
 
@@ -83,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op5_personal_data": op5_personal_data,
         "op6_sharding": op6_sharding,
         "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,

@@ -27,6 +27,27 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP3_SQL = """
+WITH z AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, v AS qv FROM z WHERE vec_id % 20 = 0),
+s AS (
+  SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q JOIN z ON vec_id <> query_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import pii
 
@@ -90,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_exact_top_k": op3_exact_top_k,
         "op5_personal_data": op5_personal_data,
         "op6_sharding": op6_sharding,
         "op7_language_id": op7_language_id,
@@ -99,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op8_line_dedup": OP8_SQL}

@@ -1,19 +1,60 @@
-"""The corpus pipeline: stages applied to `documents`, each one's output written as
-Parquet and reread as the next one's input."""
+"""The corpus pipeline: five stages applied to `documents`, each one's output written as
+Parquet and reread as the next one's input. Every stage but the last returns the columns
+of documents; the last returns the packing of what is left."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyloom.llm import linededup, neardup, packing, pii, quality
 from tallyloom.session import materialize, table
 
-STAGES: list = []
 
+def _resized(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.filter_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; a document that loses all of them stays, empty."""
+    return _resized(linededup.deduplicated(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return neardup.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become placeholders."""
+    return _resized(pii.redact(docs, pii.learn_patterns(docs)))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in bins of training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Quality rules, near duplicates and packing are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

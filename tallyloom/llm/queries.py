@@ -48,6 +48,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import pii
 
@@ -112,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_exact_top_k": op3_exact_top_k,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_personal_data": op5_personal_data,
         "op6_sharding": op6_sharding,
         "op7_language_id": op7_language_id,

@@ -106,6 +106,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import substring
+
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import quality
 
@@ -123,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
+        "op9_repeated_substrings": op9_repeated_substrings,
         "op10_quality_rules": op10_quality_rules,
     }
 

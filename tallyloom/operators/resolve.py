@@ -66,8 +66,10 @@ def _batch_ref() -> Column:
     return F.coalesce(F.try_element_at("attrs", F.lit("batch_ref")), F.lit(""))
 
 
-def _mark_isolated(legs: DataFrame) -> DataFrame:
+def _mark_isolated(legs: DataFrame, rules: Rules) -> DataFrame:
     """legs with `alone`: whether the leg's reference group can be settled on its own."""
+    if not rules.t3_require_batch_hint:
+        return legs.withColumn("alone", F.lit(False))
     by_amount = legs.groupBy(*WINDOW_KEY, "amount_minor").agg((F.min("txn_ref") == F.max("txn_ref")).alias("_one"))
     batches = legs.select(_batch_ref().alias("txn_ref")).where("txn_ref <> ''").distinct().withColumn("_named", F.lit(True))
     marked = legs.join(by_amount, [*WINDOW_KEY, "amount_minor"]).join(batches, "txn_ref", "left")
@@ -94,7 +96,7 @@ def _components(legs: DataFrame, rules: Rules) -> DataFrame:
     """legs with `component`."""
     if not rules.t3_require_batch_hint:
         # Whole windows belong together, and windows that share a reference.
-        keys = F.array(F.struct(F.lit("r").alias("k"), F.col("txn_ref").alias("v")), F.struct(F.lit("w"), F.to_json(F.struct(*WINDOW_KEY))))
+        keys = F.array(F.struct(F.lit("r").alias("k"), F.col("txn_ref").alias("v")), F.struct(F.lit("w").alias("k"), F.to_json(F.struct(*WINDOW_KEY)).alias("v")))
     else:
         window = F.to_json(F.struct(*WINDOW_KEY))
         joint = lambda kind, value: F.struct(F.lit(kind).alias("k"), F.concat_ws("\0", window, value).alias("v"))
@@ -107,7 +109,7 @@ def _components(legs: DataFrame, rules: Rules) -> DataFrame:
     return legs.join(found, "id")
 
 
-def _neighbours(new: DataFrame, state: State) -> DataFrame:
+def _neighbours(new: DataFrame, state: State, rules: Rules) -> DataFrame:
     """Legs of the state that new legs can meet, with the state of their breaks: any with
     the same reference; open ones with the same amount or batch; and any that share a
     reference with those."""
@@ -121,6 +123,8 @@ def _neighbours(new: DataFrame, state: State) -> DataFrame:
         .union(near.join(new.select(*WINDOW_KEY, "amount_minor").distinct(), [*WINDOW_KEY, "amount_minor"], "left_semi").select("txn_ref"))
         .union(own.join(batch, [*WINDOW_KEY, "_v"], "left_semi").select("txn_ref"))
     ).distinct()
+    if not rules.t3_require_batch_hint:
+        refs = refs.union(near.join(new.select(*WINDOW_KEY).distinct(), WINDOW_KEY, "left_semi").select("txn_ref")).distinct()
     found = held.join(refs, "txn_ref", "left_semi")
     info = state.breaks.select(F.col("id").alias("break_id"), (F.col("status") == "open").alias("break_open"), F.size("leg_ids").alias("break_n"))
     return found.join(info, "break_id", "left").select(*LEG_COLUMNS, F.lit(False).alias("is_new"), "break_open", "break_n")
@@ -145,9 +149,9 @@ def ingest(new: DataFrame, state: State, rules: Rules, now: Column, classifier:
     again = again.unionByName(fresh.join(known, "id", "left_semi").select(again.columns))
     fresh = fresh.join(known, "id", "left_anti").select(LEG_COLUMNS)
 
-    held = _neighbours(fresh, state)
+    held = _neighbours(fresh, state, rules)
     legs = fresh.select("*", F.lit(True).alias("is_new"), F.lit(None).cast("boolean").alias("break_open"), F.lit(None).cast("int").alias("break_n")).unionByName(held)
-    marked = materialize(_mark_isolated(legs), "legs")
+    marked = materialize(_mark_isolated(legs, rules), "legs")
     apart = materialize(_settle_isolated(marked.where("alone"), rules), "isolated")
     rest = marked.where("NOT alone").drop("alone")
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +159,9 @@ def assign(docs: DataFrame, shards: int, seed: int = 1, key: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 1, key: str = "doc_id", text: str = "text") -> None:
-    """The rows of docs, joined with their shards and written to path/shard=N, each shard's
-    files in slot order. The key must be unique."""
-    placed = assign(docs, shards, seed, key, text).select(F.col(key).alias("_k"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    full = docs.join(placed, F.col(key) == F.col("_k")).drop("_k").withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+    """The rows of docs with their shard and slot (columns of these names are replaced),
+    written to path/shard=N, each shard's files in slot order. The key must be unique."""
+    docs = docs.drop("shard", "slot")
+    placed = assign(docs, shards, seed, key, text).select(F.col(key).alias("_k"), "shard", "slot")
+    full = docs.join(placed, docs[key] == placed["_k"]).select(docs["*"], placed["shard"], placed["slot"])
     full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

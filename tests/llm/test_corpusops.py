@@ -97,7 +97,7 @@ def test_pruning_changes_nothing():
     big = np.full((2, 4), 2**28)
     assert next(iter(topk.search_group(np.array([9]), big[:1], np.array([1, 2]), big, 5)))[2].tolist() == [4 * 2**56] * 2
     with pytest.raises(OverflowError):
-        list(topk.search_group(np.array([9]), big[:1] * 8, np.array([1]), big[:1], 5))
+        list(topk.search_group(np.array([9]), big[:1] * 64, np.array([1]), big[:1], 5))
 
 
 def shingles(t):
@@ -244,6 +244,13 @@ def test_sharding(spark):
     assert len(few) == 3 and few.groupby("shard").size().max() == 1
 
 
+def test_shards_are_written_in_order(spark, tmp_path):
+    docs = frame(spark, [(i, f"text {i}", "s") for i in range(60)])
+    sharding.write_shards(docs, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
+    assert len(back) == 60 and back.doc_id.nunique() == 60 and (back.groupby("shard").size() == 15).all()
+
+
 def test_matrix_is_exact_and_fair():
     ends = np.cumsum([0, 10, 0, 33, 7, 50])
     sizes = sharding.shard_sizes(100, 7)

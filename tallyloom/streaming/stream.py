@@ -76,7 +76,10 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
             rejected(rows).write.mode("overwrite").json(f"{dead_letters}/batch={batch_id}")
         legs = valid(rows)
         if "ingest_seq" not in legs.columns:
-            legs = legs.withColumn("ingest_seq", F.xxhash64("topic") % 1000 * 0 + F.unix_micros("ingested_at") * 1000 + F.col("offset") % 1000)
+            order = ["ingested_at", "topic", "partition", "offset"]
+            base = state.legs.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0] + 1
+            # Range partitions are numbered in order, so the id increases along it.
+            legs = legs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ingest_seq", F.lit(base) + F.monotonically_increasing_id())
         state = apply(state, ingest(legs, state, rules, now))
         store.write(batch_id, state, before)
 

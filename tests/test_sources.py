@@ -63,3 +63,17 @@ def test_stream(spark, tmp_path):
     assert isinstance(state, State) and state.matches.count() == 1 and state.legs.where("status = 'matched'").count() == 2
     assert [r["type"] for r in state.events.orderBy("seq").collect()] == ["leg.ingested", "leg.ingested", "match.created"]
     assert "amount_minor must be > 0" in spark.read.json(f"file://{tmp_path}/dead").first()["problems"]
+
+
+def test_micro_batch_orders_records(spark, tmp_path):
+    from tallyloom.streaming.stream import micro_batch
+
+    body = {k: v for k, v in GOOD.items() if k not in ("source", "txn_ref")}
+    rows = [(f"{s}.legs", 0, n, b"K1", json.dumps(body).encode()) for n, s in enumerate(["ledger", "rail", "ledger"])]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, key binary, value binary").withColumn("timestamp", F.lit("2026-09-15 09:00:00").cast("timestamp"))
+    store = Store(spark, f"file://{tmp_path}/state")
+    run = micro_batch(store, Rules(), 3600.0, lambda: "2026-09-15 09:00:00")
+    run(feeds.decode_records(df), 0)
+    run(feeds.decode_records(df), 0)  # repeated: nothing happens
+    state = store.read(0)
+    assert state.matches.count() == 1 and state.events.where("type = 'leg.duplicate'").count() == 1

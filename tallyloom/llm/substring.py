@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.textbatch import Block, blocks, mix
-from tallyloom.session import materialize, scratch_path
+from tallyloom.session import discard, materialize, scratch_path
 
 WINDOW = 400
 GRAM = 200
@@ -62,10 +62,10 @@ def winnowed(block: Block) -> tuple[np.ndarray, np.ndarray]:
     n = len(block.data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.arange(n)
-    h = block.span_hash(block.prefix_hash(), start, start + GRAM)
-    ends = np.repeat(block.offsets[1:], np.diff(block.offsets))[:n]
-    valid = start + GRAM <= ends
+    h = block.run_hash(block.prefix_hash(), GRAM)
+    valid = np.ones(n, bool)
+    for end in block.offsets[1:-1]:  # runs that would cross into the next text
+        valid[max(0, end - GRAM + 1) : end] = False
     h[~valid] = _MOST
     width = WINDOW - GRAM + 1
     least = _sliding(np.minimum, h, width, _MOST)
@@ -99,8 +99,7 @@ class Anchored:
         np.add.at(edge, np.clip(hit - (WINDOW - GRAM), 0, n), 1)
         np.add.at(edge, np.clip(hit + 1, 0, n), -1)
         window = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-        start = np.arange(len(raw) - TRIGGER + 1)
-        anchors = np.flatnonzero(self.hash(start, start + TRIGGER) % np.uint64(SPACING) == 0)
+        anchors = np.flatnonzero(self.block.run_hash(self.prefix, TRIGGER) % np.uint64(SPACING) == 0)
         own = np.searchsorted(anchors, window)
         first = anchors[np.minimum(own, len(anchors) - 1)] if len(anchors) else np.zeros(len(window), np.int64)
         has = (own < len(anchors)) & (first - window <= REACH) & (first >= window)
@@ -230,12 +229,14 @@ def _cut(raw: bytes, hits: list[int], found: list[int] | None, single: list[int]
 
 
 def _repeated(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    """The keys of two rows or more; written, so that a join with them can be split where
+    one key has many rows."""
+    return materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
 
 
 def _by_row(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """The places of each row whose keys are among `keys`."""
-    return rows.join(keys, "key").groupBy(*_ID).agg(F.collect_set("pos").alias(name))
+    return rows.join(keys, "key").groupBy(*_ID).agg(F.collect_list("pos").alias(name))
 
 
 def _bucketed(df: DataFrame) -> DataFrame:
@@ -258,6 +259,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     hits = _by_row(grams, _repeated(grams), "hits")
     joined = base.join(hits, _ID, "left").select("_id", *_ID, F.encode(F.coalesce("_t", F.lit("")), "UTF-8").alias("raw"), "hits")
     texts = _bucketed(joined)
+    discard(grams)
     some = texts.where("hits IS NOT NULL")
 
     rows = "key bigint, _k bigint, _h bigint, pos int"

@@ -83,6 +83,12 @@ class Block:
         _, inverse = _power_tables(len(prefix))
         return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
+    def run_hash(self, prefix: np.ndarray, length: int) -> np.ndarray:
+        """span_hash() of the run of `length` bytes from each position that has so many."""
+        n = max(0, len(prefix) - length)
+        _, inverse = _power_tables(len(prefix))
+        return mix((prefix[length : length + n] - prefix[:n]) * inverse[:n] + np.uint64(length))
+
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the runs of bytes other than ASCII white space."""
         flag = _NONSPACE[self.data]

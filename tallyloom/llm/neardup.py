@@ -156,7 +156,10 @@ def draw_samples(doc: np.ndarray, s: np.ndarray, weight: np.ndarray, n_docs: int
 
 
 def weighted_jaccard(a: str, b: str, weights: Weights) -> float:
-    doc, s, tf = _shingles(next(_blocks(pa.array([a, b]))))
+    # Long texts are in blocks of their own.
+    parts = [(block.first, *_shingles(block)) for block in _blocks(pa.array([a, b], pa.large_string()))]
+    doc = np.concatenate([first + d for first, d, _, _ in parts])
+    s, tf = (np.concatenate([x[k] for x in parts]) for k in (2, 3))
     w = weights.of(s, tf)
     sa, wa, sb, wb = s[doc == 0], w[doc == 0], s[doc == 1], w[doc == 1]
     if not len(sa) or not len(sb):

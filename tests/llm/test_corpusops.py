@@ -264,3 +264,15 @@ def test_matrix_is_exact_and_fair():
     x = [sharding.hypergeometric(rng, 10**9, 3 * 10**9, 400) for _ in range(300)]
     assert abs(np.mean(x) - 100) < 3 and 6 < np.std(x) < 12
     assert sharding.hypergeometric(rng, 2 * 10**9, 0, 5) == 5
+
+
+def test_long_near_copies_link(spark):
+    r = random.Random(12)
+    a = words(r, 60_000, 30_000).split()
+    b = ["changed" if k % 1000 == 0 else w for k, w in enumerate(a)]
+    a, b, other = " ".join(a), " ".join(b), words(r, 60_000, 30_000)
+    assert min(map(len, (a, b, other))) > 300_000
+    weights = neardup.Weights(np.zeros(neardup.DF_BUCKETS), 1000)
+    assert neardup.weighted_jaccard(a, b, weights) > 0.95 and neardup.weighted_jaccard(a, other, weights) < 0.1
+    got = neardup.classes(frame(spark, [(1, a, "s"), (2, b, "s"), (3, other, "s"), (4, "short", "s")])).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {1: 1, 2: 1, 3: 3, 4: 4}

@@ -58,12 +58,22 @@ def ref_tolerant(legs: DataFrame, rules: Rules) -> DataFrame:
 
 
 def amount_date(legs: DataFrame, rules: Rules) -> DataFrame:
-    """Equal amounts without a shared reference, unique on both sides, and neither reference
-    known on the other's source."""
-    own = legs.select(*WINDOW_KEY, "amount_minor", "source").groupBy(*WINDOW_KEY, "amount_minor", "source").agg(F.count("*").alias("n"))
-    single = legs.join(own.where("n = 1").drop("n"), [*WINDOW_KEY, "amount_minor", "source"])
-    rival = single.groupBy(*WINDOW_KEY, "amount_minor").agg(F.count_distinct("source").alias("n")).where("n = 2").drop("n")
-    found = _pairs(single.join(rival, [*WINDOW_KEY, "amount_minor"]), [*WINDOW_KEY, "amount_minor"], rules).where("l.txn_ref <> c.txn_ref")
+    """Equal amounts without a shared reference, each the only candidate of the other within
+    the date window, and neither reference known on the other's source."""
+    same = [*WINDOW_KEY, "amount_minor"]
+    leg = F.struct("ingest_seq", "id", "source", "txn_ref", "currency", "amount_minor")
+    # A row a day and source, so that a popular amount is no more rows than it has days.
+    days = legs.groupBy(*same, "value_date", "source").agg(F.count("*").alias("n"), F.max(leg).alias("x"))
+    # Two legs of one source and day are rivals of each other for every partner.
+    span = rules.value_date_window_days
+    near = F.explode(F.sequence(F.date_sub("value_date", span), F.date_add("value_date", span)))
+    lone = days.where("n = 1").select(*same, F.col("source").alias("_s"), "x", near.alias("value_date"))
+    met = lone.join(days.withColumnRenamed("x", "y"), [*same, "value_date"]).where("source <> _s")
+    alone = met.groupBy("x.id").agg(F.sum("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y")).where("n = 1").select("x", "y")
+    # The only candidate of each other: then neither has a rival on its own source.
+    back = alone.select(F.col("x.id").alias("_c"), F.col("y.id").alias("_l"))
+    found = alone.join(back, (F.col("x.id") == F.col("_l")) & (F.col("y.id") == F.col("_c"))).select(F.col("x").alias("l"), F.col("y").alias("c"))
+    found = found.where("l.ingest_seq > c.ingest_seq AND l.txn_ref <> c.txn_ref")
     known = legs.select(F.col("txn_ref").alias("_r"), F.col("source").alias("_s")).distinct()
     for a, b in (("c", "l"), ("l", "c")):
         found = found.join(known, (F.col(f"{a}.txn_ref") == F.col("_r")) & (F.col(f"{b}.source") == F.col("_s")), "left_anti")

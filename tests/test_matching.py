@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import schema as S
-from tallyloom.operators import lifecycle, views
+from tallyloom.operators import lifecycle, tiers, views
 from tallyloom.operators.fold import fold
 from tallyloom.operators.normalize import normalize, require_valid, valid
 from tallyloom.operators.resolve import LEG_COLUMNS, State, apply, ingest
@@ -197,3 +197,16 @@ def test_views(spark):
     assert views.legs_of(m, state.legs).count() == 4
     assert set(LEG_COLUMNS) <= set(state.legs.columns)
     assert isinstance(state.legs.limit(1).toPandas(), pd.DataFrame)
+
+
+def test_amount_is_unique_within_the_date_window(spark):
+    rows = [
+        leg(1, "ledger", "P1", 700), leg(2, "rail", "Q1", 700, 1), leg(3, "ledger", "P2", 700, 90), leg(4, "rail", "Q2", 700, 88), leg(5, "card", "Z", 700, 45),
+        leg(10, "ledger", "A1", 800), leg(11, "ledger", "A2", 800, 1), leg(12, "rail", "B", 800, 2),  # a rival
+        leg(20, "ledger", "C1", 900, -2), leg(21, "ledger", "C2", 900, 2), leg(22, "rail", "D", 900),  # two candidates
+        leg(30, "ledger", "E", 950), leg(31, "rail", "F1", 950), leg(32, "card", "F2", 950),  # on two sources
+        leg(40, "ledger", "G", 960), leg(41, "rail", "H", 960, 3),  # too far
+        leg(50, "ledger", "I", 970), leg(51, "rail", "J", 970), leg(52, "rail", "I", 5),  # a known reference
+    ]
+    found = tiers.amount_date(legs_of(spark, rows), Rules()).collect()
+    assert sorted(sorted(x.split(":")[1] for x in r["leg_ids"]) for r in found) == [["P1", "Q1"], ["P2", "Q2"]]

@@ -84,7 +84,7 @@ def j3_t2_ref_tolerant(spark, sf_dir):
 
 
 def j4_t2_amount_date(spark, sf_dir):
-    raw = feeds.order_pairs(spark, sf_dir).where("b < 13").withColumn("txn_ref", F.when(F.col("source") == "rail", F.concat(F.lit("ARN-"), "k")).otherwise(F.col("txn_ref")))
+    raw = feeds.order_pairs(spark, sf_dir).withColumn("txn_ref", F.when(F.col("source") == "rail", F.concat(F.lit("ARN-"), "k")).otherwise(F.col("txn_ref")))
     legs = valid(normalize(raw, _at())).withColumns({c: F.lit(None).cast("string") for c in ("status", "match_id", "break_id")})
     return _flat(tiers.amount_date(legs.select(LEG_COLUMNS), RULES))
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import queries as registered
 from tallyloom import schema as S
 from tallyloom.operators import lifecycle, tiers, views
 from tallyloom.operators.fold import fold
@@ -210,3 +211,11 @@ def test_amount_is_unique_within_the_date_window(spark):
     ]
     found = tiers.amount_date(legs_of(spark, rows), Rules()).collect()
     assert sorted(sorted(x.split(":")[1] for x in r["leg_ids"]) for r in found) == [["P1", "Q1"], ["P2", "Q2"]]
+
+
+def test_amount_date_query_takes_all_orders(spark, tmp_path):
+    # 19 has no rail leg, but its ledger leg makes the amount of 1 ambiguous; 2 is alone.
+    rows = [(1, 8, 12.5, dt.datetime(1995, 1, 1)), (19, 8, 12.5, dt.datetime(1995, 1, 2)), (2, 8, 99.0, dt.datetime(1995, 1, 1))]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    found = registered.j4_t2_amount_date(spark, str(tmp_path)).collect()
+    assert [sorted(x.split(":")[1] for x in r["leg_ids"].split("|")) for r in found] == [["ARN-2", "ORD-2"]]

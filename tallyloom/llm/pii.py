@@ -4,9 +4,9 @@ Fixed patterns find e-mail addresses, IP addresses, card and phone numbers. They
 seeds of a bootstrap over the whole corpus:
 
 1. Each seed's context is its preceding word, and its two preceding words (lower case).
-   Contexts of at least SUPPORT distinct seeds, and of at least one in MOST of all seed
-   contexts, become candidate patterns; so there are at most MOST of them, whatever the
-   size of the corpus, and they can be broadcast.
+   Contexts of at least SUPPORT distinct seeds become candidate patterns, however many
+   there are: a table, of which tasks get a bitmap of hashes of at most MOST_BITS bits;
+   what passes it by chance goes in a join. Up to MOST patterns are broadcast.
 2. A second pass counts all places where a candidate pattern occurs, and collects the
    identifier-like words there (a digit, four bytes or more, outside of any seed).
 3. Spark scores the graph of patterns and instances ROUNDS times: a pattern's confidence
@@ -37,6 +37,7 @@ from tallyloom.session import materialize
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 MOST = 10_000
+MOST_BITS = 1 << 26
 ROUNDS = 3
 ACCEPT = 0.6
 _FLAG = np.zeros(256, bool)
@@ -168,24 +169,44 @@ def _words_like_identifiers(text: str, raw: bytes, spans: list, start: np.ndarra
             yield k, a, a + len(bare)
 
 
-def _occurrences(patterns: np.ndarray):
-    """Counts of patterns (value null) and edges to identifier-like words that no fixed
-    pattern covers."""
+def _bitmap(table: DataFrame, n: int) -> np.ndarray:
+    """Bits of the patterns' hashes, in words of 64."""
+    size = min(MOST_BITS, 1 << max(20, (64 * n).bit_length()))
+    words = table.groupBy(F.expr(f"shiftright(pattern & {size - 1}, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pattern & 63 AS int)))").alias("bits"))
+    rows, out = words.toArrow(), np.zeros(size >> 6, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def _may_be(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bits[(h & (len(bits) * 64 - 1)) >> 6] >> (h & 63)) & 1 > 0
+
+
+class Patterns:
+    """A table of patterns' hashes; `few` has them sorted if there are MOST at most, else it is None."""
+
+    def __init__(self, table: DataFrame | None, n: int) -> None:
+        self.table, self.n = table, n
+        self.few = np.sort(np.array([r[0] for r in table.collect()] if n else [], np.int64)) if n <= MOST else None
+
+    def __len__(self) -> int:
+        return self.n
+
+
+def _occurrences(shared):
+    """Counts of contexts in the bitmap (value null) and edges to identifier-like words that
+    no fixed pattern covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quick = np.zeros(1 << 20, bool)
-        quick[patterns & ((1 << 20) - 1)] = True
-        total = np.zeros(len(patterns), np.int64)
+        bits = shared.value
         for batch in batches:
-            pattern, value = [], []
+            pattern, value, seen = [], [], []
             for first, block, some in _marked(batch.column(0)):
                 start, end, doc, one, two = _contexts(block)
                 like = _like_identifier(block, start, end)
                 for h in (one, two):
-                    hit = np.flatnonzero(quick[h & ((1 << 20) - 1)])
-                    found = _member(h[hit], patterns)
-                    hit, found = hit[found >= 0], found[found >= 0]
-                    total += np.bincount(found, minlength=len(patterns))
+                    hit = np.flatnonzero(_may_be(h, bits))
+                    seen.append(h[hit])
                     hit = hit[like[hit]]
                     for i in np.unique(doc[hit]):
                         text = batch.column(0)[first + int(i)].as_py()
@@ -194,36 +215,32 @@ def _occurrences(patterns: np.ndarray):
                         for k, s, e in _words_like_identifiers(text, text.encode("utf-8"), base_spans(text), start - a, end - a, own):
                             pattern.append(int(h[own[k]]))
                             value.append(_value(text[s:e]))
-            if pattern:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pattern, pa.int64()), pa.array(value, pa.int64()), pa.array([1] * len(pattern), pa.int64())], ["pattern", "value", "n"]
-                )
-        yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.nulls(len(patterns), pa.int64()), pa.array(total)], ["pattern", "value", "n"])
+            met, n = np.unique(np.concatenate([np.zeros(0, np.int64), *seen]), return_counts=True)
+            columns = [np.concatenate([np.array(pattern, np.int64), met]), pa.array(value + [None] * len(met), pa.int64()), np.concatenate([np.ones(len(pattern), np.int64), n])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pattern", "value", "n"])
 
     return run
 
 
-def learn_patterns(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The accepted patterns' hashes, sorted; MOST at most."""
+def learn_patterns(docs: DataFrame, text: str = "text") -> Patterns:
+    """The accepted patterns."""
     body = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
     seeds = materialize(
         body.mapInArrow(_seed_edges, "pattern bigint, value bigint").groupBy("pattern", "value").agg(F.count("*").alias("n")), "seeds"
     )
-    total = seeds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # Each holds at least one in MOST of the seed contexts, so no more than MOST remain.
-    strong = (
-        seeds.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
-        .where((F.col("distinct") >= SUPPORT) & (F.col("n") >= total / MOST)).select("pattern")
-    )
-    patterns = np.sort(np.array([r[0] for r in strong.collect()], np.int64))
-    if not len(patterns):
-        return patterns
+    strong = materialize(seeds.groupBy("pattern").agg(F.count("*").alias("distinct")).where(F.col("distinct") >= SUPPORT).select("pattern"), "strong")
+    n = strong.count()
+    if not n:
+        return Patterns(None, 0)
+    sent = F.broadcast if n <= MOST else lambda df: df
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(strong, n))
     counted = materialize(
-        body.mapInArrow(_occurrences(patterns), "pattern bigint, value bigint, n bigint").groupBy("pattern", "value").agg(F.sum("n").alias("n")),
+        body.mapInArrow(_occurrences(shared), "pattern bigint, value bigint, n bigint").groupBy("pattern", "value").agg(F.sum("n").alias("n"))
+        .join(sent(strong), "pattern", "left_semi"),
         "patterns",
-    )
+    )
     occurs = counted.where(F.col("value").isNull()).select("pattern", F.col("n").alias("all"))
-    known = seeds.join(F.broadcast(strong), "pattern").select("pattern", "value", "n", F.lit(1.0).alias("seed"))
+    known = seeds.join(sent(strong), "pattern").select("pattern", "value", "n", F.lit(1.0).alias("seed"))
     unseen = counted.where(F.col("value").isNotNull()).select("pattern", "value", "n", F.lit(0.0).alias("seed"))
     edges = (
         known.unionByName(unseen).groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
@@ -235,23 +252,51 @@ def learn_patterns(docs: DataFrame, text: str = "text") -> np.ndarray:
             edges.join(instances, "value").groupBy("pattern").agg(F.sum(F.col("n") * F.col("c")).alias("good"))
             .join(occurs, "pattern").select("pattern", F.least(F.lit(1.0), F.col("good") / F.greatest(F.col("all"), F.lit(1))).alias("p"))
         )
-        confidence = materialize(confidence, "confidence")  # MOST rows at most
+        confidence = materialize(confidence, "confidence")
         instances = (
-            edges.join(F.broadcast(confidence), "pattern").groupBy("value")
+            edges.join(sent(confidence), "pattern").groupBy("value")
             .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("c"), F.max("seed").alias("s"))
             .select("value", F.greatest("c", "s").alias("c"))
         )
-    accepted = confidence.where(F.col("p") >= ACCEPT).select("pattern").collect()
-    return np.sort(np.array([r[0] for r in accepted], np.int64))
+    accepted = confidence.where(F.col("p") >= ACCEPT).select("pattern")
+    return Patterns(accepted, accepted.count())
+
 
+def _with_own(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
+    """docs with _pii_own, the patterns that occur in the text, if there are too many to broadcast."""
+    if patterns.few is not None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(patterns.table, patterns.n))
 
-def _all_spans(col: pa.Array, patterns: np.ndarray) -> list[tuple[str, list, list]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pattern = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for block in blocks(batch.column(2), lower=True):
+                start, end, doc, one, two = _contexts(block)
+                like = _like_identifier(block, start, end)
+                for h in (one, two):
+                    hit = np.flatnonzero(like & _may_be(h, shared.value))
+                    row.append(doc[hit] + block.first)
+                    pattern.append(h[hit])
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(pattern))], ["_pii_a", "_pii_b", "pattern"])
+
+    a, b = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
+    body = docs.where(F.col(text).isNotNull()).select(a.alias("_pii_a"), b.alias("_pii_b"), F.col(text).alias("t"))
+    own = body.mapInArrow(run, "_pii_a bigint, _pii_b bigint, pattern bigint").distinct().join(patterns.table, "pattern")
+    # Written first, so that the join below may split a text that many rows hold.
+    own = materialize(own.groupBy("_pii_a", "_pii_b").agg(F.collect_list("pattern").alias("_pii_own")), "own")
+    return docs.withColumns({"_pii_a": a, "_pii_b": b}).join(own, ["_pii_a", "_pii_b"], "left").select(*docs.columns, "_pii_own")
+
+
+def _all_spans(batch: pa.RecordBatch, at: int, few: np.ndarray | None) -> list[tuple[str, list, list]]:
     """For each text with any: (row, text, base spans, id spans)."""
-    out = []
+    out, col = [], batch.column(at)
     for first, block, some in _marked(col):
         for i in np.flatnonzero(some):
             text = col[first + int(i)].as_py()
             base, more = base_spans(text), []
+            patterns = few if few is not None else np.sort(np.array(batch.column("_pii_own")[first + int(i)].as_py() or [], np.int64))
             if len(patterns):
                 a, b = block.offsets[i], block.offsets[i + 1]
                 own = Block(0, block.data[a:b], np.array([0, b - a]))
@@ -271,16 +316,16 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{_NAMES[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find(docs: DataFrame, patterns: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, patterns: Patterns, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id: a row a row of docs."""
     kind = docs.schema[key].dataType.simpleString()
-    nothing = hashlib.sha256(b"").hexdigest()
+    nothing, few = hashlib.sha256(b"").hexdigest(), patterns.few
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             counts, sha, spans = np.zeros((n, 5), np.int64), [nothing] * n, [""] * n
-            for i, _, base, more in _all_spans(batch.column(1), patterns):
+            for i, _, base, more in _all_spans(batch, 1, few):
                 for _, k, _ in base + more:
                     counts[i, k] += 1
                 sha[i] = hashlib.sha256(_join(base).encode()).hexdigest()
@@ -291,7 +336,7 @@ def find(docs: DataFrame, patterns: np.ndarray, key: str = "doc_id", text: str =
             )
 
     schema = f"`{key}` {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, n_id bigint"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return _with_own(docs.select(F.col(key), F.col(text)), patterns, text).mapInArrow(run, schema)
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -304,18 +349,19 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, patterns: np.ndarray, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFrame:
     """docs with all spans replaced; other columns as they were."""
+    few, columns = patterns.few, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            changed = {i: redact_text(t, base + more) for i, t, base, more in _all_spans(batch.column(at), patterns)}
+            changed = {i: redact_text(t, base + more) for i, t, base, more in _all_spans(batch, at, few)}
             if changed:
                 texts = batch.column(at).to_pylist()
                 for i, t in changed.items():
                     texts[i] = t
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
+            yield batch.select(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _with_own(docs, patterns, text).mapInArrow(run, docs.schema)

@@ -140,3 +140,16 @@ def test_quality(spark):
     assert {x["doc_id"] for x in quality.filter_good(docs, model).collect()} == {i for i, x in rows.items() if x["kept"]}
     assert quality.fit(docs, labels.limit(0)) is None
     assert quality.score(docs.limit(0), None).count() == 0
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_rare_contexts_are_learned(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "MOST", most)
+    rows = [(i, f"write to: x@mail.example.com {i % 7}", "en") for i in range(40_000)]
+    rows += [(50_000 + i, f"member card: user{i}@mail.example.com and", "en") for i in range(5)] + [(60_000 + i, f"member card: ZX-{i}77Q9 follows", "en") for i in range(3)]
+    docs = frame(spark, rows + [(70_000, None, "en")], extra=True)
+    patterns = pii.learn_patterns(docs)
+    got = {r["doc_id"]: (r["n_id"], r["n_email"]) for r in pii.find(docs, patterns).collect()}
+    assert [got[60_000 + i] for i in range(3)] == [(1, 0)] * 3 and got[5] == got[50_001] == (0, 1) and len(got) == len(rows) + 1
+    clean = pii.redact(docs.where("doc_id >= 60000"), patterns)
+    assert clean.columns == docs.columns and sorted(r["text"] or "" for r in clean.collect()) == ["", *["member card: [ID] follows"] * 3]

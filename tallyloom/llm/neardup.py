@@ -12,20 +12,26 @@ in common. df is counted over all documents in DF_BUCKETS hashed counters, a tab
 size; a shingle's df is overestimated by about (shingles a document / DF_BUCKETS) * N, the
 same share of N at every N.
 
-1. Equal texts become one node, named by the smallest document id that holds it.
+1. Equal texts become one node.
 2. Improved consistent weighted sampling draws BANDS * ROWS samples of each text; two
    texts agree in one with the probability of their weighted Jaccard similarity. A node
-   gets a key a band. Two nodes of a bucket are compared if they share AGREE samples or more.
-3. In each bucket (band, key) the node with the most company is the pivot and is compared
-   with all others by exact weighted Jaccard over whole texts; pairs of THRESHOLD or more are links.
-   Members that are then in different components are compared further, with more pivots a
-   round, until none of another component is left that no pivot was compared with. A pair
-   is left out only if it can't be a link: the weight that two texts have in common is at
-   most what each of them shares with any other text that is still undecided.
-4. Components of links are classes; the class id is the smallest document id in it.
-
-Null and empty texts have no shingles; such rows are a class of their own. Rows with a null
-id get a null class and take no part. Rows that share an id are in one class.
+   gets a key a band. Two nodes of a bucket are a candidate pair if they share AGREE
+   samples or more.
+3. In each bucket (band, key) the node with the most company is the pivot; its candidate
+   pairs are verified by exact weighted Jaccard over whole texts. Pairs of THRESHOLD or
+   more are links. That settles most of a large group in rows linear in its size.
+4. All other candidate pairs whose texts are not yet in one component are verified in
+   blocks: the members of a bucket that are outside of its largest component, about CHUNK
+   at a time, meet about CHUNK members at a time. Tasks first find the members that have
+   such a pair by samples alone; only these go with their texts into a second pass, where
+   the shingles common to a block are multiplied as matrices. A task returns members or a
+   forest of links, never pairs; each pair is looked at in the first band it shares.
+5. Components of links are classes; the class id is the smallest document id in it.
+
+Texts without a word (null, empty, white space) have no shingles: such a document is a
+class of its own, also where texts repeat. Rows with a null id get a null class and take no
+part. Rows that share an id are in one class, whatever their texts. Other columns, whatever
+their names, don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.textbatch import Block, blocks, mix, window_hash
@@ -50,8 +56,9 @@ BANDS, ROWS = 10, 3
 AGREE = 17
 DAMPING = 0.1
 DF_BUCKETS = 1 << 16
-#: Pivots a bucket in the second round; each later round takes four times as many.
-PIVOTS = 32
+#: Rows of a bucket in one side of a block, on average; a row more for each LONG bytes.
+CHUNK = 192
+LONG = 1 << 14
 _CHUNKS = 16
 _DOC_BITS = 14
 _MASK = np.uint64((1 << (64 - _DOC_BITS)) - 1)
@@ -172,9 +179,10 @@ def weighted_jaccard(a: str, b: str, weights: Weights) -> float:
 
 
 def _signatures(docs: DataFrame, weights: Weights, key: str, text: str) -> DataFrame:
-    """_k, _a, _b (128 bits of hash of the text), drawn (samples): a row a row of docs with an id."""
+    """_k, _a, _b (128 bits of hash of the text), size, drawn (samples, null without words):
+    a row a row of docs with an id and a text."""
     base = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_a"), F.xxhash64(F.lit(1), F.col(text)).alias("_b"), F.col(text).alias("_t")
+        F.col(key).alias("_k"), *_text_hash(text), (1 + F.octet_length(F.col(text)) / LONG).cast("long").alias("size"), F.col(text).alias("_t")
     )
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[key].dataType.simpleString()
@@ -182,14 +190,18 @@ def _signatures(docs: DataFrame, weights: Weights, key: str, text: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = [None] * batch.num_rows
-            for block in _blocks(batch.column(3)):
+            for block in _blocks(batch.column(4)):
                 doc, s, tf = _shingles(block)
                 some, drawn = draw_samples(doc, s, shared.value.of(s, tf), len(block))
                 for i, row in zip(some, drawn):
                     out[block.first + int(i)] = row
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(out, pa.list_(pa.int32()))], ["_k", "_a", "_b", "drawn"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(out, pa.list_(pa.int32()))], ["_k", "_a", "_b", "size", "drawn"])
 
-    return base.mapInArrow(run, f"_k {kind}, _a bigint, _b bigint, drawn array<int>")
+    return base.mapInArrow(run, f"_k {kind}, _a bigint, _b bigint, size bigint, drawn array<int>")
+
+
+def _text_hash(text: str) -> list[Column]:
+    return [F.xxhash64(F.col(text)).alias("_a"), F.xxhash64(F.lit(1), F.col(text)).alias("_b")]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -203,91 +215,197 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
 
     left = texts.select(F.col("node").alias("x"), F.col("_t").alias("tx"))
     right = texts.select(F.col("node").alias("y"), F.col("_t").alias("ty"))
-    kind = texts.schema["node"].dataType.simpleString()
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, f"x {kind}, y {kind}")
-
-
-def _mixed(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are in more than one component, with `comp`."""
-    placed = rest.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = placed.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "bucket")
-    return placed.join(mixed, ["band", "bucket"])
-
-
-def _shared_weights(nodes: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """node, weight of its shingles, weight of those that another of the nodes has too."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
-    kind = texts.schema["node"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in _blocks(batch.column(1)):
-                doc, s, tf = _shingles(block)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + block.first)), pa.array(s.view(np.int64)), pa.array(shared.value.of(s, tf))], ["node", "s", "w"])
-
-    rows = texts.join(nodes, "node", "left_semi").select("node", "_t").mapInArrow(run, f"node {kind}, s bigint, w double")
-    rows = materialize(rows, "shingles")
-    often = materialize(rows.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", F.lit(True).alias("often")), "often")
-    return materialize(
-        rows.join(often, "s", "left").groupBy("node").agg(F.sum("w").alias("weight"), F.coalesce(F.sum(F.when(F.col("often"), F.col("w"))), F.lit(0.0)).alias("shared")), "weights"
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint")
+
+
+def _in_blocks(rows: DataFrame, size: Column) -> DataFrame:
+    """rows (band, bucket, node, comp, ...) of buckets with more than one component, dealt
+    to blocks: `ka`, `kb` number a bucket's blocks, `block` the task groups. In each block
+    some members outside of the bucket's largest component meet some of all its members;
+    small buckets have one block, and many of them share a group."""
+    each = rows.groupBy("band", "bucket", "comp").agg(F.sum(size).alias("n"))
+    whole = each.groupBy("band", "bucket").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", "n").alias("major"), F.count("*").alias("comps"))
+    parts = lambda n: F.ceil(n / CHUNK)
+    whole = materialize(whole.where("comps > 1").select("band", "bucket", "major", "n", parts(F.col("n") - F.col("top")).alias("_a"), parts(F.col("n")).alias("_b")), "crowds")
+    groups = (whole.agg(F.sum("n")).first()[0] or 0) // (4 * CHUNK) + 1
+    placed = rows.join(whole, ["band", "bucket"]).withColumn("_h", F.xxhash64("node"))
+    few = F.col("_b") == 1
+    every = placed.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_a") - 1)).alias("ka"), F.pmod("_h", "_b").alias("kb"), few.alias("few"))
+    minor = placed.where(~few & (F.col("comp") != F.col("major"))).select(
+        *rows.columns, F.pmod("_h", "_a").alias("ka"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)).alias("kb"), few.alias("few")
     )
+    block = F.when(F.col("few"), F.pmod(F.xxhash64("band", "bucket"), F.lit(groups))).otherwise(F.xxhash64("band", "bucket", "ka", "kb"))
+    return every.unionByName(minor).withColumn("block", block).drop("few")
+
+
+class _Rows:
+    """The rows of a task group, each member once a block, sorted by block."""
+
+    def __init__(self, table: pa.Table) -> None:
+        columns = {c: table.column(c).to_numpy() for c in ("band", "bucket", "ka", "kb", "node", "comp", "pivot")}
+        order = np.lexsort([columns[c] for c in ("node", "kb", "ka", "bucket", "band")])
+        columns = {c: v[order] for c, v in columns.items()}
+        cell = np.zeros(len(order), bool)
+        for c in ("band", "bucket", "ka", "kb"):
+            cell[1:] |= columns[c][1:] != columns[c][:-1]
+        once = cell.copy()
+        once[:1] = True
+        once[1:] |= columns["node"][1:] != columns["node"][:-1]
+        self.cell = np.cumsum(cell)[once]
+        self.band, self.bucket, self.node, self.comp, self.pivot = (columns[c][once] for c in ("band", "bucket", "node", "comp", "pivot"))
+        self.at = order[once]
+        flat = table.column("drawn").combine_chunks().flatten().to_numpy()
+        self.drawn = flat.reshape(table.num_rows, BANDS * ROWS)[self.at]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate pairs of different components that no pivot was in, each in the first
+        band that it shares."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, len(self.cell)):
+            i = np.flatnonzero(self.cell[d:] == self.cell[:-d])
+            if not len(i):
+                break
+            i = i[(self.comp[i] != self.comp[i + d]) & ~self.pivot[i] & ~self.pivot[i + d]]
+            same = self.drawn[i] == self.drawn[i + d]
+            use = same.sum(axis=1) >= AGREE
+            i, same = i[use], same[use].reshape(-1, BANDS, ROWS).all(axis=2)
+            i = i[same.argmax(axis=1) == self.band[i]]
+            left.append(i)
+            right.append(i + d)
+        return np.concatenate(left), np.concatenate(right)
+
+
+def _live(table: pa.Table) -> pa.Table:
+    """The members that have a candidate pair."""
+    rows = _Rows(table)
+    some = np.unique(np.concatenate(rows.pairs()))
+    return pa.table({c: pa.array(getattr(rows, c)[some]) for c in ("band", "bucket", "node")}, schema=pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("node", pa.int64())]))
+
+
+def _similarities(doc: np.ndarray, s: np.ndarray, tf: np.ndarray, weights: Weights, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of pairs of n texts, of which s and tf are the shingles."""
+    order = np.lexsort((s, doc))
+    doc, s, tf = doc[order], s[order], tf[order]
+    idf = weights.of(s, np.ones(len(s)))
+    total = np.bincount(doc, tf * idf, minlength=n)
+    if len(left) <= 4 * n:
+        ends = np.searchsorted(doc, np.arange(n + 1))
+        both = np.zeros(len(left))
+        for k, (i, j) in enumerate(zip(left, right)):
+            a, b = slice(ends[i], ends[i + 1]), slice(ends[j], ends[j + 1])
+            if ends[i] < ends[i + 1] and ends[j] < ends[j + 1]:
+                at = np.minimum(np.searchsorted(s[b], s[a]), ends[j + 1] - ends[j] - 1)
+                hit = s[b][at] == s[a]
+                both[k] = (np.minimum(tf[a][hit], tf[b][at[hit]]) * idf[a][hit]).sum()
+    else:
+        # The l-th occurrence of a shingle is an item of its own: minima become products.
+        rep = np.repeat(np.arange(len(s)), tf)
+        level = np.arange(len(rep)) - np.repeat(np.cumsum(tf) - tf, tf)
+        _, item, often = np.unique(np.stack((s[rep].view(np.int64), level)), axis=1, return_inverse=True, return_counts=True)
+        item = item.reshape(-1)
+        shared = often[item] > 1
+        rep, item = rep[shared], item[shared]
+        by_item = np.argsort(item, kind="stable")
+        rep, item = rep[by_item], np.unique(item[by_item], return_inverse=True)[1]
+        inter, width = np.zeros((n, n)), 4096
+        for a in range(0, int(item[-1]) + 1 if len(item) else 0, width):
+            part = slice(*np.searchsorted(item, [a, a + width]))
+            x = np.zeros((n, width))
+            x[doc[rep[part]], item[part] - a] = np.sqrt(idf[rep[part]])
+            inter += x @ x.T
+        both = inter[left, right]
+    return both / np.maximum(total[left] + total[right] - both, 1e-300)
+
+
+def _block_links(shared):
+    """The links of a group's candidate pairs, as a forest over components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _Rows(table)
+        left, right = rows.pairs()
+        some = np.unique(np.concatenate((left, right)))
+        texts = table.column("_t").take(pa.array(rows.at[some])).combine_chunks()
+        parts = [(block.first, *_shingles(block)) for block in _blocks(texts)]
+        doc = np.concatenate([np.zeros(0, np.int64), *[f + d for f, d, _, _ in parts]])
+        s, tf = (np.concatenate([np.zeros(0, t), *[p[k] for p in parts]]) for k, t in ((2, np.uint64), (3, np.int64)))
+        edges, cells = [], rows.cell[left]
+        order = np.argsort(cells, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1) if len(order) else []:
+            i, j = left[own], right[own]
+            here = np.unique(np.concatenate((i, j)))
+            at = np.searchsorted(some, here)
+            which = np.full(len(some), -1)
+            which[at] = np.arange(len(at))
+            mine = which[doc] >= 0
+            found = _similarities(which[doc[mine]], s[mine], tf[mine], shared.value, len(here), np.searchsorted(here, i), np.searchsorted(here, j)) >= THRESHOLD
+            root: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            for x, y in zip(i[found].tolist(), j[found].tolist()):
+                p, q = top(int(rows.comp[x])), top(int(rows.comp[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    edges.append((int(rows.node[x]), int(rows.node[y])))
+        return pa.table({"x": pa.array([e[0] for e in edges], pa.int64()), "y": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, class_id: a row a row of docs."""
+    spark = docs.sparkSession
     n = docs.where(F.col(text).isNotNull()).count()
     weights = Weights(document_frequencies(docs, text), n)
-    signed = materialize(_signatures(docs, weights, key, text), "signatures")
-    # Written first, so that the join below may split a text that many rows hold.
-    named = materialize(signed.groupBy("_a", "_b").agg(F.min("_k").alias("node")), "named")
-    members = materialize(signed.join(named, ["_a", "_b"]).select("_k", "node", "drawn"), "members")
-    nodes = members.where((F.col("_k") == F.col("node")) & F.col("drawn").isNotNull()).dropDuplicates(["node"])
+    signed = materialize(_signatures(docs, weights, key, text), "signatures").where("drawn IS NOT NULL")
+    # Written first, so that the joins below may split a text that many rows hold.
+    named = signed.groupBy("_a", "_b").agg(F.min("_k").alias("least"), F.any_value("size").alias("size"), F.any_value("drawn").alias("drawn"))
+    named = materialize(named.withColumn("node", F.monotonically_increasing_id()), "named")
+    members = materialize(signed.select("_k", "_a", "_b").distinct().join(named.select("_a", "_b", "node"), ["_a", "_b"]).select("_k", "node"), "members")
     keys = F.array(*[F.xxhash64(F.slice("drawn", b * ROWS + 1, ROWS)) for b in range(BANDS)])
-    banded = nodes.select("node", F.posexplode(keys).alias("band", "bucket"), "drawn")
+    banded = named.select("node", F.posexplode(keys).alias("band", "bucket"), "drawn", "size")
     shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialize(banded.join(shared, ["band", "bucket"]), "crowded")
     # The more company a node has in its buckets, the more central it is.
     degree = crowded.groupBy("node").agg(F.sum("n").alias("degree"))
-    rest = materialize(crowded.drop("n").join(degree, "node"), "buckets")
-    pivot = materialize(rest.groupBy("band", "bucket").agg(F.max(F.struct("degree", "node", "drawn")).alias("p")).select("band", "bucket", "p.*"), "pivots")
-
-    # Whole texts of the nodes that share a bucket, once.
-    need = rest.select("node").distinct()
-    ids = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("node"), F.col(text).alias("_t"))
-    texts = materialize(ids.join(need, "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    def compared(others: DataFrame, pivots: DataFrame, *more: Column) -> DataFrame:
-        """Links between pivots and the others of their buckets. A pair that meets in
-        several buckets with the same pivot comes up in the first of them."""
-        bands = pivots.groupBy("node").agg(F.collect_set("band").alias("pbands"))
-        p = pivots.join(bands, "node").withColumnsRenamed({"node": "p", "drawn": "pdrawn", "band": "_pb", "bucket": "_pu", "degree": "pd", "weight": "pweight", "shared": "pshared"})
-        met_before = F.exists("pbands", lambda b: (b < F.col("band")) & (F.slice("drawn", b * ROWS + 1, ROWS) == F.slice("pdrawn", b * ROWS + 1, ROWS)))
-        alike = F.size(F.filter(F.zip_with("drawn", "pdrawn", lambda x, y: x == y), lambda x: x)) >= AGREE
-        met = others.join(p, [F.col("_pb") == F.col("band"), F.col("_pu") == F.col("bucket"), F.col("p") != F.col("node"), *more, alike, ~met_before])
-        return materialize(_verified(met.select(F.col("p").alias("x"), F.col("node").alias("y")), texts, weights), "links")
-
-    links = compared(rest, pivot)
-    rest = rest.join(pivot.select("band", "bucket", "node"), ["band", "bucket", "node"], "left_anti")
+    buckets = materialize(crowded.drop("n").join(degree, "node"), "buckets")
+    pivots = materialize(buckets.groupBy("band", "bucket").agg(F.max(F.struct("degree", "node", "drawn")).alias("p")).select("band", "bucket", F.col("p.node").alias("p"), F.col("p.drawn").alias("pdrawn")), "pivots")
+
+    # Whole texts of the nodes that share a bucket, once: those of their smallest id.
+    need = named.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("_k"), "_a", "_b", "node")
+    own = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), *_text_hash(text), F.col(text).alias("_t"))
+    texts = materialize(own.join(need, ["_k", "_a", "_b"]).select("node", "_t").dropDuplicates(["node"]), "texts")
+
+    # Pivots and the others of their buckets; a pair that meets in several buckets with the
+    # same pivot comes up in the first of them.
+    bands = pivots.groupBy("p").agg(F.collect_set("band").alias("pbands"))
+    met_before = F.exists("pbands", lambda b: (b < F.col("band")) & (F.slice("drawn", b * ROWS + 1, ROWS) == F.slice("pdrawn", b * ROWS + 1, ROWS)))
+    alike = F.size(F.filter(F.zip_with("drawn", "pdrawn", lambda x, y: x == y), lambda x: x)) >= AGREE
+    met = buckets.join(pivots.join(bands, "p"), ["band", "bucket"]).where((F.col("p") != F.col("node")) & alike & ~met_before)
+    links = materialize(_verified(met.select(F.col("p").alias("x"), F.col("node").alias("y")), texts, weights), "links")
+    # The texts of one id belong together.
+    several = members.groupBy("_k").agg(F.min("node").alias("x"), F.max("node").alias("hi")).where("x <> hi").select("_k", "x")
+    links = links.unionByName(members.join(several, "_k").select("x", F.col("node").alias("y")))
     found = materialize(connected_components(links, "x", "y"), "components")
-    rest = materialize(rest.join(_shared_weights(_mixed(rest, found).select("node").distinct(), texts, weights), "node").where(F.col("shared") >= THRESHOLD * (1 - 1e-9) * F.col("weight")), "buckets")
-    # Of two texts no more weight is common than either shares with any other.
-    most = F.least("shared", "pshared")
-    possible = most >= THRESHOLD * (F.col("weight") + F.col("pweight") - most) * (1 - 1e-9)
-    pivots = PIVOTS
-    while True:
-        open_ = materialize(_mixed(rest, found), "open")
-        if open_.isEmpty():
-            break
-        order = Window.partitionBy("band", "bucket").orderBy(F.desc("degree"), F.desc("node"))
-        first = materialize(open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank").withColumnRenamed("comp", "pc"), "pivots")
-        # Between two pivots the pair comes up once.
-        rank = lambda d, n: F.struct(F.col(d), F.col(n))
-        more = compared(open_, first, F.col("comp") != F.col("pc"), rank("degree", "node") < rank("pd", "p"), possible)
-        rest = materialize(open_.drop("comp").join(first.select("band", "bucket", "node"), ["band", "bucket", "node"], "left_anti"), "buckets")
-        if not more.isEmpty():
-            found = materialize(connected_components(more.unionByName(found.select(F.col("node").alias("x"), F.col("component").alias("y"))), "x", "y"), "components")
-        pivots *= 4
-    by_doc = members.select("_k", "node").join(found, "node", "left").groupBy("_k").agg(F.min(F.coalesce("component", "node")).alias("_c"))
+
+    # The rest, in blocks.
+    rest = buckets.join(pivots.select("band", "bucket", "p"), ["band", "bucket"]).withColumn("pivot", F.col("p") == F.col("node"))
+    rest = rest.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("band", "bucket", "node", "comp", "pivot", "drawn", "size")
+    rest = materialize(rest, "rest")
+    live = materialize(_in_blocks(rest, F.lit(1)).groupBy("block").applyInArrow(_live, "band int, bucket bigint, node bigint").distinct(), "live")
+    open_ = rest.join(live, ["band", "bucket", "node"]).join(texts, "node")
+    weighted = spark.sparkContext.broadcast(weights)
+    more = materialize(_in_blocks(open_, F.col("size")).groupBy("block").applyInArrow(_block_links(weighted), "x bigint, y bigint"), "links")
+    if not more.isEmpty():
+        found = materialize(connected_components(more.unionByName(found.select(F.col("node").alias("x"), F.col("component").alias("y"))), "x", "y"), "components")
+
+    placed = named.select("node", "least").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    placed = materialize(placed.select("node", "least", "comp"), "placed")
+    names = placed.groupBy("comp").agg(F.min("least").alias("class_id"))
+    by_doc = members.join(placed.join(names, "comp").select("node", "class_id"), "node").groupBy("_k").agg(F.min("class_id").alias("_c"))
     return docs.select(F.col(key)).join(by_doc, F.col(key) == F.col("_k"), "left").select(F.col(key), F.coalesce("_c", F.col(key)).alias("class_id"))
 
 

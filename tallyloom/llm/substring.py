@@ -11,12 +11,14 @@ A. Coarse filter. Of all runs of GRAM bytes, those that are the smallest by hash
    be repeated; texts with none are done.
 B. The texts left are written once, bucketed by row, so that no later join moves them.
 C. Anchors are positions that the next TRIGGER bytes mark; a window belongs to the first
-   anchor in its first REACH bytes. An anchor's stretch (all bytes of its windows) that
-   occurs twice settles all its windows at once: the inside of every repeated passage. An
-   anchor whose windows' common bytes don't occur twice has no repeated window.
+   anchor in its first REACH bytes. A pass over the texts writes a row an anchor: the range
+   of its windows, the hash of its stretch (all bytes of its windows) and of the bytes that
+   its windows have in common. A stretch that occurs twice settles all its windows at once:
+   the inside of every repeated passage. An anchor whose windows' common bytes don't occur
+   twice has no repeated window.
 D. The windows of other anchors, the ends of repeated passages, and the few without any
    anchor are counted one by one, together with those of settled anchors that share their
-   common bytes (a task gives those of equal stretches once).
+   common bytes, once for each different stretch.
 
 Null and empty texts, and texts shorter than WINDOW, lose nothing. Rows that repeat count
 as starts of their own, so they lose all; a null id is an id like others.
@@ -116,116 +118,90 @@ class Anchored:
         return mix(self.hash(self.low, self.high + WINDOW) + np.uint64(1))
 
     def common(self, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes that all windows up to `reach` before an anchor share: the anchors
-        that have so many, and their hashes."""
-        some = np.flatnonzero(self.at + WINDOW - reach <= len(self.data))
-        return some, mix(self.hash(self.at[some], self.at[some] + WINDOW - reach) + np.uint64(reach))
-
-    def own_common(self) -> np.ndarray:
-        """For each anchor the hash of the common bytes of its own windows."""
-        near = self.at - self.low <= NEAR
+        """The bytes that all windows up to `reach` before an anchor share: which anchors
+        have so many, and their hashes (0 for the others)."""
+        has = self.at + WINDOW - reach <= len(self.data)
         out = np.zeros(len(self.at), np.uint64)
-        for reach, which in ((NEAR, near), (REACH, ~near)):
-            some, h = self.common(reach)
-            use = which[some]
-            out[some[use]] = h[use]
-        return out
+        out[has] = mix(self.hash(self.at[has], self.at[has] + WINDOW - reach) + np.uint64(reach))
+        return has, out
 
-    def windows(self, which: np.ndarray) -> np.ndarray:
-        """All windows of the anchors numbered `which`."""
-        size = self.high[which] - self.low[which] + 1
-        return np.repeat(self.low[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    def lone_ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last window of each run of windows without an anchor."""
+        gap = np.flatnonzero(np.diff(self.alone) > 1)
+        ends = np.concatenate((gap, [len(self.alone) - 1])).astype(np.int64)
+        starts = np.concatenate(([0], gap + 1)).astype(np.int64)
+        return (self.alone[starts], self.alone[ends]) if len(self.alone) else (self.alone, self.alone)
 
 
-def _texts(batch: pa.RecordBatch, name: str = "raw") -> list[bytes]:
-    return batch.column(name).to_pylist()
+#: A range of windows as one number: the first above 32 bits, the last below.
+def _range(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (low.astype(np.int64) << 32) | high.astype(np.int64)
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [np.zeros(0, np.uint64)]
-        for raw, hits in zip(_texts(batch), batch.column("hits").to_pylist()):
-            a = Anchored(raw, hits)
-            keys += [a.stretches(), a.common(NEAR)[1], a.common(REACH)[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
-
-
-def _rows(batch: pa.RecordBatch, keys: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
-    row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in keys]))
-    flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-    pos = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(flat), batch.column("_k").take(row), batch.column("_h").take(row), pa.array(pos)], ["key", *_ID, "pos"])
-
-
-def _own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each anchor's stretch at pos = 2 * number, its common bytes at 2 * number + 1."""
-    for batch in batches:
-        keys, places = [], []
-        for raw, hits in zip(_texts(batch), batch.column("hits").to_pylist()):
-            a = Anchored(raw, hits)
-            n = np.arange(len(a.at))
-            keys.append(np.concatenate((a.stretches(), a.own_common())))
-            places.append(np.concatenate((2 * n, 2 * n + 1)))
-        yield _rows(batch, keys, places)
+def _windows(ranges: list[int] | None) -> np.ndarray:
+    """All windows of some ranges."""
+    r = np.asarray(ranges or [], np.int64)
+    low, size = r >> 32, (r & 0xFFFFFFFF) - (r >> 32) + 1
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _settled(found: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors whose stretch is repeated; others whose common bytes are."""
-    found = np.asarray(found or [], np.int64)
-    whole = np.unique(found[found % 2 == 0] // 2)
-    return whole, np.setdiff1d(found[found % 2 == 1] // 2, whole)
+_ANCHOR = "_k bigint, _h bigint, range bigint, stretch bigint, near bigint, far bigint, own bigint"
 
 
-def _open_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The common bytes of the anchors that are open."""
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row an anchor: `near` and `far` are the hashes of the bytes that windows near to it
+    or far from it share, `own` that of its own windows. Runs of windows without an anchor
+    have a range only."""
+    names = ["range", "stretch", "near", "far", "own"]
     for batch in batches:
-        keys = [np.zeros(0, np.uint64)]
-        for raw, hits, found in zip(_texts(batch), batch.column("hits").to_pylist(), batch.column("found").to_pylist()):
-            if len(left := _settled(found)[1]):
-                keys.append(Anchored(raw, hits).own_common()[left])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)).view(np.int64))], ["key"])
-
-
-def _lenders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The common bytes of settled anchors, an anchor for each stretch that a task meets."""
-    seen: set[int] = set()
-    for batch in batches:
-        keys, places = [], []
-        for raw, hits, found in zip(_texts(batch), batch.column("hits").to_pylist(), batch.column("found").to_pylist()):
+        parts: dict[str, list] = {c: [] for c in names}
+        valid: dict[str, list] = {c: [] for c in names}
+        sizes = []
+        for raw, hits in zip(batch.column("raw").to_pylist(), batch.column("hits").to_pylist()):
             a = Anchored(raw, hits)
-            stretch = a.stretches().tolist()
-            new = [i for i in _settled(found)[0].tolist() if stretch[i] not in seen]
-            seen.update(stretch[i] for i in new)
-            parts = [a.common(reach) for reach in (NEAR, REACH)]
-            keys.append(np.concatenate([h[np.isin(some, new)] for some, h in parts]))
-            places.append(np.concatenate([some[np.isin(some, new)] for some, _ in parts]))
-        yield _rows(batch, keys, places)
+            low, high = a.lone_ranges()
+            n, m = len(a.at), len(low)
+            (has_near, near), (has_far, far) = a.common(NEAR), a.common(REACH)
+            own = np.where(a.at - a.low <= NEAR, near, far)
+            all_, none, rest = np.ones(n, bool), np.zeros(m, bool), np.zeros(m, np.int64)
+            values = {"range": _range(a.low, a.high), "stretch": a.stretches().view(np.int64), "near": near.view(np.int64), "far": far.view(np.int64), "own": own.view(np.int64)}
+            masks = {"range": all_, "stretch": all_, "near": has_near, "far": has_far, "own": all_}
+            for c in names:
+                parts[c] += [values[c], _range(low, high) if c == "range" else rest]
+                valid[c] += [masks[c], ~none if c == "range" else none]
+            sizes.append(n + m)
+        row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *parts[c]]), mask=~np.concatenate([np.zeros(0, bool), *valid[c]])) for c in names]
+        yield pa.RecordBatch.from_arrays([batch.column("_k").take(row), batch.column("_h").take(row), *columns], [*_ID, *names])
 
 
 def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows to count: open ones with their places, lent ones with -1."""
     for batch in batches:
-        keys, places = [], []
-        for raw, hits, found, lent in zip(_texts(batch), *(batch.column(c).to_pylist() for c in ("hits", "found", "lent"))):
-            a = Anchored(raw, hits)
-            at = np.concatenate((a.windows(_settled(found)[1]), a.alone))
-            more = a.windows(np.sort(np.asarray(lent or [], np.int64)))
+        keys, places, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for raw, open_, lent in zip(*(batch.column(c).to_pylist() for c in ("raw", "open", "lent"))):
+            block = Block(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            at, more = _windows(open_), _windows(lent)
             both = np.concatenate((at, more))
-            keys.append(a.hash(both, both + WINDOW))
+            keys.append(block.span_hash(block.prefix_hash(), both, both + WINDOW))
             places.append(np.concatenate((at, np.full(len(more), -1))))
-        yield _rows(batch, keys, places)
+            sizes.append(len(both))
+        row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(keys).view(np.int64)), batch.column("_k").take(row), batch.column("_h").take(row), pa.array(np.concatenate(places).astype(np.int32))], ["key", *_ID, "pos"]
+        )
 
 
-def _cut(raw: bytes, hits: list[int], found: list[int] | None, single: list[int] | None) -> tuple[bytes, int, int]:
-    """What stays of a text, the bytes removed and the runs they form."""
-    a = Anchored(raw, hits)
-    at = np.concatenate((a.windows(_settled(found)[0]), np.asarray(single or [], np.int64)))
+def _cut(raw: bytes, ranges: list[int]) -> tuple[bytes, int, int]:
+    """What stays of a text without the windows of `ranges`, the bytes removed and the runs
+    they form."""
+    r = np.asarray(ranges, np.int64)
     edge = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + WINDOW, -1)
+    np.add.at(edge, r >> 32, 1)
+    np.add.at(edge, (r & 0xFFFFFFFF) + WINDOW, -1)
     gone = np.cumsum(edge)[:-1] > 0
     runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
-    return a.data[~gone].tobytes(), int(gone.sum()), runs
+    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
 def _repeated(keys: DataFrame) -> DataFrame:
@@ -239,47 +215,56 @@ def _by_row(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(keys, "key").groupBy(*_ID).agg(F.collect_list("pos").alias(name))
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, bucketed by row: joins by row don't move it."""
+def _bucketed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, bucketed by row: joins by row don't move it. Its
+    name, for the one who drops it."""
     spark = df.sparkSession
     path = scratch_path(spark, "texts")
     name = "tallyloom_" + path.rpartition("-")[2]
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.repartition(n, *_ID).write.option("path", path).bucketBy(n, *_ID).sortBy(*_ID).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_k (0 for a null id), _id, kept (the bytes that stay, as binary), n_bytes, n_removed,
-    n_spans: a row a row of docs."""
+def _removed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """The rows of remove_repeats(), and the table of texts that they are read from."""
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     base = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_k"), F.xxhash64(F.col(text), F.col(key).isNull()).alias("_h"), F.col(text).alias("_t"))
     long = base.where(F.octet_length("_t") >= WINDOW)
     grams = materialize(long.select(*_ID, "_t").mapInArrow(_winnow, "key bigint, _k bigint, _h bigint, pos int"), "grams")
     hits = _by_row(grams, _repeated(grams), "hits")
     joined = base.join(hits, _ID, "left").select("_id", *_ID, F.encode(F.coalesce("_t", F.lit("")), "UTF-8").alias("raw"), "hits")
-    texts = _bucketed(joined)
+    texts, name = _bucketed(joined)
     discard(grams)
     some = texts.where("hits IS NOT NULL")
 
-    rows = "key bigint, _k bigint, _h bigint, pos int"
-    anchors = _repeated(some.select("raw", "hits").mapInArrow(_count_keys, "key bigint"))
-    found = materialize(_by_row(some.select(*_ID, "raw", "hits").mapInArrow(_own_keys, rows), anchors, "found"), "anchors")
-    marked = some.join(found, _ID)
-    wanted = marked.select("raw", "hits", "found").mapInArrow(_open_keys, "key bigint").distinct()
-    lent = _by_row(marked.select(*_ID, "raw", "hits", "found").mapInArrow(_lenders, rows), wanted, "lent")
-    lent = materialize(lent, "lent")
-    windows = some.join(found, _ID, "left").join(lent, _ID, "left").select(*_ID, "raw", "hits", "found", "lent").mapInArrow(_open_windows, rows)
-    windows = materialize(windows, "windows")
-    single = _by_row(windows.where("pos >= 0"), _repeated(windows), "single")
+    anchors = materialize(some.select(*_ID, "raw", "hits").mapInArrow(_anchors, _ANCHOR), "anchors")
+    twice = _repeated(anchors.select(F.explode(F.array_compact(F.array("stretch", "near", "far"))).alias("key")))
+    settled = twice.select(F.col("key").alias("stretch"), F.lit(True).alias("settled"))
+    shared = twice.select(F.col("key").alias("own"), F.lit(True).alias("shared"))
+    marked = anchors.join(settled, "stretch", "left").join(shared, "own", "left")
+    marked = marked.select(*_ID, "range", "stretch", "near", "far", "own", F.when(F.col("settled"), "settled").when(F.col("shared") | F.col("stretch").isNull(), "open").alias("what")).where("what IS NOT NULL")
+    marked = materialize(marked, "marked")
+    discard(anchors)
+    wanted = materialize(marked.where("what = 'open' AND own IS NOT NULL").select(F.col("own").alias("key")).distinct(), "wanted")
+    lenders = marked.where("what = 'settled'").select(*_ID, "range", "stretch", F.explode(F.array_compact(F.array("near", "far"))).alias("key")).join(wanted, "key", "left_semi")
+    lenders = lenders.groupBy("stretch").agg(F.min(F.struct(*_ID, "range")).alias("x")).select("x.*", F.lit("lent").alias("what"))
+    asked = marked.where("what = 'open'").select(*_ID, "range", "what").unionByName(lenders)
+    of = lambda what: F.collect_list(F.when(F.col("what") == what, F.col("range"))).alias(what)
+    asked = asked.groupBy(*_ID).agg(of("open"), of("lent"))
+    windows = materialize(some.select(*_ID, "raw").join(asked, _ID).select(*_ID, "raw", "open", "lent").mapInArrow(_open_windows, "key bigint, _k bigint, _h bigint, pos int"), "windows")
+    single = windows.where("pos >= 0").join(_repeated(windows), "key").select(*_ID, (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("pos")).alias("range"))
+    cuts = materialize(marked.where("what = 'settled'").select(*_ID, "range").unionByName(single).groupBy(*_ID).agg(F.collect_list("range").alias("cuts")), "cuts")
+    discard(windows)
+    discard(marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, removed, spans = [], [], [], []
-            for row in zip(_texts(batch), *(batch.column(c).to_pylist() for c in ("hits", "found", "single"))):
-                body, gone, runs = _cut(*row) if row[1] is not None else (row[0], 0, 0)
+            for raw, ranges in zip(batch.column("raw").to_pylist(), batch.column("cuts").to_pylist()):
+                body, gone, runs = _cut(raw, ranges) if ranges else (raw, 0, 0)
                 kept.append(body)
-                sizes.append(len(row[0]))
+                sizes.append(len(raw))
                 removed.append(gone)
                 spans.append(runs)
             yield pa.RecordBatch.from_arrays(
@@ -287,12 +272,30 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    full = texts.join(found, _ID, "left").join(single, _ID, "left").select("_id", "raw", "hits", "found", "single")
-    return full.mapInArrow(run, f"_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    full = texts.join(cuts, _ID, "left").select("_id", "raw", "cuts")
+    return full.mapInArrow(run, f"_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"), name
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_id, kept (the bytes that stay, as binary), n_bytes, n_removed, n_spans: a row a row
+    of docs. It is read from a table in the shared folder that stays until that is cleared."""
+    return _removed(docs, key, text)[0]
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and the SHA-256 of what stays."""
-    return remove_repeats(docs, key, text).select(
-        F.col("_id").alias(key), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-    )
+    """key, n_bytes, n_removed, n_spans, the SHA-256 of what stays, whether anything went,
+    and what stays as text (bytes that are no UTF-8 any more become U+FFFD). All scratch
+    tables but the result's are gone afterwards."""
+    rows, name = _removed(docs, key, text)
+    out = materialize(
+        rows.select(
+            F.col("_id").alias(key), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"),
+            F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+        ),
+        "repeats",
+    )
+    spark = docs.sparkSession
+    texts = spark.table(name)
+    discard(texts)
+    spark.sql(f"DROP TABLE {name}")
+    return out

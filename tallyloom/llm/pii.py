@@ -3,24 +3,33 @@
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers. They are the
 seeds of a bootstrap over the whole corpus:
 
-1. Each seed's context is its preceding word, and its two preceding words (lower case).
-   Contexts of at least SUPPORT distinct seeds become candidate patterns, however many
-   there are: a table, of which tasks get a bitmap of hashes of at most MOST_BITS bits;
-   what passes it by chance goes in a join. Up to MOST patterns are broadcast.
-2. A second pass counts all places where a candidate pattern occurs, and collects the
-   identifier-like words there (a digit, four bytes or more, outside of any seed).
-3. Spark scores the graph of patterns and instances ROUNDS times: a pattern's confidence
-   is the sum of its instances' confidences over all its occurrences; a seed's confidence
-   is 1, another instance's is 1 - prod(1 - c) over its patterns.
-4. Patterns of confidence ACCEPT or more mark the identifier-like words that follow them,
-   as kind `id`. Spans of the fixed patterns stay; an `id` never meets one.
+1. One pass over the texts lists the fillers: the fixed patterns' matches, and the other
+   words that look like identifiers (a digit, four characters or more). A filler has up to
+   five patterns: the word before it, the two words before, the word after, the two words
+   after (lower case, without punctuation around them), and its shape (runs of digits by
+   their length, runs of letters, long hexadecimal strings by their length).
+2. Spark scores the graph of patterns and distinct fillers. A seed's confidence is 1. A
+   pattern is induced by SUPPORT distinct fillers of confidence ACCEPT or more; its own
+   confidence is the sum of its fillers' confidences over the number of its fillers and
+   one. A filler that is no seed takes the best confidence of its induced patterns, and
+   those that reach ACCEPT induce patterns in the next round, up to ROUNDS of them. So a
+   label that stands before unknown identifiers is learned once enough of these are known
+   by other contexts, and its confidence tends to the mean of what the others say of them.
+3. Patterns of confidence ACCEPT or more mark all fillers they fit, as kind `id`. Spans of
+   the fixed patterns stay; an `id` never meets one.
+
+All fillers and patterns count, however many there are: distinct ones, so that copies of a
+text carry no more weight than it. Up to MOST accepted patterns are broadcast; of more,
+tasks get a bitmap of hashes of at most MOST_BITS bits, and what passes it goes in a join.
 
 Offsets are in code points, end exclusive. Null and empty texts hold no spans. A kind's
-matches never overlap, those of different kinds may. Rows that repeat give rows.
+matches never overlap, those of different kinds may. Rows that repeat give rows, null ids
+too; other columns don't matter, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,19 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.textbatch import Block, blocks, mix
+from tallyloom.llm.textbatch import blocks
 from tallyloom.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 MOST = 10_000
 MOST_BITS = 1 << 26
-ROUNDS = 3
+ROUNDS = 8
 ACCEPT = 0.6
 _FLAG = np.zeros(256, bool)
 _FLAG[[*range(0x30, 0x3A), ord("@")]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[0x30:0x3A] = True
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can only begin where a run of digits begins, so this finds what the plain
@@ -52,7 +59,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_EDGE = ".,;:!?()[]{}<>\"'"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BARE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
+_HEX = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}")
 
 
 def luhn(digits: str) -> bool:
@@ -94,79 +103,79 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _value(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.lower().encode("utf-8")) - 2**63
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace")) - 2**63
 
 
-def _contexts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a lower-cased block: starts, ends, documents, and the hashes of the one and
-    of the two words before each (int64; 0 where there are fewer)."""
-    start, end = block.words()
-    doc = block.doc_of(start)
-    h = block.span_hash(block.prefix_hash(), start, end)
-    one, two = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
-    if len(h) > 1:
-        near = doc[1:] == doc[:-1]
-        one[1:][near] = mix(h[:-1] + np.uint64(1))[near]
-    if len(h) > 2:
-        near = doc[2:] == doc[:-2]
-        two[2:][near] = mix(h[1:-1] * np.uint64(0x9E3779B97F4A7C15) + h[:-2])[near]
-    return start, end, doc, one.view(np.int64), two.view(np.int64)
+def _shape(value: str) -> str:
+    if _HEX.fullmatch(value):
+        return f"x{len(value)}"
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"<{len(m[0])}>", value))
 
 
-def _marked(col: pa.Array) -> Iterator[tuple[int, Block, np.ndarray]]:
-    """Blocks in lower case, with which documents hold a digit or an @."""
-    for block in blocks(col, lower=True):
-        yield block.first, block, block.sums(_FLAG[block.data]) > 0
+def fillers(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, tuple[int, ...]]]:
+    """(start, kind, end, value, patterns) of the fixed matches and of other words like identifiers
+    (kind 4), which never meet a fixed match."""
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    starts = [a for a, _ in words]
+    plain: dict[int, str] = {}
 
+    def word(k: int) -> str:
+        if k not in plain:
+            own = text[words[k][0] : words[k][1]].lower()
+            bare = _BARE.search(own)
+            plain[k] = bare[0] if bare else own
+        return plain[k]
 
-def _seed_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pattern, value) of each fixed match."""
-    for batch in batches:
-        pattern, value = [], []
-        for first, block, some in _marked(batch.column(0)):
-            for i in np.flatnonzero(some):
-                text = batch.column(0)[first + int(i)].as_py()
-                spans = base_spans(text)
-                if not spans:
-                    continue
-                a, b = block.offsets[i], block.offsets[i + 1]
-                start, _, _, one, two = _contexts(Block(0, block.data[a:b], np.array([0, b - a])))
-                for s, _, e in spans:
-                    at = len(text[:s].encode("utf-8"))
-                    w = int(np.searchsorted(start, at, side="right")) - 1  # the word the match begins in
-                    for h in (one[w], two[w]):
-                        if h:
-                            pattern.append(int(h))
-                            value.append(_value(text[s:e]))
-        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(value, pa.int64())], ["pattern", "value"])
-
-
-def _like_identifier(block: Block, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    digits = np.zeros(len(block.data) + 1, np.int64)
-    np.cumsum(_DIGIT[block.data], out=digits[1:])
-    return (digits[end] > digits[start]) & (end - start >= 4)
-
-
-def _member(h: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Index in the sorted array `among`, or -1."""
-    if not len(among):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
-    return np.where(among[at] == h, at, -1)
-
-
-def _words_like_identifiers(text: str, raw: bytes, spans: list, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(index in `at`, first, last) of the words that stay identifiers without the
-    punctuation around them and don't meet a span."""
-    for k, w in enumerate(at):
-        token = raw[start[w] : end[w]].decode("utf-8", "replace")
-        bare = token.strip(_EDGE)
-        if len(bare) < 4 or not any("0" <= c <= "9" for c in bare):
+    spans = list(base)
+    taken = sorted((s, e) for s, _, e in base)
+    at = 0
+    for a, b in words:
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        own = text[a:b]
+        if not any("0" <= c <= "9" for c in own):
             continue
-        a = len(raw[: start[w]].decode("utf-8", "replace")) + token.index(bare)
-        if all(a + len(bare) <= s or e <= a for s, _, e in spans):
-            yield k, a, a + len(bare)
+        bare = _BARE.search(own)
+        s, e = a + bare.start(), a + bare.end()
+        # Fixed matches of different kinds may lie within each other, so look further than one.
+        if e - s >= 4 and all(e <= x or y <= s for x, y in taken[max(0, at - 8) :][:32] if x < e):
+            spans.append((s, 4, e))
+    out = []
+    for s, k, e in sorted(spans):
+        i, j = bisect.bisect_right(starts, s) - 1, bisect.bisect_left(starts, e) - 1
+        value = text[s:e].lower()
+        patterns = [_hash("shape", _shape(value))]
+        if i >= 1:
+            patterns.append(_hash("left", word(i - 1)))
+        if i >= 2:
+            patterns.append(_hash("left", word(i - 2), word(i - 1)))
+        if j + 1 < len(words):
+            patterns.append(_hash("right", word(j + 1)))
+        if j + 2 < len(words):
+            patterns.append(_hash("right", word(j + 1), word(j + 2)))
+        out.append((s, k, e, value, tuple(patterns)))
+    return out
+
+
+def _marked(col: pa.Array) -> Iterator[tuple[int, str]]:
+    """Rows and texts that hold a digit or an @."""
+    for block in blocks(col):
+        for i in np.flatnonzero(block.sums(_FLAG[block.data]) > 0):
+            yield block.first + int(i), col[block.first + int(i)].as_py()
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern, value, seed) of each filler."""
+    for batch in batches:
+        pattern, value, seed = [], [], []
+        for _, text in _marked(batch.column(0)):
+            for _, k, _, own, patterns in fillers(text, base_spans(text)):
+                h = _hash(own)
+                pattern += patterns
+                value += [h] * len(patterns)
+                seed += [k < 4] * len(patterns)
+        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(value, pa.int64()), pa.array(seed, pa.bool_())], ["pattern", "value", "seed"])
 
 
 def _bitmap(table: DataFrame, n: int) -> np.ndarray:
@@ -185,80 +194,34 @@ def _may_be(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
 class Patterns:
     """A table of patterns' hashes; `few` has them sorted if there are MOST at most, else it is None."""
 
-    def __init__(self, table: DataFrame | None, n: int) -> None:
+    def __init__(self, table: DataFrame, n: int) -> None:
         self.table, self.n = table, n
-        self.few = np.sort(np.array([r[0] for r in table.collect()] if n else [], np.int64)) if n <= MOST else None
+        self.few = frozenset(r[0] for r in table.collect()) if n <= MOST else None
 
     def __len__(self) -> int:
         return self.n
 
 
-def _occurrences(shared):
-    """Counts of contexts in the bitmap (value null) and edges to identifier-like words that
-    no fixed pattern covers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            pattern, value, seen = [], [], []
-            for first, block, some in _marked(batch.column(0)):
-                start, end, doc, one, two = _contexts(block)
-                like = _like_identifier(block, start, end)
-                for h in (one, two):
-                    hit = np.flatnonzero(_may_be(h, bits))
-                    seen.append(h[hit])
-                    hit = hit[like[hit]]
-                    for i in np.unique(doc[hit]):
-                        text = batch.column(0)[first + int(i)].as_py()
-                        own = hit[doc[hit] == i]
-                        a = block.offsets[i]
-                        for k, s, e in _words_like_identifiers(text, text.encode("utf-8"), base_spans(text), start - a, end - a, own):
-                            pattern.append(int(h[own[k]]))
-                            value.append(_value(text[s:e]))
-            met, n = np.unique(np.concatenate([np.zeros(0, np.int64), *seen]), return_counts=True)
-            columns = [np.concatenate([np.array(pattern, np.int64), met]), pa.array(value + [None] * len(met), pa.int64()), np.concatenate([np.ones(len(pattern), np.int64), n])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pattern", "value", "n"])
-
-    return run
+def score(edges: DataFrame) -> DataFrame:
+    """pattern, p: the confidences of the induced patterns. edges: distinct (pattern, value), and
+    whether the value is a seed."""
+    # Fewer fillers than SUPPORT never induce a pattern.
+    some = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    edges = materialize(edges.join(some, "pattern"), "edges")
+    sure = edges.groupBy("value").agg(F.max("seed").cast("double").alias("c"))
+    for k in range(ROUNDS):
+        found = edges.join(sure, "value").groupBy("pattern").agg(F.sum("c").alias("good"), F.count(F.when(F.col("c") >= ACCEPT, 1)).alias("support"), F.max("n").alias("n"))
+        scores = materialize(found.where(F.col("support") >= SUPPORT).select("pattern", (F.col("good") / (F.col("n") + 1)).alias("p")), "scores")
+        if k + 1 < ROUNDS:
+            sure = edges.join(scores, "pattern", "left").groupBy("value").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("p"), F.lit(0.0))).alias("c"))
+    return scores
 
 
 def learn_patterns(docs: DataFrame, text: str = "text") -> Patterns:
     """The accepted patterns."""
     body = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
-    seeds = materialize(
-        body.mapInArrow(_seed_edges, "pattern bigint, value bigint").groupBy("pattern", "value").agg(F.count("*").alias("n")), "seeds"
-    )
-    strong = materialize(seeds.groupBy("pattern").agg(F.count("*").alias("distinct")).where(F.col("distinct") >= SUPPORT).select("pattern"), "strong")
-    n = strong.count()
-    if not n:
-        return Patterns(None, 0)
-    sent = F.broadcast if n <= MOST else lambda df: df
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(strong, n))
-    counted = materialize(
-        body.mapInArrow(_occurrences(shared), "pattern bigint, value bigint, n bigint").groupBy("pattern", "value").agg(F.sum("n").alias("n"))
-        .join(sent(strong), "pattern", "left_semi"),
-        "patterns",
-    )
-    occurs = counted.where(F.col("value").isNull()).select("pattern", F.col("n").alias("all"))
-    known = seeds.join(sent(strong), "pattern").select("pattern", "value", "n", F.lit(1.0).alias("seed"))
-    unseen = counted.where(F.col("value").isNotNull()).select("pattern", "value", "n", F.lit(0.0).alias("seed"))
-    edges = (
-        known.unionByName(unseen).groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
-    )
-    edges = materialize(edges, "edges")
-    instances = edges.groupBy("value").agg(F.max("seed").alias("c"))
-    for _ in range(ROUNDS):
-        confidence = (
-            edges.join(instances, "value").groupBy("pattern").agg(F.sum(F.col("n") * F.col("c")).alias("good"))
-            .join(occurs, "pattern").select("pattern", F.least(F.lit(1.0), F.col("good") / F.greatest(F.col("all"), F.lit(1))).alias("p"))
-        )
-        confidence = materialize(confidence, "confidence")
-        instances = (
-            edges.join(sent(confidence), "pattern").groupBy("value")
-            .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("c"), F.max("seed").alias("s"))
-            .select("value", F.greatest("c", "s").alias("c"))
-        )
-    accepted = confidence.where(F.col("p") >= ACCEPT).select("pattern")
+    edges = body.mapInArrow(_edges, "pattern bigint, value bigint, seed boolean").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    accepted = score(materialize(edges, "fillers")).where(F.col("p") >= ACCEPT).select("pattern")
     return Patterns(accepted, accepted.count())
 
 
@@ -270,16 +233,16 @@ def _with_own(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, pattern = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for block in blocks(batch.column(2), lower=True):
-                start, end, doc, one, two = _contexts(block)
-                like = _like_identifier(block, start, end)
-                for h in (one, two):
-                    hit = np.flatnonzero(like & _may_be(h, shared.value))
-                    row.append(doc[hit] + block.first)
-                    pattern.append(h[hit])
-            at = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(pattern))], ["_pii_a", "_pii_b", "pattern"])
+            row, pattern = [], []
+            for i, t in _marked(batch.column(2)):
+                for _, k, _, _, patterns in fillers(t, base_spans(t)):
+                    if k == 4:
+                        row += [i] * len(patterns)
+                        pattern += patterns
+            h = np.array(pattern, np.int64)
+            use = _may_be(h, shared.value)
+            at = pa.array(np.array(row, np.int64)[use])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h[use])], ["_pii_a", "_pii_b", "pattern"])
 
     a, b = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
     body = docs.where(F.col(text).isNotNull()).select(a.alias("_pii_a"), b.alias("_pii_b"), F.col(text).alias("t"))
@@ -289,24 +252,14 @@ def _with_own(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
     return docs.withColumns({"_pii_a": a, "_pii_b": b}).join(own, ["_pii_a", "_pii_b"], "left").select(*docs.columns, "_pii_own")
 
 
-def _all_spans(batch: pa.RecordBatch, at: int, few: np.ndarray | None) -> list[tuple[str, list, list]]:
+def _all_spans(batch: pa.RecordBatch, at: int, few: frozenset | None) -> Iterator[tuple[int, str, list, list]]:
     """For each text with any: (row, text, base spans, id spans)."""
-    out, col = [], batch.column(at)
-    for first, block, some in _marked(col):
-        for i in np.flatnonzero(some):
-            text = col[first + int(i)].as_py()
-            base, more = base_spans(text), []
-            patterns = few if few is not None else np.sort(np.array(batch.column("_pii_own")[first + int(i)].as_py() or [], np.int64))
-            if len(patterns):
-                a, b = block.offsets[i], block.offsets[i + 1]
-                own = Block(0, block.data[a:b], np.array([0, b - a]))
-                start, end, _, one, two = _contexts(own)
-                like = np.flatnonzero(_like_identifier(own, start, end))
-                like = like[(_member(one[like], patterns) >= 0) | (_member(two[like], patterns) >= 0)]
-                more = [(s, 4, e) for _, s, e in _words_like_identifiers(text, text.encode("utf-8"), base, start, end, like)]
-            if base or more:
-                out.append((first + int(i), text, base, more))
-    return out
+    for i, text in _marked(batch.column(at)):
+        base = base_spans(text)
+        patterns = few if few is not None else set(batch.column("_pii_own")[i].as_py() or [])
+        more = [(s, 4, e) for s, k, e, _, own in fillers(text, base) if k == 4 and not patterns.isdisjoint(own)] if patterns else []
+        if base or more:
+            yield i, text, base, more
 
 
 _NAMES = (*KINDS, "id")
@@ -317,7 +270,7 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, patterns: Patterns, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id: a row a row of docs."""
+    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans (of all kinds): a row a row of docs."""
     kind = docs.schema[key].dataType.simpleString()
     nothing, few = hashlib.sha256(b"").hexdigest(), patterns.few
 
@@ -331,11 +284,11 @@ def find(docs: DataFrame, patterns: Patterns, key: str = "doc_id", text: str = "
                 sha[i] = hashlib.sha256(_join(base).encode()).hexdigest()
                 spans[i] = _join(sorted(base + more))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(counts[:, k].copy()) for k in range(4)), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, 4].copy())],
-                [key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_id"],
+                [batch.column(0), *(pa.array(counts[:, k].copy()) for k in range(4)), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, 4].copy()), pa.array(counts.sum(axis=1))],
+                [key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_id", "n_spans"],
             )
 
-    schema = f"`{key}` {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, n_id bigint"
+    schema = f"`{key}` {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, n_id bigint, n_spans bigint"
     return _with_own(docs.select(F.col(key), F.col(text)), patterns, text).mapInArrow(run, schema)
 
 

@@ -37,11 +37,11 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH z AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE len(embedding) > 0
+  FROM embeddings WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 q AS (SELECT vec_id AS query_id, v AS qv FROM z WHERE vec_id % 20 = 0),
 s AS (
-  SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT query_id, vec_id, CAST(coalesce(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM q JOIN z ON vec_id <> query_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20

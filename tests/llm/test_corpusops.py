@@ -64,7 +64,7 @@ def test_packing_takes_the_tightest_compatible_bin():
 
 
 def plain_top(rows, k):
-    use = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    use = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, a in use:
         if q % 20 == 0:
@@ -87,17 +87,43 @@ def test_top_k(spark):
 
 def test_pruning_changes_nothing():
     rng = np.random.default_rng(3)
-    q, d = rng.integers(-60, 60, (20, 16)), rng.integers(-60, 60, (3000, 16))
+    q, d = rng.integers(-60, 60, (20, 16)).astype(float), rng.integers(-60, 60, (3000, 16)).astype(float)
     d[::7] = d[0]
     ids = rng.permutation(3000)
-    for i, found, s in topk.search_group(np.arange(20) + 5000, q, ids, d, 10, block=64):
-        all_s = d @ q[i]
-        want = sorted(zip(-all_s, ids))[:10]
-        assert [(-a, b) for a, b in want] == list(zip(s, found))
-    big = np.full((2, 4), 2**28)
-    assert next(iter(topk.search_group(np.array([9]), big[:1], np.array([1, 2]), big, 5)))[2].tolist() == [4 * 2**56] * 2
-    with pytest.raises(OverflowError):
-        list(topk.search_group(np.array([9]), big[:1] * 64, np.array([1]), big[:1], 5))
+    want = [(i, b, a) for i in range(20) for a, b in sorted(zip(-(d @ q[i]), ids))[:10]]
+    for floor in (None, np.array([-[x for j, _, x in want if j == i][-1] for i in range(20)])):
+        rows, found, s, _ = topk.search_group(np.arange(20) + 5000, q, ids, d, 10, floor, block=64)
+        assert [(i, b, -x) for i, b, x in zip(rows, found, s)] == want
+    big = np.full((2, 4), 2.0**28)
+    assert topk.search_group(np.array([9]), big[:1], np.array([1, 2]), big, 5)[2].tolist() == [4 * 2**56] * 2
+    odd = np.array([[2.0**40, 3.0, -1.0]])
+    assert topk.search_group(np.array([9]), odd, np.array([1]), odd, 5)[2].tolist() == [2**80 + 10]
+
+
+def test_blocks_of_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (40, 32))
+    body = np.repeat(centres, 100, axis=0) + rng.normal(0, 0.1, (4000, 32))
+    order = rng.permutation(4000)
+    q, d = np.floor(64 * body[order[::20]]), np.floor(64 * body)
+    floor = topk._floors(order[::20], q, (order[:1000], np.floor(64 * body[order[:1000]])), 5)
+    *_, scored = topk.search_group(order[::20], q, np.arange(4000), d, 5, floor, block=50)
+    assert scored < 0.15 * len(q) * 80  # more than 85 % of the blocks are left out
+    rows = [(i, [float(x) for x in body[i]]) for i in order.tolist()]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5)
+    assert sorted(map(tuple, got.collect())) == plain_top(rows, 5)
+
+
+def test_top_k_of_outliers_and_repeats(spark):
+    rows = [(i, [0.5, 1.0 * i, -2.0]) for i in range(60)] + [(61, [1e15, 1.0, 1.0]), (61, [0.25, 0.0, 0.0]), (100, []), (40, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id IN (0, 40)"), k=3).collect()
+    # The outlier's scores fit; of the two queries 40 the least one counts.
+    assert [(x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: (x["query_id"], x["rank"])) if x["query_id"] == 0][0] == (61, 32 * 64 * 10**15 - 128 * 64)
+    assert [(x["rank"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == 40] == [(1, 0), (2, 0), (3, 0)]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(df, df.where("vec_id = 61 AND embedding[0] > 1").unionByName(df.where("vec_id = 0").selectExpr("5 AS vec_id", "array(1e17D) AS embedding")), k=3).collect()
 
 
 def shingles(t):

@@ -6,7 +6,9 @@ down the levels to the lowest one. Entries are never removed when a neighbour me
 away; a popped position whose pair no longer has the bucket's rank is stale and skipped. A pre-token
 of n bytes costs O(n) queue steps, so one with a million bytes is no special case.
 
-Texts: null encodes as the empty text. Each Arrow batch is handled on its own; the ids of
+Texts: null encodes as the empty text. Rows that repeat, and rows with a null id, are coded
+each on its own. Other columns stay as they are, whatever their names; an empty table gives
+no rows. Each Arrow batch is handled on its own; the ids of
 pre-tokens that were met before come from a cache of two generations, of at most CACHE
 entries each, in each Python worker; the older one is dropped when the younger is full.
 """

@@ -8,6 +8,9 @@ by gathers from it and sums over documents.
 It is fitted on a sample of about SAMPLE documents a language (all, where there are
 fewer), the ones whose id hashes fall in a slice of the hash range. A text that is null
 or holds no letter gets UNKNOWN with score 0; so does every text if nothing was learned.
+Equally probable languages: the first by name. Rows that repeat, and rows with a null id,
+are predicted each on its own, but a null id teaches nothing. Other columns don't matter,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

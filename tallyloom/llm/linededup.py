@@ -49,7 +49,7 @@ def _lines(text: Column) -> Column:
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_key: int = MIN_KEY) -> DataFrame:
     """The lines to drop: _k (id), _h (hash of the text), _pos (from 0)."""
     split = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("_k"), F.hash(F.col(text)).alias("_h"), F.posexplode(_lines(F.col(text))).alias("_pos", "_line")
+        F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_h"), F.posexplode(_lines(F.col(text))).alias("_pos", "_line")
     )
     keyed = split.select("_k", "_h", "_pos", line_key(F.col("_line")).alias("_key")).where(F.char_length("_key") >= min_key)
     lines = materialize(
@@ -86,7 +86,7 @@ def keep_bitmaps(dropped: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_key: int = MIN_KEY) -> DataFrame:
     """_row (the row of docs, its text cut), _n_lines (before) and _n_dropped."""
     bitmaps = keep_bitmaps(repeated_lines(docs, key, text, min_key))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_k"), F.hash(F.col(text)).alias("_h"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_h"))
     held = base.join(bitmaps, ["_k", "_h"], "left")
     body = F.col("_row")[text]
 

@@ -9,13 +9,15 @@ one of its clusters. The search starts at the smallest residual that holds the i
 goes to the successor until a bin's bitmaps don't meet the item's; that is the tightest
 compatible bin. If none is left, a new bin opens.
 
-Documents are dealt to pack groups by a hash of their id, about GROUP_ROWS each, so a hot
-source or cluster spreads over all groups and no task holds more than its groups' items:
-four numbers an item, never the text. Groups pack independently.
+Documents are dealt to pack groups by a hash of their id, text and place in the input,
+about GROUP_ROWS each, so a hot source, a hot cluster or a row that repeats without end
+spreads over all groups and no task holds more than its groups' items: four numbers an
+item, never the text. Groups pack independently.
 
 A null or empty text has length 0 and takes up one piece of length 0. A null source
 conflicts with no source. Null ids and rows that repeat are items of their own; copies of
-a row are one cluster. Which of equal items goes first is settled by id, then checksum.
+a row are one cluster. Which of equal items goes first is settled by a hash of id and text.
+Other columns don't matter, whatever their names; an empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def pack_items(length: np.ndarray, source: np.ndarray, has_source: np.ndarray, c
     piece = np.arange(len(item)) - np.repeat(np.cumsum(n_full) - n_full, n_full)
     size = np.minimum(length[item] - piece * capacity, capacity)
     source_bits, cluster_bits = _bits(source, has_source), _bits(cluster, np.ones(len(cluster), bool))
-    # Pieces of one document must not meet either, whether or not it has copies.
+    # All pieces of a document but one fill their bins, so two of them never meet.
     bins = Bins(capacity)
     bin_of, offset = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     for k in np.lexsort((piece, order[item], -size)).tolist():
@@ -123,7 +125,7 @@ def pack(
     groups = max(1, -(-docs.count() // group_rows))
     items = docs.select(
         F.col(key).alias("_k"), length.cast("long").alias("_n"), F.xxhash64(F.col(source)).alias("_s"), F.col(source).isNotNull().alias("_has"),
-        cluster.cast("long").alias("_c"), F.pmod(F.xxhash64(F.lit(17), F.col(key), body), F.lit(groups)).cast("int").alias("_g"),
+        cluster.cast("long").alias("_c"), F.pmod(F.xxhash64(F.lit(17), F.col(key), body, F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("_g"),
         F.xxhash64(F.col(key), body).alias("_o"),
     )
     kind = docs.schema[key].dataType.simpleString()

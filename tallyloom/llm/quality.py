@@ -1,15 +1,19 @@
 """Quality rules: fixed text statistics, and a hashed n-gram classifier with calibrated
 probabilities that judges the documents the fixed rules let through.
 
-The classifier is logistic regression over hashed words and hashed runs of three UTF-8
-bytes. A document's score is the mean weight of its words, plus the mean weight of its
-byte runs, plus a bias. It is fitted, in one task, on at most SAMPLE labelled documents a
+The classifier is logistic regression over hashed words and hashed character n-grams, runs
+of three code points. A document's score is the mean weight of its words, plus the mean
+weight of its runs, plus a bias. It is fitted, in one task, on at most SAMPLE labelled documents a
 class (the ones with the smallest id hashes) and calibrated on a fifth of them that the
 fit doesn't see (Platt's method). The model is a fixed 2 * BUCKETS floats, so it travels
 in the closure; scoring is one pass of numpy over Arrow batches of whole texts.
 
 Null and empty texts have no words and fail the fixed rules. Without labels of both
-classes nothing can be learned and only the fixed rules decide (probability 1).
+classes nothing can be learned and only the fixed rules decide (probability 1). An id that
+is labelled both ways teaches nothing; of several texts of one labelled id the least one
+is learned from. Rows that repeat, and rows with a null id, are judged each on its own;
+labels with a null id or another value than 0 and 1 don't count. Other columns don't matter,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.textbatch import Block, blocks, mix, segment_reduce, window_hash
 
-#: Weights for words, and as many again for byte runs.
+#: Weights for words, and as many again for runs of characters.
 BUCKETS = 1 << 16
 #: Labelled documents a class that the classifier is fitted on.
 SAMPLE = 3000
@@ -92,27 +96,29 @@ def block_stats(block: Block) -> dict[str, np.ndarray]:
             repeat = np.bincount(doc[covered], minlength=len(block))
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": block.sums(_SYMBOL[block.data]),
-        "n_dup_lines": n_dup, "n_repeat_words": repeat, "word_hash": word_hash, "word_doc": doc,
+        "n_dup_lines": n_dup, "n_repeat_words": repeat, "word_hash": word_hash, "word_doc": doc, "prefix": prefix,
     }
 
 
-def byte_runs(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the three bytes from each position on (the last two positions of a block
-    have none), and which of these stay within a document."""
-    d = block.data.astype(np.uint32)
-    if len(d) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    run = (d[:-2] | d[1:-1] << np.uint32(8) | d[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
-    ok = np.ones(len(run), bool)
-    for k in (1, 2):
-        edge = block.offsets[1:-1] - k
-        ok[edge[(edge >= 0) & (edge < len(ok))]] = False
-    return (run >> np.uint32(16)).astype(np.int64) % BUCKETS, ok
+RUN = 3
+
+
+def char_runs(block: Block, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the runs of RUN code points within documents, in order, and how many each
+    document has."""
+    lead = np.flatnonzero((block.data & 0xC0) != 0x80)
+    chars = block.count_in(lead)
+    count = np.maximum(chars - RUN + 1, 0)
+    doc = np.repeat(np.arange(len(block)), chars)
+    m = max(0, len(lead) - RUN + 1)
+    at = np.flatnonzero(doc[:m] == doc[RUN - 1 : RUN - 1 + m])
+    end = np.concatenate((lead, [len(block.data)]))[at + RUN]
+    return (block.span_hash(prefix, lead[at], end) % np.uint64(BUCKETS)).astype(np.int64), count
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # of words, then of byte runs; float32
+    weights: np.ndarray  # of words, then of runs of characters; float32
     bias: float
     scale: float
     shift: float
@@ -120,22 +126,16 @@ class Model:
     def probability(self, block: Block, stats: dict[str, np.ndarray]) -> np.ndarray:
         n = stats["n_words"]
         words = segment_reduce(np.add, self.weights[(stats["word_hash"] % np.uint64(BUCKETS)).astype(np.int64)], n, 0)
-        run, ok = byte_runs(block)
-        value = np.zeros(len(block.data), np.float32)
-        value[: len(run)] = np.where(ok, self.weights[BUCKETS + run], 0)
-        count = np.maximum(np.diff(block.offsets) - 2, 0)
-        total = np.zeros(len(value) + 1)
-        np.cumsum(value, dtype=np.float64, out=total[1:])
-        runs = np.diff(total[block.offsets])
+        run, count = char_runs(block, stats["prefix"])
+        runs = segment_reduce(np.add, self.weights[BUCKETS + run].astype(np.float64), count, 0)
         score = words / np.maximum(n, 1) + runs / np.maximum(count, 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.scale * score + self.shift, -40, 40)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """At most SAMPLE labelled documents a class: label, text, fold."""
-    marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
-        F.col(key).alias("_id"), F.col(label).cast("int").alias("_label"), F.xxhash64(F.col(key)).alias("_order")
-    )
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_label"), F.max(F.col(label).cast("int")).alias("_other"))
+    marked = marked.where("_label = _other").select("_id", "_label", F.xxhash64("_id").alias("_order"))
     share = {r["_label"]: min(1.0, 1.3 * SAMPLE / r["n"]) for r in marked.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if set(share) != {0, 1}:
         return None
@@ -146,13 +146,13 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     )
     first = Window.partitionBy("_label").orderBy("_order", "_id")
     chosen = (
-        marked.where(F.col("_order") <= cut).dropDuplicates(["_id"]).withColumn("_rank", F.row_number().over(first))
+        marked.where(F.col("_order") <= cut).withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= SAMPLE).select("_id", "_label", "_order")
     )
     # At most 2 * SAMPLE rows of three numbers: small enough to broadcast by construction.
     return (
-        docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-        .dropDuplicates(["_id"])
+        docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "_label", "_order").agg(F.min("_text").alias("_text"))
     )
 
 
@@ -163,11 +163,10 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batch.column(1)):
             stats = block_stats(block)
             words = (stats["word_hash"] % np.uint64(BUCKETS)).astype(np.int64)
-            run, ok = byte_runs(block)
-            ends = np.cumsum(stats["n_words"])
+            run, count = char_runs(block, stats["prefix"])
+            ends, run_ends = np.cumsum(stats["n_words"]), np.cumsum(count)
             for i in range(len(block)):
-                a, b = block.offsets[i], block.offsets[i + 1]
-                w, c = words[ends[i] - stats["n_words"][i] : ends[i]], run[a:b][ok[a:b]]
+                w, c = words[ends[i] - stats["n_words"][i] : ends[i]], run[run_ends[i] - count[i] : run_ends[i]]
                 wi, wn = np.unique(w, return_counts=True)
                 ci, cn = np.unique(c, return_counts=True)
                 bucket.append(np.concatenate((wi, ci + BUCKETS)).astype(np.int32).tobytes())

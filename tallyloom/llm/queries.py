@@ -79,7 +79,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(F.expr(f"NOT ({HELD_OUT})")))
     found = langid.predict(docs, model)
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+    # A null id is neither held out nor learned from.
+    return found.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

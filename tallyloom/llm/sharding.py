@@ -13,7 +13,9 @@
    leading bits cut a shard into parts, and a row's slot is the number of rows in earlier
    parts plus its place in its own part. So a shard's slots don't come from one task.
 
-Null texts have size OVERHEAD and checksum 0. Rows that repeat are rows of their own.
+Null texts have size OVERHEAD and checksum 0. Rows that repeat, and rows with a null id, are
+rows of their own. Other columns don't matter, whatever their names; an empty table gives
+no rows. Counts are exact; draws from populations of 10**9 rows or more weigh by floats.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,39 +48,17 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     if good + bad < _NUMPY_MOST:
         return int(rng.hypergeometric(good, bad, draws))
     low, high = max(0, draws - bad), min(good, draws)
-    if low == high:
-        return low
-    lg = math.lgamma
-    total = lg(good + bad + 1) - lg(draws + 1) - lg(good + bad - draws + 1)
-
-    def weight(k: int) -> float:
-        return math.exp(
-            lg(good + 1) - lg(k + 1) - lg(good - k + 1) + lg(bad + 1) - lg(draws - k + 1) - lg(bad - draws + k + 1) - total
-        )
-
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    left, at_left, right, at_right = mode, weight(mode), mode, 0.0
-    u = rng.random() - at_left
-    at_right = at_left
-    while u > 0:  # inversion outward from the mode
-        moved = False
-        if right < high:
-            at_right *= (good - right) * (draws - right) / ((right + 1) * (bad - draws + right + 1))
-            right += 1
-            u -= at_right
-            moved = True
-            if u <= 0:
-                return right
-        if left > low:
-            at_left *= left * (bad - draws + left) / ((good - left + 1) * (draws - left + 1))
-            left -= 1
-            u -= at_left
-            moved = True
-            if u <= 0:
-                return left
-        if not moved or at_left + at_right < 1e-300:
-            break
-    return mode
+    total = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    sd = math.sqrt(draws * (good / total) * (bad / total) * ((total - draws) / max(total - 1, 1)))
+    # Weights relative to the mode's, from the ratios of neighbours; what lies beyond is
+    # less than a float can tell.
+    span = int(14 * sd) + 64
+    k = np.arange(max(low, mode - span), min(high, mode + span), dtype=np.float64)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    mass = np.cumsum(np.exp(logs - logs.max()))
+    return max(low, mode - span) + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
 
 
 def split_counts(rng: np.random.Generator, counts: np.ndarray, draws: int) -> np.ndarray:
@@ -130,7 +111,7 @@ def assign(docs: DataFrame, shards: int, seed: int = 1, key: str = "doc_id", tex
         """One partition's rows: permuted, then dealt out by its row of the matrix."""
         place, ends, sizes = shared.value
         p = batch.column("_p")[0].as_py()
-        order = pa.compute.sort_indices(batch, [("_k", "ascending"), ("_crc", "ascending")])
+        order = pc.sort_indices(batch, [("_k", "ascending"), ("_crc", "ascending")])
         batch = batch.take(order)
         rng = np.random.default_rng([seed, zlib.crc32(b"deal"), p])
         row = matrix_row(ends, sizes, place[p], seed)
@@ -158,10 +139,12 @@ def assign(docs: DataFrame, shards: int, seed: int = 1, key: str = "doc_id", tex
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 1, key: str = "doc_id", text: str = "text") -> None:
-    """The rows of docs with their shard and slot (columns of these names are replaced),
-    written to path/shard=N, each shard's files in slot order. The key must be unique."""
-    docs = docs.drop("shard", "slot")
-    placed = assign(docs, shards, seed, key, text).select(F.col(key).alias("_k"), "shard", "slot")
-    full = docs.join(placed, docs[key] == placed["_k"]).select(docs["*"], placed["shard"], placed["slot"])
+def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 1, text: str = "text") -> None:
+    """All rows of docs with their shard and slot (columns of these names are replaced),
+    written to path/shard=N, each shard's files in slot order. Rows are told apart by a
+    number they get here, so ids may repeat or be null."""
+    row = "_shard_row"
+    docs = materialize(docs.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()), "numbered")
+    placed = assign(docs, shards, seed, row, text).select(row, "shard", "slot")
+    full = docs.join(placed, row).drop(row)
     full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

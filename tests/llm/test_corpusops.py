@@ -319,10 +319,13 @@ def test_sharding(spark):
 
 
 def test_shards_are_written_in_order(spark, tmp_path):
-    docs = frame(spark, [(i, f"text {i}", "s") for i in range(60)])
+    rows = [(i, f"text {i}", "s") for i in range(57)] + [(5, "text 5", "s"), (5, "other", "s"), (None, None, "s")]
+    docs = frame(spark, rows)
     sharding.write_shards(docs, f"file://{tmp_path}/out", 4)
     back = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
-    assert len(back) == 60 and back.doc_id.nunique() == 60 and (back.groupby("shard").size() == 15).all()
+    assert len(back) == 60 and (back.groupby("shard").size() == 15).all()
+    assert Counter(zip(back.doc_id.fillna(-1), back.text.fillna("?"))) == Counter((-1 if i is None else i, "?" if t is None else t) for i, t, _ in rows)
+    assert all(sorted(g) == list(range(15)) for _, g in back.groupby("shard").slot)
 
 
 def test_matrix_is_exact_and_fair():
@@ -337,7 +340,9 @@ def test_matrix_is_exact_and_fair():
     rng = np.random.default_rng(1)
     x = [sharding.hypergeometric(rng, 10**9, 3 * 10**9, 400) for _ in range(300)]
     assert abs(np.mean(x) - 100) < 3 and 6 < np.std(x) < 12
-    assert sharding.hypergeometric(rng, 2 * 10**9, 0, 5) == 5
+    assert sharding.hypergeometric(rng, 2 * 10**9, 0, 5) == 5 and sharding.hypergeometric(rng, 0, 2 * 10**9, 5) == 0
+    y = [sharding.hypergeometric(rng, 4 * 10**11, 6 * 10**11, 10**9) for _ in range(200)]
+    assert abs(np.mean(y) - 4 * 10**8) < 5000 and 13_000 < np.std(y) < 18_000
 
 
 def test_long_near_copies_link(spark):

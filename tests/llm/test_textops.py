@@ -1,9 +1,13 @@
 """Per-document operators against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tallyloom.llm")
@@ -11,6 +15,7 @@ import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
 
 from tallyloom.llm import bpe, langid, pii, quality  # noqa: E402
+from tallyloom.llm.textbatch import blocks  # noqa: E402
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -108,6 +113,36 @@ def test_language(spark):
     assert langid.predict(frame(spark, tests), empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_against_plain_bayes(spark):
+    """The same rule over dictionaries: hashed n-grams only differ where they collide."""
+    r = random.Random(3)
+    rows = [(i, speech(lang, r, 25), lang) for i, lang in enumerate(["en"] * 30 + ["de"] * 20 + ["fr"] * 10)] + [(None, "zz zz", "xx"), (90, None, "en"), (91, "text", None)]
+    grams = lambda t: [t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)]
+    counts = {lang: Counter(g for i, t, x in rows if x == lang and t and i is not None for g in grams(t.lower())) for lang in ("de", "en", "fr")}
+    named = Counter(x for i, t, x in rows if x and t and i is not None)
+    size = {x: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for x, c in counts.items()}
+
+    def plain(t):
+        logs = {x: math.log(named[x] / sum(named.values())) + sum(math.log((c[g] + langid.SMOOTHING) / size[x]) for g in grams(t.lower())) for x, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        return best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+    tests = [(100 + i, speech(r.choice(list(WORDS)), r, r.randrange(1, 4)), None) for i in range(60)]
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(frame(spark, tests), langid.fit(frame(spark, rows))).collect()}
+    for i, t, _ in tests:
+        want = plain(t)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 0.02, t
+
+
+def test_languages_of_held_out_documents(spark):
+    from tallyloom.llm import queries
+
+    got = queries.op7_language_id(spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    held = got.where("held_out AND lang_pred <> 'und'").join(docs, "doc_id").where("lang IS NOT NULL").toPandas()
+    assert len(held) > 200 and (held.lang == held.lang_pred).mean() > 0.98
+
+
 def plain_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     found = {}
@@ -137,6 +172,20 @@ def test_quality(spark):
         assert tuple(x[k] for k in quality.STATS) == n, t
         assert x["base_failed"] == (n[0] < 10 or 100 * n[4] > 20 * n[0])
     assert sum(rows[i]["kept"] for i, *_ in good) >= 70 and not any(rows[i]["kept"] for i, *_ in bad)
+    weights = model.weights.astype(float)  # the score by hand
+    for t in (good[3][1], bad[3][1], odd[5][1]):
+        word = [xx for xx in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        one = lambda x: int(quality.block_stats(next(blocks(pa.array([x]))))["word_hash"][0] % np.uint64(quality.BUCKETS))
+        whole = next(blocks(pa.array([t])))
+        prefix = whole.prefix_hash()
+        cut = lambda a, b: int(whole.span_hash(prefix, np.array([len(t[:a].encode())]), np.array([len(t[:b].encode())]))[0] % np.uint64(quality.BUCKETS))
+        score = np.mean([weights[one(x)] for x in word]) + np.mean([weights[quality.BUCKETS + cut(i, i + 3)] for i in range(len(t) - 2)]) + model.bias
+        i = next(i for i, x, _ in good + bad + odd if x == t)
+        assert abs(rows[i]["probability"] - 1 / (1 + math.exp(-(model.scale * score + model.shift)))) < 1e-4
+        assert rows[i]["kept"] == (not rows[i]["base_failed"] and rows[i]["probability"] >= quality.KEEP_FROM)
+    both = labels.unionByName(spark.createDataFrame([(0, 0, 0)], labels.schema))  # both ways: as if not labelled
+    again, without = quality.fit(docs.unionByName(docs.where("doc_id = 1")), both), quality.fit(docs, labels.where("doc_id <> 0"))
+    assert np.array_equal(again.weights, without.weights) and again.scale == without.scale
     assert {x["doc_id"] for x in quality.filter_good(docs, model).collect()} == {i for i, x in rows.items() if x["kept"]}
     assert quality.fit(docs, labels.limit(0)) is None
     assert quality.score(docs.limit(0), None).count() == 0

@@ -53,9 +53,7 @@ def leg_id(c: dict[str, Column]) -> Column:
 
 def derived_id(prefix: str, ids: Column) -> Column:
     """Id of a match or break from its legs', whatever their order."""
-    joined = F.aggregate(
-        F.array_sort(ids), F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, nul(), x))
-    )
+    joined = F.array_join(F.array_sort(ids), "\0")
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(joined, 256), 1, 20))
 
 

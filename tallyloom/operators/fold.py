@@ -1,14 +1,17 @@
 """The order-dependent remainder: legs whose outcome depends on what came before them.
 
-One call handles one connected component of legs (they share a reference, an amount in a
-window, or a batch), in order of arrival. It settles who goes with whom and leaves
-everything else, such as classifying and events, to Spark.
+One call handles some connected components of legs (they share a reference, a disputed
+amount in a window, or a batch), in order of arrival. It settles who goes with whom and
+leaves everything else, such as classifying and events, to Spark. Open legs are indexed by
+amount, batch and reference, so a step looks only at legs that it may pair.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,29 +61,70 @@ def _id(prefix: str, ids: list[str]) -> str:
     return f"{prefix}_{hashlib.sha256(chr(0).join(sorted(ids)).encode()).hexdigest()[:20]}"
 
 
+def _canonical(legs) -> list[dict]:
+    return sorted(legs, key=lambda x: (x["value_date"], x["txn_ref"], x["id"]))
+
+
 class Component:
     def __init__(self, rules: Rules) -> None:
         self.rules = rules
         self.known: list[dict] = []  # in order of arrival
         self.breaks: dict[str, dict] = {}  # id -> {"open": bool, "n": legs}
+        self.by_ref: dict[str, list[dict]] = defaultdict(list)
+        self.refs: set[tuple[str, str]] = set()
+        # Open legs only: by amount, source and date; by batch; by reference; by window.
+        self.by_amount: dict[tuple, dict[str, dict]] = defaultdict(lambda: defaultdict(lambda: defaultdict(dict)))
+        self.by_batch: dict[tuple, dict[str, dict]] = defaultdict(dict)
+        self.by_key: dict[tuple, dict[str, dict]] = defaultdict(dict)
+
+    def learn(self, l: dict) -> None:
+        self.known.append(l)
+        self.by_ref[l["txn_ref"]].append(l)
+        self.refs.add((l["txn_ref"], l["source"]))
+
+    def _places(self, l: dict) -> Iterator[dict]:
+        window = (l["currency"], l["counterparty"])
+        yield self.by_amount[(*window, l["amount_minor"])][l["source"]][l["value_date"]]
+        if not self.rules.t3_require_batch_hint:
+            yield self.by_key[window]
+            return
+        yield self.by_key[(*window, l["txn_ref"])]
+        if batch := l["attrs"].get("batch_ref"):
+            yield self.by_batch[(*window, batch)]
+
+    def opened(self, l: dict) -> None:
+        for place in self._places(l):
+            place[l["id"]] = l
+
+    def closed(self, l: dict) -> None:
+        for place in self._places(l):
+            place.pop(l["id"], None)
 
     def near(self, a: dict, b: dict) -> bool:
         return abs((a["value_date"] - b["value_date"]).days) <= self.rules.value_date_window_days
 
-    def open_legs(self, l: dict) -> list[dict]:
-        """Open legs of the same window other than l, in canonical order."""
-        found = [x for x in self.known if x["status"] == "open" and x["id"] != l["id"] and (x["currency"], x["counterparty"]) == (l["currency"], l["counterparty"])]
-        return sorted(found, key=lambda x: (x["value_date"], x["txn_ref"], x["id"]))
-
     def has(self, ref: str, source: str) -> bool:
-        return any(x["txn_ref"] == ref and x["source"] == source for x in self.known)
+        return (ref, source) in self.refs
+
+    def equals(self, l: dict, own: bool) -> Iterator[dict[str, dict]]:
+        """Open legs of l's window and amount near its date, of its own or of other sources."""
+        span = self.rules.value_date_window_days
+        for source, days in self.by_amount[(l["currency"], l["counterparty"], l["amount_minor"])].items():
+            if (source == l["source"]) == own:
+                for k in range(-span, span + 1):
+                    if found := days.get(l["value_date"] + dt.timedelta(days=k)):
+                        yield found
 
     def candidates(self, l: dict) -> Iterator[tuple[str, int, dict, list[dict], float]]:
-        """(rule, tier, anchor, the legs joined to it, confidence), best rule first."""
-        r, here = self.rules, self.open_legs(l)
-        across = [c for c in here if c["source"] != l["source"] and self.near(c, l)]
+        """(rule, tier, anchor, the legs joined to it, confidence), best rule first. l itself
+        isn't among the open legs yet."""
+        r = self.rules
         tol = r.tolerance(l["amount_minor"])
-        same_ref = [c for c in across if c["txn_ref"] == l["txn_ref"]]
+        window = (l["currency"], l["counterparty"])
+        same_ref = _canonical(
+            c for c in self.by_ref[l["txn_ref"]]
+            if c["status"] == "open" and c is not l and c["source"] != l["source"] and (c["currency"], c["counterparty"]) == window and self.near(c, l)
+        )
         gap = lambda c: abs(c["amount_minor"] - l["amount_minor"])
         for c in same_ref:
             if gap(c) == 0:
@@ -88,15 +132,16 @@ class Component:
         if close := [c for c in same_ref if gap(c) <= tol]:
             c = min(close, key=gap)
             yield S.T2_REF, 2, l, [c], r.confidence(gap(c), tol)
-        equal = [c for c in across if gap(c) == 0]
-        if len(equal) == 1:
-            c = equal[0]
-            rivals = [x for x in here if x["source"] == l["source"] and gap(x) == 0 and self.near(x, c)]
-            if not rivals and not self.has(c["txn_ref"], l["source"]) and not self.has(l["txn_ref"], c["source"]):
+        equal = list(self.equals(l, own=False))
+        if sum(map(len, equal)) == 1:
+            c = next(iter(equal[0].values()))
+            # Rivals are legs of l's source that are near c.
+            rival = any(self.equals(c | {"source": l["source"]}, own=True))
+            if not rival and not self.has(c["txn_ref"], l["source"]) and not self.has(l["txn_ref"], c["source"]):
                 yield S.T2_AMOUNT_DATE, 2, l, [c], 0.75
-        yield from self.batches(l, here, across)
+        yield from self.batches(l, window)
 
-    def batches(self, l: dict, here: list[dict], across: list[dict]) -> Iterator[tuple[str, int, dict, list[dict], float]]:
+    def batches(self, l: dict, window: tuple[str, str]) -> Iterator[tuple[str, int, dict, list[dict], float]]:
         r, hint, own = self.rules, self.rules.t3_require_batch_hint, l["attrs"].get("batch_ref") or ""
 
         def many(anchor: dict, legs: list[dict]) -> tuple[str, int, dict, list[dict], float]:
@@ -104,7 +149,8 @@ class Component:
             return S.T3_SUBSET, 3, anchor, legs, r.confidence(residual, r.tolerance(anchor["amount_minor"])) - 0.10
 
         # l settles legs of another source
-        pool = [c for c in across if not hint or c["attrs"].get("batch_ref") == (own or l["txn_ref"])]
+        held = self.by_batch.get((*window, own or l["txn_ref"]), {}) if hint else self.by_key.get(window, {})
+        pool = _canonical(c for c in held.values() if c["source"] != l["source"] and self.near(c, l))
         for source in sorted({c["source"] for c in pool}):
             part = [c for c in pool if c["source"] == source][: r.t3_max_candidates]
             found = bounded_subset([c["amount_minor"] for c in part], l["amount_minor"], r.tolerance(l["amount_minor"]), 2, r.t3_max_subset)
@@ -113,7 +159,8 @@ class Component:
         # l is one of those that a leg of another source settles
         if hint and not own:
             return
-        joined = [x for x in here if not hint or x["attrs"].get("batch_ref") == own or (x["source"] != l["source"] and x["txn_ref"] == own)]
+        joined = self.by_batch.get((*window, own), {}) | {i: x for i, x in self.by_key.get((*window, own), {}).items() if x["source"] != l["source"]} if hint else held
+        joined = _canonical(joined.values())
         for s in joined:
             if s["source"] == l["source"] or s["amount_minor"] <= l["amount_minor"] or not self.near(s, l):
                 continue
@@ -125,18 +172,21 @@ class Component:
 
     def step(self, l: dict) -> Iterator[tuple[str, dict]]:
         """Settle one incoming leg: (kind, fields) of what comes of it."""
-        related = [x for x in self.known if x["txn_ref"] == l["txn_ref"]]
-        before = [dict(x) for x in related]
+        related = list(self.by_ref[l["txn_ref"]])
         outcome = {"leg_id": l["id"], "outcome": "open", "rule_id": None, "match_id": None, "break_id": None}
-        self.known.append(l)
+        self.learn(l)
         l.update(status="open", match_id=None, break_id=None)
         across = [x for x in related if x["source"] != l["source"]]
+        # The classifier asks for the first leg of the source and of another one.
+        firsts = [next((x for x in related if (x["source"] == l["source"]) == own), None) for own in (True, False)]
+        before = sorted((dict(x) for x in firsts if x is not None), key=lambda x: x["ingest_seq"])
 
         def matched(rule: str, tier: int, anchor: dict, legs: list[dict], confidence: float) -> dict:
             ids = sorted(x["id"] for x in [anchor, *legs])
             m = {"id": _id("m", ids), "leg_ids": ids, "tier": tier, "rule_id": rule, "confidence": confidence,
                  "residual_minor": sum(x["amount_minor"] for x in legs) - anchor["amount_minor"], "currency": anchor["currency"]}
             for x in [anchor, *legs]:
+                self.closed(x)
                 x.update(status="matched", match_id=m["id"], break_id=None)
             outcome.update(outcome="matched", rule_id=rule, match_id=m["id"])
             return m
@@ -145,6 +195,7 @@ class Component:
             b = _id("brk", [x["id"] for x in legs])
             snapshot = [dict(x) for x in legs]
             for x in legs:
+                self.closed(x)
                 x.update(status="break", break_id=b)
             self.breaks[b] = {"open": True, "n": len(legs)}
             outcome.update(outcome="break", break_id=b)
@@ -154,7 +205,7 @@ class Component:
             yield "break", broken(S.DUPLICATE, [l])
         elif found := next(self.candidates(l), None):
             yield "match", matched(*found)
-        elif partners := sorted((x for x in across if x["status"] == "open"), key=lambda x: (x["value_date"], x["txn_ref"], x["id"])):
+        elif partners := _canonical(x for x in across if x["status"] == "open"):
             yield "break", broken(S.REF_CONFLICT, [l, *partners])
         elif late := next((x for x in across if self.heals(l, x)), None):
             b, tol = late["break_id"], self.rules.tolerance(l["amount_minor"])
@@ -165,6 +216,8 @@ class Component:
             yield "heal", {"id": b, "match_id": outcome["match_id"]}
         elif across:
             yield "break", broken(S.REF_CONFLICT, [l])
+        else:
+            self.opened(l)
         yield "outcome", outcome
 
     def heals(self, l: dict, x: dict) -> bool:
@@ -176,14 +229,14 @@ class Component:
 def _plain(leg: dict) -> dict:
     out = dict(leg)
     out["value_date"] = out["value_date"].isoformat()
-    for c in ("is_new", "break_open", "break_n", "component"):
+    for c in ("is_new", "break_open", "break_n", "component", "bucket"):
         out.pop(c, None)
     out["ingested_at"] = None if out["ingested_at"] is None or pd.isna(out["ingested_at"]) else pd.Timestamp(out["ingested_at"]).isoformat()
     return out
 
 
 def fold(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
-    """rows: a component's legs, those of the state (is_new false, with break_open and
+    """rows: the legs of whole components, those of the state (is_new false, with break_open and
     break_n of their breaks) and the new ones."""
     part, out = Component(rules), []
     for leg in rows.sort_values(["is_new", "ingest_seq"]).to_dict("records"):
@@ -192,7 +245,9 @@ def fold(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
         leg["ingest_seq"] = int(leg["ingest_seq"])
         leg["amount_minor"] = int(leg["amount_minor"])
         if not leg["is_new"]:
-            part.known.append(leg)
+            part.learn(leg)
+            if leg["status"] == "open":
+                part.opened(leg)
             if leg["break_id"]:
                 part.breaks[leg["break_id"]] = {"open": bool(leg["break_open"]), "n": int(leg["break_n"])}
             continue

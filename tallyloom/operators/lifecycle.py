@@ -23,7 +23,9 @@ def expire(state: State, rules: Rules, now: Column, older_than_s: float, forced:
     """Turn expired legs into breaks. forced: a window close (recorded when it expires any),
     rather than the periodic sweep."""
     gone = materialize(expired(state.legs, now, max(0.0, older_than_s) if forced else older_than_s), "expired")
-    of_ref = state.legs.join(gone.select("txn_ref").distinct(), "txn_ref", "left_semi").groupBy("txn_ref").agg(F.array_sort(F.collect_list(F.struct(*LEG_COLUMNS)), lambda a, b: F.signum(a["ingest_seq"] - b["ingest_seq"]).cast("int")).alias("related"))
+    # The classifier asks for the first leg of a reference on each source.
+    each = state.legs.join(gone.select("txn_ref").distinct(), "txn_ref", "left_semi").groupBy("txn_ref", "source").agg(F.min_by(F.struct(*LEG_COLUMNS), "ingest_seq").alias("x"))
+    of_ref = each.groupBy("txn_ref").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.signum(a["ingest_seq"] - b["ingest_seq"]).cast("int")).alias("related"))
     raw = gone.select("txn_ref", "ingest_seq", derived_id("brk", F.array("id")).alias("id"), F.lit(S.WINDOW_EXPIRED).alias("trigger"), F.array(F.struct(*LEG_COLUMNS)).alias("legs"))
     raw = raw.join(of_ref, "txn_ref").drop("txn_ref")
     breaks = materialize(open_breaks(raw, rules, now, classifier), "breaks")

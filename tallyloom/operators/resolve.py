@@ -1,10 +1,19 @@
 """Incremental matching of a batch of legs against the state.
 
 Legs influence each other only through a shared reference, a shared (currency,
-counterparty, amount), or a shared batch key in a window. Legs that are alone or one pair
-under all of these - normally nearly all - are settled by one aggregation over the
-reference. The rest is labelled by connected components, and a fold runs inside each
-component in order of arrival (operators.fold), in parallel across components.
+counterparty, amount) within the date window, or a shared batch key in a window.
+
+1. One aggregation over the reference settles what needs nothing else: single legs, pairs
+   of two sources (exact, tolerant or in conflict), and legs whose source had used the
+   reference before (duplicates).
+2. A shared amount only matters where a leg could be matched by it. That takes two open
+   legs of different sources, neither of whose references is known on the other's source;
+   where each amount's references all began on one and the same of two sources, it can't
+   happen. Amounts of which this isn't sure are looked at again by runs of dates, and only
+   what stays sends its references to step 3, together with batches, references of three
+   or more sources, and those the state knows.
+3. The rest is labelled by connected components, and a fold in order of arrival
+   (operators.fold) runs over whole components, many of them a task.
 
 Without the batch hint all legs of a window belong together, so a component is as large as
 its window; the fold then reads a window at a time.
@@ -16,7 +25,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom import schema as S
@@ -31,6 +40,8 @@ from tallyloom.session import materialize
 
 Classifier = Callable[[DataFrame, Rules], DataFrame]
 LEG_COLUMNS = [f.name for f in S.LEG]
+#: Legs a fold takes at a time, on average, if no component is larger.
+FOLDED = 20_000
 
 
 @dataclass
@@ -66,46 +77,89 @@ def _batch_ref() -> Column:
     return F.coalesce(F.try_element_at("attrs", F.lit("batch_ref")), F.lit(""))
 
 
-def _mark_isolated(legs: DataFrame, rules: Rules) -> DataFrame:
-    """legs with `alone`: whether the leg's reference group can be settled on its own."""
-    if not rules.t3_require_batch_hint:
-        return legs.withColumn("alone", F.lit(False))
-    by_amount = legs.groupBy(*WINDOW_KEY, "amount_minor").agg((F.min("txn_ref") == F.max("txn_ref")).alias("_one"))
-    batches = legs.select(_batch_ref().alias("txn_ref")).where("txn_ref <> ''").distinct().withColumn("_named", F.lit(True))
-    marked = legs.join(by_amount, [*WINDOW_KEY, "amount_minor"]).join(batches, "txn_ref", "left")
-    fine = F.col("_one") & (_batch_ref() == "") & F.col("_named").isNull() & F.col("is_new")
-    by_ref = marked.groupBy("txn_ref").agg(
-        (F.min(fine) & ((F.count("*") == 1) | ((F.count("*") == 2) & (F.min("source") != F.max("source"))))).alias("alone")
-    )
-    return legs.join(by_ref, "txn_ref")
+_ROW = ["ingest_seq", *[c for c in LEG_COLUMNS if c != "ingest_seq"]]
+_AMOUNT = [*WINDOW_KEY, "amount_minor"]
 
 
-def _settle_isolated(legs: DataFrame, rules: Rules) -> DataFrame:
-    """One row a reference: first (earlier leg), last (later leg or null) and the verdict."""
-    row = F.struct("ingest_seq", *[c for c in LEG_COLUMNS if c != "ingest_seq"])
-    pairs = legs.groupBy("txn_ref").agg(F.min_by(row, "ingest_seq").alias("first"), F.max_by(row, "ingest_seq").alias("last"), F.count("*").alias("n"))
+def _by_ref(legs: DataFrame, rules: Rules) -> DataFrame:
+    """One row a reference: first and last leg, n, `plain` (new legs only, no batch) and
+    `simple` (plain, and one leg or two of different sources)."""
+    row = F.struct(*_ROW)
+    named = legs.where(_batch_ref() != "").select(_batch_ref().alias("txn_ref")).distinct().withColumn("named", F.lit(True))
+    refs = legs.groupBy("txn_ref").agg(
+        F.min_by(row, "ingest_seq").alias("first"), F.max_by(row, "ingest_seq").alias("last"), F.count("*").alias("n"),
+        (F.min("source") != F.max("source")).alias("apart"), F.min(F.col("is_new") & (_batch_ref() == "")).alias("new"),
+    )
+    plain = F.col("new") & F.col("named").isNull() & F.lit(rules.t3_require_batch_hint)
+    refs = refs.join(named, "txn_ref", "left").withColumn("plain", plain)
+    simple = F.col("plain") & ((F.col("n") == 1) | ((F.col("n") == 2) & F.col("apart")))
+    return materialize(refs.select("txn_ref", "first", "last", "n", "plain", simple.alias("simple")), "refs")
+
+
+def _crowd(legs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The legs of references that are not simple, with `opener` (the source the reference
+    began on), `earliest` (whether its source hadn't used the reference before), `plain` and
+    the number of `sources`."""
+    many = legs.join(refs.where("NOT simple").select("txn_ref", "plain"), "txn_ref")
+    if refs.where("NOT simple").isEmpty():
+        return many.sparkSession.createDataFrame([], f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in many.schema)}, opener string, sources bigint, earliest boolean")
+    each = many.groupBy("txn_ref", "source").agg(F.min("ingest_seq").alias("_first"))
+    whole = each.groupBy("txn_ref").agg(F.min_by("source", "_first").alias("opener"), F.count("*").alias("sources"))
+    joined = many.join(each, ["txn_ref", "source"]).join(whole, "txn_ref")
+    return materialize(joined.withColumn("earliest", F.col("ingest_seq") == F.col("_first")).drop("_first"), "crowd")
+
+
+def _disputed(amounts: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys under which two legs might match by amount alone."""
+    began, joined = F.col("source") == F.col("opener"), F.col("source") != F.col("opener")
+    found = amounts.groupBy(*keys).agg(
+        (F.min("txn_ref") == F.max("txn_ref")).alias("_one"), F.collect_set("source").alias("_sources"),
+        F.min(F.when(began, F.col("source"))).alias("_lo"), F.max(F.when(began, F.col("source"))).alias("_hi"),
+        F.collect_set(F.when(joined, F.col("opener"))).alias("_openers"),
+    )
+    calm = (F.size("_sources") <= 2) & (F.col("_lo").isNull() | (F.col("_lo") == F.col("_hi"))) & F.forall("_openers", lambda o: F.array_contains("_sources", o))
+    return found.where(~(F.col("_one") | ((F.size("_sources") == 1) | calm))).select(*keys)
+
+
+def _by_amount(refs: DataFrame, crowd: DataFrame, rules: Rules) -> DataFrame:
+    """id, txn_ref, amount_key: the legs that share a disputed amount within the date window."""
+    columns = ["id", "txn_ref", "source", "opener", *_AMOUNT, "value_date"]
+    pair = F.when(F.col("n") == 1, F.array("first")).otherwise(F.array("first", "last"))
+    simple = refs.where("simple").select(F.col("first.source").alias("opener"), F.explode(pair).alias("x")).select("x.*", "opener").select(columns)
+    amounts = simple.unionByName(crowd.where("earliest").select(columns))
+    some = materialize(amounts.join(_disputed(amounts, _AMOUNT), _AMOUNT, "left_semi"), "amounts")
+    if some.isEmpty():
+        return some.select("id", "txn_ref", F.lit("").alias("amount_key"))
+    # Dates further apart than the window start a new run; one row a day and amount.
+    order = Window.partitionBy(*_AMOUNT).orderBy("value_date")
+    gap = F.datediff("value_date", F.lag("value_date").over(order))
+    days = some.select(*_AMOUNT, "value_date").distinct().withColumn("_new", (gap > rules.value_date_window_days).cast("int"))
+    days = days.withColumn("run", F.sum(F.coalesce("_new", F.lit(0))).over(order)).drop("_new")
+    keyed = some.join(days, [*_AMOUNT, "value_date"])
+    keyed = keyed.join(_disputed(keyed, [*_AMOUNT, "run"]), [*_AMOUNT, "run"], "left_semi")
+    return materialize(keyed.select("id", "txn_ref", F.concat_ws("\0", *_AMOUNT, "run").alias("amount_key")), "disputed")
+
+
+def _verdicts(pairs: DataFrame, rules: Rules) -> DataFrame:
+    """pairs: a row a reference with first (earlier leg), last (later leg) and n legs."""
     a, b = F.col("last"), F.col("first")
     diff = F.abs(a["amount_minor"] - b["amount_minor"])
     meets = (a["currency"] == b["currency"]) & (a["counterparty"] == b["counterparty"]) & within_days(a["value_date"], b["value_date"], rules)
-    return pairs.withColumns(
-        {"diff": diff, "verdict": F.when(F.col("n") == 1, "open").when(meets & (diff == 0), S.T1_EXACT).when(meets & (diff <= tolerance(a["amount_minor"], rules)), S.T2_REF).otherwise("break")}
-    )
+    verdict = F.when(F.col("n") == 1, "open").when(meets & (diff == 0), S.T1_EXACT).when(meets & (diff <= tolerance(a["amount_minor"], rules)), S.T2_REF).otherwise("break")
+    return pairs.withColumns({"diff": diff, "verdict": verdict})
 
 
-def _components(legs: DataFrame, rules: Rules) -> DataFrame:
+def _components(legs: DataFrame, amounts: DataFrame, rules: Rules) -> DataFrame:
     """legs with `component`."""
+    key = lambda kind, value: F.concat_ws("\0", F.lit(kind), value)
+    joint = lambda value: F.concat_ws("\0", F.lit("b"), *WINDOW_KEY, value)
     if not rules.t3_require_batch_hint:
         # Whole windows belong together, and windows that share a reference.
-        keys = F.array(F.struct(F.lit("r").alias("k"), F.col("txn_ref").alias("v")), F.struct(F.lit("w").alias("k"), F.to_json(F.struct(*WINDOW_KEY)).alias("v")))
+        keys = F.array(key("r", F.col("txn_ref")), F.concat_ws("\0", F.lit("w"), *WINDOW_KEY))
     else:
-        window = F.to_json(F.struct(*WINDOW_KEY))
-        joint = lambda kind, value: F.struct(F.lit(kind).alias("k"), F.concat_ws("\0", window, value).alias("v"))
-        keys = F.array_append(
-            F.array(F.struct(F.lit("r").alias("k"), F.col("txn_ref").alias("v")), joint("a", F.col("amount_minor").cast("string")), joint("b", F.col("txn_ref"))),
-            F.when(_batch_ref() != "", joint("b", _batch_ref())),
-        )
-    nodes = legs.select("id", F.explode(F.array_compact(keys)).alias("key")).select(F.concat(F.lit("leg:"), "id").alias("src"), F.to_json("key").alias("dst"))
-    found = connected_components(nodes).where(F.col("node").startswith("leg:")).select(F.expr("substring(node, 5)").alias("id"), "component")
+        keys = F.array_compact(F.array(key("r", F.col("txn_ref")), joint(F.col("txn_ref")), F.when(_batch_ref() != "", joint(_batch_ref()))))
+    nodes = legs.select("id", F.explode(keys).alias("dst")).unionByName(amounts.select("id", key("a", F.col("amount_key")).alias("dst")))
+    found = connected_components(nodes.select(F.concat(F.lit("leg:"), "id").alias("src"), "dst")).where(F.col("node").startswith("leg:")).select(F.expr("substring(node, 5)").alias("id"), "component")
     return legs.join(found, "id")
 
 
@@ -151,14 +205,29 @@ def ingest(new: DataFrame, state: State, rules: Rules, now: Column, classifier:
 
     held = _neighbours(fresh, state, rules)
     legs = fresh.select("*", F.lit(True).alias("is_new"), F.lit(None).cast("boolean").alias("break_open"), F.lit(None).cast("int").alias("break_n")).unionByName(held)
-    marked = materialize(_mark_isolated(legs, rules), "legs")
-    apart = materialize(_settle_isolated(marked.where("alone"), rules), "isolated")
-    rest = marked.where("NOT alone").drop("alone")
+    legs = materialize(legs, "legs")
+    refs = _by_ref(legs, rules)
+    crowd = _crowd(legs, refs)
+    amounts = _by_amount(refs, crowd, rules) if rules.t3_require_batch_hint else legs.sparkSession.createDataFrame([], "id string, txn_ref string, amount_key string")
+    twofold = F.col("plain") & (F.col("sources") <= 2)
+    bound = materialize(amounts.select("txn_ref").unionByName(crowd.where(~twofold).select("txn_ref")).distinct(), "bound")
+    free = crowd.where(twofold).join(bound, "txn_ref", "left_anti")
+    row = F.struct(*_ROW)
+    firsts = free.where("earliest").groupBy("txn_ref").agg(F.min_by(row, "ingest_seq").alias("first"), F.max_by(row, "ingest_seq").alias("last"), F.count("*").alias("n"))
+    pairs = refs.where("simple").join(bound, "txn_ref", "left_anti").select("txn_ref", "first", "last", "n").unionByName(firsts)
+    apart = materialize(_verdicts(pairs, rules), "apart")
+    reused = free.where("NOT earliest").select("txn_ref", row.alias("leg"))
+    rest = legs.join(bound, "txn_ref", "left_semi")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         return folding.fold(rows, rules)
 
-    folded = materialize(_components(rest, rules).groupBy("component").applyInPandas(settle, folding.RESULT), "folded")
+    n_rest = rest.count()
+    if n_rest:
+        bucket = F.pmod(F.xxhash64("component"), F.lit(n_rest // FOLDED + 1))
+        folded = materialize(_components(rest, amounts, rules).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(settle, folding.RESULT), "folded")
+    else:
+        folded = spark.createDataFrame([], folding.RESULT)
 
     def parsed(kind: str, ddl: str) -> DataFrame:
         return folded.where(F.col("kind") == kind).select("ingest_seq", F.from_json("payload", ddl).alias("x"))
@@ -183,11 +252,17 @@ def ingest(new: DataFrame, state: State, rules: Rules, now: Column, classifier:
         F.col("last.ingest_seq").alias("ingest_seq"), derived_id("brk", F.array("last.id", "first.id")).alias("id"), F.lit(S.REF_CONFLICT).alias("trigger"),
         F.array(as_leg("last"), as_leg("first")).alias("legs"), F.array(as_leg("first")).alias("related"),
     )
+    # Legs of a reference that their source had used: the first two of it are enough to tell.
+    again_breaks = reused.join(apart.select("txn_ref", "first", "last", "n"), "txn_ref").select(
+        F.col("leg.ingest_seq").alias("ingest_seq"), derived_id("brk", F.array("leg.id")).alias("id"), F.lit(S.DUPLICATE).alias("trigger"), F.array(as_leg("leg")).alias("legs"),
+        F.filter(F.when(F.col("n") == 1, F.array(as_leg("first"))).otherwise(F.array(as_leg("first"), as_leg("last"))), lambda x: x["ingest_seq"] < F.col("leg.ingest_seq")).alias("related"),
+    )
     known_attrs = lambda c: F.transform(c, lambda x: F.struct(*[x[k].alias(k) for k in LEG_COLUMNS]))
     raw = raw.withColumns({"legs": known_attrs(F.col("legs")), "related": known_attrs(F.col("related"))})
-    opened = materialize(open_breaks(pair_breaks.unionByName(raw), rules, now, classifier), "breaks")
+    opened = materialize(open_breaks(pair_breaks.unionByName(again_breaks).unionByName(raw), rules, now, classifier), "breaks")
     healed = parsed("heal", "id string, match_id string").select("ingest_seq", "x.*")
-    healed = materialize(resolve_late(healed, opened, state.breaks, now), "healed")
+    healed = resolve_late(healed, opened, state.breaks, now)
+    healed = materialize(healed, "healed") if n_rest else spark.createDataFrame([], healed.schema)
 
     # Legs.
     pair_legs = apart.select("verdict", "first", "last", "n", F.col("first.id").alias("a"), F.col("last.id").alias("b")).withColumn(
@@ -198,7 +273,8 @@ def ingest(new: DataFrame, state: State, rules: Rules, now: Column, classifier:
     settled = pair_legs.select("leg.*", "verdict", pair_ids.alias("ids")).withColumns(
         {"status": status, "match_id": F.when(status == "matched", derived_id("m", F.col("ids"))), "break_id": F.when(status == "break", derived_id("brk", F.col("ids")))}
     )
-    new_legs = materialize(settled.select(LEG_COLUMNS).unionByName(parsed("leg", leg_ddl).select("x.*").select(LEG_COLUMNS)), "legs")
+    again_legs = reused.select("leg.*").withColumns({"status": F.lit("break"), "match_id": F.lit(None).cast("string"), "break_id": derived_id("brk", F.array("id"))})
+    new_legs = settled.select(LEG_COLUMNS).unionByName(again_legs.select(LEG_COLUMNS)).unionByName(parsed("leg", leg_ddl).select("x.*").select(LEG_COLUMNS))
 
     # Outcomes.
     outcome_cols = [f.name for f in S.OUTCOME]
@@ -209,9 +285,12 @@ def ingest(new: DataFrame, state: State, rules: Rules, now: Column, classifier:
         F.col("last.ingest_seq").alias("ingest_seq"), F.col("last.id").alias("leg_id"), F.when(is_match, "matched").otherwise("break").alias("outcome"), F.when(is_match, F.col("verdict")).alias("rule_id"),
         F.when(is_match, derived_id("m", F.array("first.id", "last.id"))).alias("match_id"), F.when(~is_match, derived_id("brk", F.array("first.id", "last.id"))).alias("break_id"),
     )
+    again_out = reused.select(
+        F.col("leg.ingest_seq").alias("ingest_seq"), F.col("leg.id").alias("leg_id"), F.lit("break").alias("outcome"), null.alias("rule_id"), null.alias("match_id"), derived_id("brk", F.array("leg.id")).alias("break_id"),
+    )
     repeat_out = again.select("ingest_seq", F.col("id").alias("leg_id"), F.lit("duplicate").alias("outcome"), null.alias("rule_id"), null.alias("match_id"), null.alias("break_id"))
     fold_out = parsed("outcome", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.OUTCOME if f.name != "ingest_seq")).select("ingest_seq", "x.*").select(outcome_cols)
-    outcomes = materialize(first_out.unionByName(last_out).unionByName(repeat_out).unionByName(fold_out), "outcomes")
+    outcomes = first_out.unionByName(last_out).unionByName(again_out).unionByName(repeat_out).unionByName(fold_out)
 
     # Events, in the order of arrival and, within a step, of `ord`.
     delivered = fresh.select("ingest_seq", F.lit("leg.ingested").alias("type"), "id", F.struct(*LEG_COLUMNS).alias("leg")).unionByName(

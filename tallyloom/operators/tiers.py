@@ -1,8 +1,9 @@
 """The matching rules as set-based joins and aggregates.
 
-Each works on a table of open legs (schema.LEG) and is what the rule does to legs that no
-other rule disputes; operators.resolve applies them in order of arrival. "Incoming" is the
-leg with the larger ingest_seq, whose amount the tolerance refers to.
+Each works on a table of open legs (schema.LEG) and is what the rule alone does to legs that
+no other rule disputes, for analysis over a whole table. operators.resolve settles all rules
+together, incrementally: pairs and duplicates by aggregation, the rest by a fold in order of
+arrival. "Incoming" is the leg with the larger ingest_seq, whose amount the tolerance refers to.
 """
 
 from __future__ import annotations
@@ -88,12 +89,13 @@ def full_batches(legs: DataFrame, rules: Rules) -> DataFrame:
     one = legs.withColumn("_b", F.coalesce(F.when(batch != "", batch), F.col("txn_ref"))).select(F.struct(*legs.columns).alias("s"), *WINDOW_KEY, "_b")
     met = parts.select(F.struct(*legs.columns).alias("x"), *WINDOW_KEY, "_b").join(one, [*WINDOW_KEY, "_b"])
     met = met.where((F.col("x.source") != F.col("s.source")) & (F.col("x.id") != F.col("s.id")) & within_days(F.col("x.value_date"), F.col("s.value_date"), rules))
-    # No more than the cap of candidates ever takes part, so an array of one more is enough.
-    sums = met.groupBy(F.col("s"), F.col("x.source").alias("_src")).agg(
-        F.sum("x.amount_minor").alias("_sum"), F.count("*").alias("_n"), F.array_sort(F.collect_list("x.id")).alias("_ids")
+    # Counted first: ids are only collected of settlements with few enough legs.
+    few = met.groupBy(F.col("s.id").alias("_sid"), F.col("x.source").alias("_src")).agg(F.count("*").alias("_n")).where((F.col("_n") >= 2) & (F.col("_n") <= rules.t3_max_subset))
+    sums = met.join(few, (F.col("s.id") == F.col("_sid")) & (F.col("x.source") == F.col("_src"))).groupBy(F.col("s"), "_src").agg(
+        F.sum("x.amount_minor").alias("_sum"), F.array_sort(F.collect_list("x.id")).alias("_ids")
     )
     tol, residual = tolerance(F.col("s.amount_minor"), rules), F.col("_sum") - F.col("s.amount_minor")
-    found = sums.where((F.col("_n") >= 2) & (F.col("_n") <= rules.t3_max_subset) & (F.abs(residual) <= tol))
+    found = sums.where(F.abs(residual) <= tol)
     ids = F.array_sort(F.array_append("_ids", F.col("s.id")))
     return found.select(
         derived_id("m", ids).alias("id"), ids.alias("leg_ids"), F.lit(3).alias("tier"), F.lit(S.T3_SUBSET).alias("rule_id"),

@@ -184,14 +184,47 @@ def w5_close_window(spark, sf_dir):
     return changes.breaks.select("id", "category", "confidence", "trigger", "reason")
 
 
-def j10_late_arrival(spark, sf_dir):
+def _late(spark, sf_dir) -> Changes:
     """All ledger legs expire; then the rail legs come."""
     legs = _pairs(spark, sf_dir)
     state = apply(State.empty(spark), ingest(legs.where("source = 'ledger'"), State.empty(spark), RULES, _at()))
     swept, _ = lifecycle.expire(state, RULES, _at("2026-09-18 09:00:00"), 48 * 3600.0)
     state = State(*(materialize(x, "state") for x in vars(apply(state, swept)).values()))
-    changes = ingest(legs.where("source = 'rail'"), state, RULES, _at("2026-09-18 10:00:00"))
-    return changes.outcomes.groupBy("outcome", "rule_id").agg(F.count("*").alias("n"))
+    return ingest(legs.where("source = 'rail'"), state, RULES, _at("2026-09-18 10:00:00"))
+
+
+def j10_late_arrival(spark, sf_dir):
+    return _late(spark, sf_dir).outcomes.groupBy("outcome", "rule_id").agg(F.count("*").alias("n"))
+
+
+def j10_late_arrival_legs(spark, sf_dir):
+    """The outcome of each leg that comes after its partner's expiry."""
+    return _late(spark, sf_dir).outcomes.select("ingest_seq", "leg_id", "outcome", "rule_id")
+
+
+def w1_duplicates(spark, sf_dir):
+    """Breaks of legs that were sent again with other attributes, by way of ingest."""
+    legs = feeds.order_pairs(spark, sf_dir)
+    again = legs.where("k % 97 = 0 AND b < 19 AND source = 'rail'").withColumns({"attrs": F.create_map(F.lit("resend"), F.lit("true")), "ingest_seq": F.lit(10**12) + F.col("k")})
+    changes = ingest(valid(normalize(legs.unionByName(again), _at())), State.empty(spark), RULES, _at())
+    return changes.breaks.where(F.col("trigger") == "duplicate").select("id", F.col("leg_ids")[0].alias("leg_id"), "category", "confidence", "reason")
+
+
+def w1_batches(spark, sf_dir):
+    """Settlements of batches, by way of ingest."""
+    legs = valid(normalize(feeds.lineitem_batches(spark, sf_dir), _at()))
+    found = ingest(legs, State.empty(spark), RULES, _at()).matches.where("tier = 3")
+    return found.select("id", F.size("leg_ids").alias("n_legs"), F.round("confidence", 6).alias("confidence"), "residual_minor", "currency")
+
+
+def k5_event_payloads(spark, sf_dir):
+    """What the events of matches and breaks say."""
+    e = ingested(spark, sf_dir)[0].events.where("type IN ('match.created', 'break.opened')")
+    said = lambda field: F.get_json_object("payload", f"$.{field}")
+    return e.select(
+        "type", "aggregate_id", said("id").alias("id"), said("rule_id").alias("rule_id"), said("residual_minor").cast("bigint").alias("residual_minor"),
+        said("category").alias("category"), said("reason").alias("reason"), said("leg_ids[0]").alias("leg_id"), said("leg_ids[1]").alias("other_leg_id"),
+    )
 
 
 def w9_replay(spark, sf_dir):
@@ -341,12 +374,32 @@ SELECT group_id, pos, id, amount_minor FROM e JOIN legs USING (id)""",
         """, x AS (SELECT CASE WHEN l.currency = c.currency AND abs(l.amount_minor - c.amount_minor) <= l.tol THEN 'resolved_break' ELSE 'break' END AS outcome
   FROM legs l JOIN legs c ON l.txn_ref = c.txn_ref AND l.source = 'rail' AND c.source = 'ledger')
 SELECT outcome, CASE WHEN outcome = 'resolved_break' THEN 'T2.late-arrival@v1' END AS rule_id, count(*) AS n FROM x GROUP BY outcome""",
+    ),
+    "j10_late_arrival_legs": _with(
+        _LEGS,
+        """, x AS (SELECT l.ingest_seq, l.id AS leg_id, CASE WHEN l.currency = c.currency AND abs(l.amount_minor - c.amount_minor) <= l.tol THEN 'resolved_break' ELSE 'break' END AS outcome
+  FROM legs l JOIN legs c ON l.txn_ref = c.txn_ref AND l.source = 'rail' AND c.source = 'ledger')
+SELECT ingest_seq, leg_id, outcome, CASE WHEN outcome = 'resolved_break' THEN 'T2.late-arrival@v1' END AS rule_id FROM x""",
+    ),
+    "w1_duplicates": _with(
+        _LEGS.replace("legs AS (\n  SELECT *,", "sent AS (SELECT * FROM raw UNION ALL SELECT * REPLACE (1000000000000 + k AS ingest_seq, 'resend' || chr(0) || 'true' || chr(0) AS extra) FROM raw WHERE k % 97 = 0 AND b < 19 AND source = 'rail'),\nlegs AS (\n  SELECT *,").replace("AS tol FROM raw)", "AS tol FROM sent)"),
+        """SELECT 'brk_' || substr(sha256(l.id), 1, 20) AS id, l.id AS leg_id, 'duplicate' AS category, 0.95::DOUBLE AS confidence,
+  'same source "rail" re-used txn_ref "' || l.txn_ref || '" (existing leg ' || c.id || ')' AS reason
+FROM legs l JOIN legs c ON c.txn_ref = l.txn_ref AND c.source = 'rail' AND c.ingest_seq < 1000000000000 WHERE l.ingest_seq >= 1000000000000""",
+    ),
+    "k5_event_payloads": _with(
+        _MET,
+        """SELECT 'match.created' AS type, id AS aggregate_id, id, rule_id, residual_minor, NULL::VARCHAR AS category, NULL::VARCHAR AS reason, least(lid, cid) AS leg_id, greatest(lid, cid) AS other_leg_id FROM matches
+UNION ALL SELECT 'break.opened', id, id, NULL, NULL, category, reason, string_split(leg_ids, '|')[1], string_split(leg_ids, '|')[2] FROM breaks""",
     ),
     "w9_replay": _with(_MET, f"SELECT {_M} FROM matches"),
     "s2_record_decode": _with(_LEGS, "SELECT ingest_seq AS offset, id, source, txn_ref FROM legs WHERE k % 50 <> 0"),
 }
 
 
+ORACLES["w1_batches"] = ORACLES["j6_t3_batches"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: globals()[name] for name in ORACLES}
 

@@ -25,13 +25,15 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "tallyl
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir). Only where that is
-    unset, as in local tests, a temporary folder is made and set."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Only where that is unset and
+    the session is local, as in tests, a temporary folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if found is None and jsc.getCheckpointDir().isDefined():
         found = jsc.getCheckpointDir().get()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -56,6 +58,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer parts than there are cores, such as one
+    small file; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote and nothing needs any more."""
     spark = df.sparkSession

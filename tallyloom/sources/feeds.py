@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import schema as S
 from tallyloom.operators.normalize import normalize, parse_date
-from tallyloom.session import table
+from tallyloom.session import spread, table
 
 _RAW = S.LEG_FIELDS.replace("value_date date", "value_date string")
 
@@ -59,14 +59,15 @@ def decode_records(records: DataFrame) -> DataFrame:
     those with `problems` are dead letters. Missing source, reference and time come from
     the record."""
     value, key = F.col("value").cast("string"), F.col("key").cast("string")
-    parsed = records.select("topic", "partition", "offset", "timestamp", key.alias("_key"), F.from_json(value, _RAW).alias("x"), F.try_parse_json(value).isNull().alias("_bad"))
+    read = F.from_json(value, f"{_RAW}, _unread string", {"columnNameOfCorruptRecord": "_unread"})
+    parsed = records.select("topic", "partition", "offset", "timestamp", key.alias("_key"), read.alias("x"))
     rows = parsed.select(
         "topic", "partition", "offset",
         F.coalesce(F.when(F.col("x.source") != "", F.col("x.source")), topic_source(F.col("topic"))).alias("source"),
         F.coalesce(F.when(F.col("x.txn_ref") != "", F.col("x.txn_ref")), F.col("_key")).alias("txn_ref"),
         F.col("x.amount_minor").alias("amount_minor"), F.col("x.currency").alias("currency"), parse_date(F.col("x.value_date")).alias("value_date"),
         F.col("x.direction").alias("direction"), F.col("x.counterparty").alias("counterparty"), F.col("x.attrs").alias("attrs"),
-        F.coalesce(F.col("x.ingested_at"), F.col("timestamp")).alias("ingested_at"), "_bad",
+        F.coalesce(F.col("x.ingested_at"), F.col("timestamp")).alias("ingested_at"), (F.col("x._unread").isNotNull() | F.col("x").isNull()).alias("_bad"),
     )
     out = normalize(rows)
     return out.withColumn("problems", F.when(F.col("_bad"), F.array(F.lit("not JSON"))).otherwise(F.col("problems"))).drop("_bad")
@@ -77,7 +78,7 @@ def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     within tolerance, but for a fee, a late date or a currency; by order key."""
     k, b = F.col("o_orderkey"), F.col("o_orderkey") % 20
     amount = F.round(F.col("o_totalprice") * 100).cast("long")
-    base = table(spark, sf_dir, "orders").select(
+    base = spread(table(spark, sf_dir, "orders")).select(
         k.alias("k"), b.alias("b"), F.concat(F.lit("ORD-"), k).alias("txn_ref"), amount.alias("amt"),
         F.element_at(F.array(F.lit("USD"), F.lit("EUR"), F.lit("GBP")), (F.col("o_custkey") % 3).cast("int") + 1).alias("ccy"),
         F.concat(F.lit("CP-"), F.col("o_custkey") % 8).alias("counterparty"), F.col("o_orderdate").cast("date").alias("d"),

@@ -28,10 +28,11 @@ same share of N at every N.
    forest of links, never pairs; each pair is looked at in the first band it shares.
 5. Components of links are classes; the class id is the smallest document id in it.
 
-Texts without a word (null, empty, white space) have no shingles: such a document is a
-class of its own, also where texts repeat. Rows with a null id get a null class and take no
-part. Rows that share an id are in one class, whatever their texts. Other columns, whatever
-their names, don't matter; an empty table gives no rows.
+Equal texts are one class whatever they hold, so texts without a word (empty, white space)
+are in one class with equal ones and with no others: they have no shingles. A null text is
+a class of its own. Rows with a null id get a null class and take no part. Rows that share
+an id are in one class, whatever their texts. Other columns, whatever their names,
+don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -360,13 +361,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     n = docs.where(F.col(text).isNotNull()).count()
     weights = Weights(document_frequencies(docs, text), n)
-    signed = materialize(_signatures(docs, weights, key, text), "signatures").where("drawn IS NOT NULL")
+    signed = materialize(_signatures(docs, weights, key, text), "signatures")
     # Written first, so that the joins below may split a text that many rows hold.
     named = signed.groupBy("_a", "_b").agg(F.min("_k").alias("least"), F.any_value("size").alias("size"), F.any_value("drawn").alias("drawn"))
     named = materialize(named.withColumn("node", F.monotonically_increasing_id()), "named")
     members = materialize(signed.select("_k", "_a", "_b").distinct().join(named.select("_a", "_b", "node"), ["_a", "_b"]).select("_k", "node"), "members")
     keys = F.array(*[F.xxhash64(F.slice("drawn", b * ROWS + 1, ROWS)) for b in range(BANDS)])
-    banded = named.select("node", F.posexplode(keys).alias("band", "bucket"), "drawn", "size")
+    banded = named.where("drawn IS NOT NULL").select("node", F.posexplode(keys).alias("band", "bucket"), "drawn", "size")
     shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialize(banded.join(shared, ["band", "bucket"]), "crowded")
     # The more company a node has in its buckets, the more central it is.

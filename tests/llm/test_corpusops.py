@@ -140,10 +140,10 @@ def plain_classes(rows):
             x = parent[x]
         return x
 
-    s = [(i, shingles(t)) for i, t, _ in rows]
+    s, texts = [(i, shingles(t)) for i, t, _ in rows], [(i, t) for i, t, _ in rows]
     for a, (i, x) in enumerate(s):
         for j, y in s[:a]:
-            same = sum((x & y).values()) / sum((x | y).values()) if x and y else 0
+            same = sum((x & y).values()) / sum((x | y).values()) if x and y else float(rows[a][1] is not None and rows[a][1] == dict(texts)[j])
             close += [same] if 0.77 < same < 0.83 else []
             if same >= 0.8:
                 p, q = find(i), find(j)

@@ -222,7 +222,7 @@ def k5_event_payloads(spark, sf_dir):
     e = ingested(spark, sf_dir)[0].events.where("type IN ('match.created', 'break.opened')")
     said = lambda field: F.get_json_object("payload", f"$.{field}")
     return e.select(
-        "type", "aggregate_id", said("id").alias("id"), said("rule_id").alias("rule_id"), said("residual_minor").cast("bigint").alias("residual_minor"),
+        "type", "aggregate_id", said("id").alias("id"), said("rule_id").alias("rule_id"), said("residual_minor").alias("residual_minor"),
         said("category").alias("category"), said("reason").alias("reason"), said("leg_ids[0]").alias("leg_id"), said("leg_ids[1]").alias("other_leg_id"),
     )
 
@@ -389,7 +389,7 @@ FROM legs l JOIN legs c ON c.txn_ref = l.txn_ref AND c.source = 'rail' AND c.ing
     ),
     "k5_event_payloads": _with(
         _MET,
-        """SELECT 'match.created' AS type, id AS aggregate_id, id, rule_id, residual_minor, NULL::VARCHAR AS category, NULL::VARCHAR AS reason, least(lid, cid) AS leg_id, greatest(lid, cid) AS other_leg_id FROM matches
+        """SELECT 'match.created' AS type, id AS aggregate_id, id, rule_id, residual_minor::VARCHAR AS residual_minor, NULL::VARCHAR AS category, NULL::VARCHAR AS reason, least(lid, cid) AS leg_id, greatest(lid, cid) AS other_leg_id FROM matches
 UNION ALL SELECT 'break.opened', id, id, NULL, NULL, category, reason, string_split(leg_ids, '|')[1], string_split(leg_ids, '|')[2] FROM breaks""",
     ),
     "w9_replay": _with(_MET, f"SELECT {_M} FROM matches"),

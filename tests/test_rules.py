@@ -1,3 +1,6 @@
+from fractions import Fraction
+from math import floor
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,10 +9,18 @@ from tallyloom.operators.fold import bounded_subset
 from tallyloom.rules import Rules, duration_seconds
 
 
-def test_tolerance_boundaries():
+@given(st.integers(0, 10**12), st.integers(0, 10_000), st.integers(0, 50))
+def test_tolerance_is_rounded_half_up(amount, bps, least):
+    exact = Fraction(amount * bps, 10_000)
+    assert Rules(tolerance_bps=bps, tolerance_abs_minor=least).tolerance(amount) == max(floor(exact + Fraction(1, 2)), least)
+
+
+@given(st.integers(-500, 500), st.integers(-3, 300))
+def test_confidence_falls_with_the_residual(residual, tol):
     r = Rules()
-    assert [r.tolerance(x) for x in (0, 10_000, 20_500, 1_234_567)] == [2, 10, 21, 1235]
-    assert r.confidence(7, 10) == 0.845 and r.confidence(0, 10) == 0.95 and r.confidence(99, 10) == 0.8 and r.confidence(1, 0) == 0.95
+    got = r.confidence(residual, tol)
+    assert got == r.confidence(-residual, tol) and 0.8 <= got <= 0.95 and got <= r.confidence(0, tol)
+    assert abs(got - (0.95 if tol <= 0 else 0.95 - 0.15 * min(1, abs(residual) / tol))) <= 0.0005 + 1e-9
 
 
 @pytest.mark.parametrize("wrong", [{"tolerance_bps": 10_001}, {"tolerance_abs_minor": -1}, {"value_date_window_days": 366}, {"t3_max_candidates": 1}, {"t3_max_subset": 13}])

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from tallyloom.rules import Rules
 from tallyloom.sources import feeds
 from tallyloom.streaming.stream import Store, start
 
-GOOD = {"source": "ledger", "txn_ref": "A", "amount_minor": 100, "currency": "usd", "value_date": "2026-09-15", "direction": "DEBIT", "counterparty": "VISA"}
+GOOD = {"source": "acquirer", "txn_ref": "Q-5", "amount_minor": 4375, "currency": "chf", "value_date": "2027-02-03", "direction": "Credit", "counterparty": "ORBIT"}
 
 
 def test_json_batches(spark):
@@ -17,21 +18,26 @@ def test_json_batches(spark):
     got = {}
     for r in out.collect():
         got.setdefault(r["n"], []).append((r["refused"], r["source"]))
-    assert got[1] == [(None, "ledger")] * 2 and got[2] == [(None, "ledger")]
+    assert got[1] == [(None, "acquirer")] * 2 and got[2] == [(None, "acquirer")]
     assert got[3] == got[4] == got[5] == [("no legs", None)] and got[6] == [("more than 2 legs", None)]
 
 
 def test_record_decode(spark):
-    def record(n, topic, key, value):
-        return (topic, 0, n, key and key.encode(), value.encode())
-
-    bare = {k: v for k, v in GOOD.items() if k not in ("source", "txn_ref")}
-    rows = [record(1, "rail.legs.v1", "K1", json.dumps(bare)), record(2, "plain", None, json.dumps(GOOD)), record(3, "x", None, "{oops"), record(4, "x.y", None, json.dumps(bare))]
-    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, key binary, value binary").withColumn("timestamp", F.lit("2026-09-15 09:00:00").cast("timestamp"))
-    got = {r["offset"]: r for r in feeds.decode_records(df).collect()}
-    assert (got[1]["source"], got[1]["txn_ref"], got[1]["currency"], got[1]["direction"]) == ("rail", "K1", "USD", "debit") and not got[1]["problems"]
-    assert got[2]["source"] == "ledger" and got[2]["txn_ref"] == "A"
-    assert got[3]["problems"] == ["not JSON"] and "txn_ref is required" in got[4]["problems"]
+    """Records with any of source, reference, topic prefix and key missing; some unreadable."""
+    r, rows, want = random.Random(31), [], {}
+    for n in range(80):
+        body = {k: v for k, v in GOOD.items() if k not in ("source", "txn_ref") or r.random() < 0.5}
+        topic, key = r.choice(["bank.in", "desk", "bank.a.b"]), r.choice([f"K{n}", None])
+        odd = r.choice([None, None, None, "{", "nonsense", '{"amount_minor": 5', ""])
+        rows.append((topic, 0, n, key and key.encode(), (json.dumps(body) if odd is None else odd).encode()))
+        ref = body.get("txn_ref", key)
+        want[n] = "not JSON" if odd is not None else (body.get("source", topic.split(".")[0]), ref) if ref else "txn_ref is required"
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, key binary, value binary").withColumn("timestamp", F.lit("2027-02-04 10:00:00").cast("timestamp"))
+    for x in feeds.decode_records(df).collect():
+        if isinstance(want[x["offset"]], str):
+            assert want[x["offset"]] in x["problems"], x
+        else:
+            assert not x["problems"] and (x["source"], x["txn_ref"], x["currency"], x["direction"]) == (*want[x["offset"]], "CHF", "credit")
 
 
 def test_components(spark):
@@ -51,7 +57,7 @@ def test_stream(spark, tmp_path):
 
     def go():
         legs = feeds.read_files(spark, f"file://{source}", streaming=True)
-        q = start(legs, store, f"file://{tmp_path}/check", Rules(), 48 * 3600.0, lambda: "2026-09-15 09:00:00", available_now=True, dead_letters=f"file://{tmp_path}/dead")
+        q = start(legs, store, f"file://{tmp_path}/check", Rules(), 48 * 3600.0, lambda: "2027-02-04 10:00:00", available_now=True, dead_letters=f"file://{tmp_path}/dead")
         q.awaitTermination(300)
 
     feed(1, [GOOD | {"ingest_seq": 1}, GOOD | {"ingest_seq": 2, "txn_ref": "B", "amount_minor": -1}])
@@ -70,9 +76,9 @@ def test_micro_batch_orders_records(spark, tmp_path):
 
     body = {k: v for k, v in GOOD.items() if k not in ("source", "txn_ref")}
     rows = [(f"{s}.legs", 0, n, b"K1", json.dumps(body).encode()) for n, s in enumerate(["ledger", "rail", "ledger"])]
-    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, key binary, value binary").withColumn("timestamp", F.lit("2026-09-15 09:00:00").cast("timestamp"))
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, key binary, value binary").withColumn("timestamp", F.lit("2027-02-04 10:00:00").cast("timestamp"))
     store = Store(spark, f"file://{tmp_path}/state")
-    run = micro_batch(store, Rules(), 3600.0, lambda: "2026-09-15 09:00:00")
+    run = micro_batch(store, Rules(), 3600.0, lambda: "2027-02-04 10:00:00")
     run(feeds.decode_records(df), 0)
     run(feeds.decode_records(df), 0)  # repeated: nothing happens
     state = store.read(0)

@@ -334,12 +334,13 @@ def resolve_late(healed: DataFrame, opened: DataFrame, held: DataFrame, now: Col
     return out.select("ingest_seq", "match_id", *names)
 
 
-def apply(state: State, changes: Changes) -> State:
-    """The state after a step; events get the numbers that follow the state's."""
+def over(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new, and the rows of old whose id it doesn't hold."""
+    return old.join(new.select("id"), "id", "left_anti").select(new.columns).unionByName(new)
 
-    def over(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.join(new.select("id"), "id", "left_anti").select(new.columns).unionByName(new)
 
+def apply(state: State, changes: Changes) -> State:
+    """The state after a step; events get the numbers that follow the state's."""
     return State(
         over(state.legs, changes.legs), over(state.matches, changes.matches), over(state.breaks, changes.breaks),
         state.events.unionByName(numbered(changes.events, last_seq(state.events)).select(state.events.columns)),

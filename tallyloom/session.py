@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,9 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "tallyl
     )
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir). Only where that is unset and
     the session is local, as in tests, a temporary folder is made and set."""
@@ -50,6 +56,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     lineage ends there, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,8 +75,23 @@ def spread(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote and nothing needs any more."""
-    spark = df.sparkSession
+    _delete(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside are deleted at the end; what is needed
+    longer must have been written elsewhere by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        _delete(spark, _made.get() or [])
+        _made.reset(token)
+
+
+def _delete(spark: SparkSession, folders) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)

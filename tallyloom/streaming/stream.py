@@ -1,14 +1,20 @@
 """Continuous reconciliation: each micro-batch runs the same plan as a batch ingest.
 
-The state lives in numbered directories: version N holds the projections after micro-batch
-N as Parquet, and events/batch=N its events; a `_COMMIT` file marks a version as whole. A
-restarted query that repeats a micro-batch finds its version committed and leaves it, so
+The state below a shared path is a snapshot and the changes since: v=N holds the rows that
+micro-batch N put over those of equal id, events/batch=N its events; a `_COMMIT` file
+marks both as whole and holds the last event's number. What a micro-batch writes follows
+its own size. Every COMPACT versions base=N is written, the whole projections; changes and
+snapshots before the last snapshot but one are deleted, so a reader has that long. Events
+are never deleted.
+
+A restarted query that repeats a micro-batch finds its version committed and leaves it, so
 delivery is at least once and effects are exactly once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +23,17 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyloom import schema as S
 from tallyloom.operators import lifecycle
 from tallyloom.operators.normalize import normalize, rejected, valid
-from tallyloom.operators.resolve import Changes, State, apply, ingest, last_seq
+from tallyloom.operators.resolve import Changes, State, ingest, last_seq, numbered, over
 from tallyloom.rules import Rules
+from tallyloom.session import scratch
+
+PROJECTIONS = {"legs": S.LEG, "matches": S.MATCH, "breaks": S.BREAK}
+#: Versions between two snapshots.
+COMPACT = 32
 
 
 class Store:
-    """Versions of the state below a shared path."""
+    """The state and its changes below a shared path."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -33,44 +44,109 @@ class Store:
     def _at(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def committed(self, version: int) -> bool:
-        return self._fs.exists(self._at(f"v={version}/_COMMIT"))
+    def committed(self, version: int, kind: str = "v") -> bool:
+        return self._fs.exists(self._at(f"{kind}={version}/_COMMIT"))
+
+    def versions(self, kind: str = "v") -> list[int]:
+        """The whole versions (v) or snapshots (base) that there are."""
+        if not self._fs.exists(self._root):
+            return []
+        names = [s.getPath().getName().partition("=") for s in self._fs.listStatus(self._root)]
+        return sorted(int(n) for k, _, n in names if k == kind and self.committed(int(n), kind))
 
     def latest(self) -> int:
         """The newest whole version, or -1."""
-        if not self._fs.exists(self._root):
-            return -1
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
-        return max((int(n[2:]) for n in names if n.startswith("v=") and self.committed(int(n[2:]))), default=-1)
+        return max(self.versions(), default=-1)
+
+    def last_seq(self, version: int) -> int:
+        """The number of the last event as of a version."""
+        if version < 0:
+            return 0
+        held = self._fs.open(self._at(f"v={version}/_COMMIT"))
+        try:
+            return held.readLong()
+        finally:
+            held.close()
+
+    def _commit(self, folder: str, seq: int) -> None:
+        out = self._fs.create(self._at(f"{folder}/_COMMIT"), True)
+        out.writeLong(seq)
+        out.close()
 
     def read(self, version: int) -> State:
+        """The state as of a version that isn't older than the oldest snapshot."""
+        empty = State.empty(self.spark)
         if version < 0:
-            return State.empty(self.spark)
-        base = f"{self.path}/v={version}"
+            return empty
+        bases = [n for n in self.versions("base") if n <= version]
+        since = [n for n in self.versions() if n <= version and (not bases or n > bases[-1])]
+
+        def projection(name: str, kind) -> DataFrame:
+            old = self.spark.read.schema(kind).parquet(f"{self.path}/base={bases[-1]}/{name}") if bases else getattr(empty, name)
+            if not since:
+                return old
+            columns = [f.name for f in kind]
+            ddl = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kind)}, _v bigint"
+            each = self.spark.read.schema(ddl).parquet(*[f"{self.path}/v={n}/{name}" for n in since])
+            newest = each if len(since) == 1 else each.groupBy("id").agg(F.max_by(F.struct(*columns), "_v").alias("x")).select("x.*")
+            return over(old, newest.select(columns)) if bases else newest.select(columns)
+
         events = self.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.EVENT)}, batch bigint").parquet(f"{self.path}/events")
-        legs, matches, breaks = (self.spark.read.schema(s).parquet(f"{base}/{n}") for n, s in (("legs", S.LEG), ("matches", S.MATCH), ("breaks", S.BREAK)))
-        return State(legs, matches, breaks, events.where(F.col("batch") <= version).drop("batch"))
+        return State(*(projection(n, k) for n, k in PROJECTIONS.items()), events.where(F.col("batch") <= version).drop("batch"))
+
+    def write(self, version: int, steps: list[Changes]) -> None:
+        """The changes of a micro-batch's steps, in their order, as one version."""
+        empty, seq = State.empty(self.spark), self.last_seq(self.latest())
+        for name in PROJECTIONS:
+            rows = reduce(over, [getattr(c, name) for c in steps], getattr(empty, name))
+            rows.withColumn("_v", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
+        events = empty.events
+        for step in steps:
+            found = numbered(step.events, seq)
+            seq = max(seq, last_seq(found))
+            events = events.unionByName(found.select(events.columns))
+        events.write.mode("overwrite").parquet(f"{self.path}/events/batch={version}")
+        self._commit(f"v={version}", seq)
+
+    def compact(self) -> None:
+        """A new snapshot if COMPACT versions have come since the last; then what only older
+        snapshots need is deleted."""
+        bases, versions = self.versions("base"), self.versions()
+        if len([n for n in versions if not bases or n > bases[-1]]) < COMPACT:
+            return
+        version = versions[-1]
+        state = self.read(version)
+        for name in PROJECTIONS:
+            getattr(state, name).write.mode("overwrite").parquet(f"{self.path}/base={version}/{name}")
+        self._commit(f"base={version}", self.last_seq(version))
+        for kind, held in (("base", bases[:-1]), ("v", [n for n in versions if bases and n <= bases[-1]])):
+            for n in held:
+                self._fs.delete(self._at(f"{kind}={n}"), True)
+
 
-    def write(self, version: int, state: State, before: int) -> None:
-        base = f"{self.path}/v={version}"
-        for name in ("legs", "matches", "breaks"):
-            getattr(state, name).write.mode("overwrite").parquet(f"{base}/{name}")
-        state.events.where(F.col("seq") > before).write.mode("overwrite").parquet(f"{self.path}/events/batch={version}")
-        self._fs.create(self._at(f"v={version}/_COMMIT"), True).close()
+def with_heartbeat(legs: DataFrame) -> DataFrame:
+    """The stream of legs and a tick a second, marked in `_tick`: without rows there is no
+    micro-batch, and without one no sweep."""
+    ticks = legs.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit(True).alias("_tick"))
+    return legs.withColumn("_tick", F.lit(False)).unionByName(ticks, allowMissingColumns=True)
 
 
 def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], str], dead_letters: str | None = None):
     """A foreachBatch function: sweep what has expired, then ingest. Rows need ingest_seq or
-    (topic, partition, offset), whose order they arrive in."""
+    (topic, partition, offset), whose order they arrive in. Where there is nothing to ingest
+    and nothing has expired, no version is written."""
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if store.committed(batch_id):
-            return
+    def step(batch: DataFrame, batch_id: int) -> None:
         state = store.read(store.latest())
-        before = last_seq(state.events)
         now = F.lit(clock()).cast("timestamp")
-        changes, _ = lifecycle.expire(state, rules, now, ttl_s)
-        state = apply(state, changes)
+        if "_tick" in batch.columns:
+            batch = batch.where("NOT _tick").drop("_tick")
+        swept, n = lifecycle.expire(state, rules, now, ttl_s)
+        if batch.isEmpty():
+            if n:
+                store.write(batch_id, [swept])
+            return
+        state = State(*(over(getattr(state, name), getattr(swept, name)) for name in PROJECTIONS), state.events) if n else state
         rows = batch if "problems" in batch.columns else normalize(batch, now)
         if dead_letters:
             rejected(rows).write.mode("overwrite").json(f"{dead_letters}/batch={batch_id}")
@@ -80,16 +156,24 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
             base = state.legs.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0] + 1
             # Range partitions are numbered in order, so the id increases along it.
             legs = legs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ingest_seq", F.lit(base) + F.monotonically_increasing_id())
-        state = apply(state, ingest(legs, state, rules, now))
-        store.write(batch_id, state, before)
+        store.write(batch_id, [swept, ingest(legs, state, rules, now)])
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if store.committed(batch_id):
+            return
+        with scratch(store.spark):
+            step(batch, batch_id)
+            store.compact()
 
     return run
 
 
 def start(legs: DataFrame, store: Store, checkpoint: str, rules: Rules, ttl_s: float, clock: Callable[[], str], available_now: bool = False, dead_letters: str | None = None) -> StreamingQuery:
-    """Run continuously, or until what is there has been read."""
+    """Run continuously, sweeping also while no legs arrive, or until what is there has been
+    read."""
+    legs = legs if available_now else with_heartbeat(legs)
     writer = legs.writeStream.foreachBatch(micro_batch(store, rules, ttl_s, clock, dead_letters)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 
-__all__ = ["Changes", "Store", "micro_batch", "start"]
+__all__ = ["Changes", "Store", "micro_batch", "start", "with_heartbeat"]

@@ -83,3 +83,70 @@ def test_micro_batch_orders_records(spark, tmp_path):
     run(feeds.decode_records(df), 0)  # repeated: nothing happens
     state = store.read(0)
     assert state.matches.count() == 1 and state.events.where("type = 'leg.duplicate'").count() == 1
+
+
+def written(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet") if f.stat().st_size)
+
+
+def records(lo, hi, source="ledger"):
+    return [GOOD | {"ingest_seq": k, "source": source, "txn_ref": f"R{k}", "amount_minor": 1000 + k} for k in range(lo, hi)]
+
+
+def test_versions_hold_changes_and_snapshots_replace_them(spark, tmp_path, monkeypatch):
+    from tallyloom.streaming import stream
+
+    monkeypatch.setattr(stream, "COMPACT", 2)
+    store = Store(spark, f"file://{tmp_path}/state")
+    run = stream.micro_batch(store, Rules(), 1e9, lambda: "2027-02-04 10:00:00")
+
+    def rows(made):
+        path = tmp_path / f"in{made[0]['ingest_seq']}.json"
+        path.write_text("\n".join(json.dumps(r) for r in made))
+        return feeds.read_files(spark, f"file://{path}")
+
+    run(rows(records(1, 3001)), 0)
+    # One partner of an old leg and one new leg: that, and not the state, is written.
+    for n in range(1, 6):
+        partner = GOOD | {"ingest_seq": 5000 + 2 * n, "source": "rail", "txn_ref": f"R{n}", "amount_minor": 1000 + n}
+        run(rows([partner, *records(5001 + 2 * n, 5002 + 2 * n)]), n)
+        assert spark.read.parquet(f"file://{tmp_path}/state/v={n}/legs").count() == 3
+    state = store.read(5)
+    assert state.matches.count() == 5 and state.legs.count() == 3010 and state.legs.where("status = 'matched'").count() == 10
+    assert store.versions("base") == [3, 5] and store.versions() == [4, 5]
+    assert written(tmp_path / "state" / "v=5") * 4 < written(tmp_path / "state" / "base=5")
+    assert [r["seq"] for r in state.events.select("seq").orderBy("seq").collect()] == list(range(1, 3000 + 10 + 5 + 1)) and store.last_seq(5) == 3015
+    # An earlier version, a snapshot and one change, is still there.
+    assert store.read(4).matches.count() == 4 and store.read(4).legs.count() == 3008
+
+
+def test_idle_stream_sweeps(spark, tmp_path):
+    import time
+
+    from tallyloom.streaming.stream import micro_batch, with_heartbeat
+
+    source, store, clock = tmp_path / "in", Store(spark, f"file://{tmp_path}/state"), ["2027-02-04 10:00:00"]
+    source.mkdir()
+    (source / "1.json").write_text(json.dumps(GOOD | {"ingest_seq": 1}))
+    legs = with_heartbeat(feeds.read_files(spark, f"file://{source}", streaming=True))
+    run = micro_batch(store, Rules(), 3600.0, lambda: clock[0])
+    q = legs.writeStream.foreachBatch(run).option("checkpointLocation", f"file://{tmp_path}/check").trigger(processingTime="1 second").start()
+    try:
+        def wait(done):
+            end = time.time() + 120
+            while not done() and q.isActive and time.time() < end:
+                time.sleep(0.5)
+            assert q.exception() is None and done()
+
+        wait(lambda: store.latest() >= 0)
+        first = store.latest()
+        assert store.read(first).legs.where("status = 'open'").count() == 1
+        clock[0] = "2027-02-04 11:00:00"  # no more legs
+        wait(lambda: store.latest() > first)
+        state = store.read(store.latest())
+        assert state.breaks.where("status = 'open'").count() == 1 and state.legs.where("status = 'break'").count() == 1
+        assert [r["type"] for r in state.events.orderBy("seq").collect()] == ["leg.ingested", "leg.expired", "break.opened"]
+    finally:
+        q.stop()
+    # A tick with nothing to do leaves no version.
+    assert len(store.versions()) == 2

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom import __version__
 from tallyloom.functions.columns import age_seconds
 from tallyloom.operators.resolve import State
+from tallyloom.rules import Rules
 
 
 def leg_counts(legs: DataFrame) -> DataFrame:
@@ -32,8 +36,9 @@ def break_counts(breaks: DataFrame) -> DataFrame:
     return breaks.agg(F.count_if(is_open).alias("breaks_open"), F.count_if(F.col("status") == "resolved").alias("breaks_resolved"), F.min(F.when(is_open, F.col("opened_at"))).alias("oldest_open"))
 
 
-def stats(state: State) -> DataFrame:
-    """One row of all statistics; counts by group as maps."""
+def stats(state: State, rules: Rules | None = None) -> DataFrame:
+    """One row of all statistics; counts by group as maps, with the rules and the version
+    of the package if rules are given."""
 
     def as_map(df: DataFrame, name: str, out: str) -> DataFrame:
         return df.agg(F.map_from_entries(F.collect_list(F.struct(name, "n"))).alias(out))  # a row a group
@@ -47,6 +52,8 @@ def stats(state: State) -> DataFrame:
     out = parts[0].withColumn("_one", F.lit(1))
     for p in parts[1:]:  # each is one row
         out = out.join(p.withColumn("_one", F.lit(1)), "_one")
+    if rules is not None:
+        out = out.withColumns({"rules": F.struct(*[F.lit(v).alias(k) for k, v in asdict(rules).items()]), "version": F.lit(__version__)})
     return out.drop("_one")
 
 
@@ -106,3 +113,12 @@ def batch_tallies(outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("accepted"), F.count_if(o.isin("matched", "resolved_break")).alias("matched"), F.count_if(o == "break").alias("breaks"),
         F.count_if(o == "open").alias("open"), F.count_if(o == "duplicate").alias("duplicates"),
     )
+
+
+def replay_tallies(log: DataFrame, outcomes: DataFrame, first: int = 1) -> DataFrame:
+    """One row: what lifecycle.replay read of `log` (the events before it) and what came of it."""
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    first = max(1, first)
+    read = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("through_seq"), F.count_if(F.col("seq") >= first).alias("events_read"))
+    came = outcomes.agg(F.count("*").alias("legs_replayed"), n("matched", "resolved_break").alias("matched"), n("break").alias("breaks"), n("open").alias("open"))
+    return read.join(came, F.lit(True)).select(F.lit(first).cast("long").alias("from_seq"), "*")  # one row each

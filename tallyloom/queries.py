@@ -233,6 +233,12 @@ def w9_replay(spark, sf_dir):
     return _flat(rebuilt.matches)
 
 
+def a10_replay_tallies(spark, sf_dir):
+    state, _ = ingested(spark, sf_dir)
+    _, outcomes = lifecycle.replay(state, RULES, _at("2026-09-16 09:00:00"))
+    return views.replay_tallies(state.events, outcomes)
+
+
 def s2_record_decode(spark, sf_dir):
     """Legs as Kafka records without source and reference, and one in 50 that is no JSON."""
     legs = feeds.order_pairs(spark, sf_dir)
@@ -349,6 +355,11 @@ FROM i JOIN s USING (k) GROUP BY k""",
         _MET,
         """SELECT (SELECT count(*) FROM legs) AS accepted, (SELECT count(*) FROM matches) AS matched, (SELECT count(*) FROM breaks) AS breaks,
   (SELECT count(*) FROM legs WHERE source = 'ledger') AS open, CAST(0 AS BIGINT) AS duplicates""",
+    ),
+    "a10_replay_tallies": _with(
+        _MET,
+        """SELECT CAST(1 AS BIGINT) AS from_seq, (SELECT max(seq) FROM log) AS through_seq, (SELECT count(*) FROM log) AS events_read, (SELECT count(*) FROM legs) AS legs_replayed,
+  (SELECT count(*) FROM matches) AS matched, (SELECT count(*) FROM breaks) AS breaks, (SELECT count(*) FROM legs WHERE source = 'ledger') AS open""",
     ),
     "a11_residual_histogram": _with(_MET, "SELECT CASE WHEN abs(residual_minor) <= 2 THEN abs(residual_minor)::VARCHAR ELSE '5' END AS le, count(*) AS n FROM matches GROUP BY ALL"),
     "k5_event_log": _with(_MET, "SELECT seq, type, aggregate_id FROM log"),

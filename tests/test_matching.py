@@ -80,7 +80,8 @@ def test_each_rule_by_itself(spark):
     assert tallies == {"accepted": len(FEED), "matched": 5, "breaks": 5, "open": len(FEED) - 11, "duplicates": 1} and len(out) == len(FEED)
     seqs = [r["seq"] for r in state.events.orderBy("seq").collect()]
     assert seqs == list(range(1, len(seqs) + 1))
-    one = views.stats(state).first()
+    one = views.stats(state, Rules(tolerance_bps=12)).first()
+    assert one["rules"]["tolerance_bps"] == 12 and one["rules"]["t3_require_batch_hint"] is True and one["version"]
     assert one["legs_matched"] == 12 and one["matches_by_rule"][S.T1_EXACT] == 2 and one["events_total"] == len(seqs)
 
 
@@ -130,6 +131,9 @@ def test_expiry_late_arrival_and_replay(spark):
     rebuilt, outcomes = lifecycle.replay(state, Rules(), at(30))
     # Expiry isn't replayed: the late pair matches as an ordinary one, LOST waits again.
     assert {(r["rule_id"]) for r in rebuilt.matches.collect()} == {S.T2_REF}
+    told = views.replay_tallies(state.events, outcomes).first().asDict()
+    through = state.events.count()
+    assert told == {"from_seq": 1, "through_seq": through, "events_read": through, "legs_replayed": 5, "matched": 1, "breaks": 1, "open": 3}
     assert outcomes.count() == 5 and rebuilt.legs.where("status = 'open'").count() == 1
     assert rebuilt.events.where("type = 'leg.ingested'").count() == 5 and rebuilt.events.where("type = 'replay.started'").count() == 1
 

@@ -59,3 +59,42 @@ def test_subset_limits():
     assert bounded_subset([1] * 8, 8, 0, 2, 6) is None
     assert bounded_subset([3, 7, 4], 7, 0, 1, 6) == [1]  # larger amounts first
     assert bounded_subset([2 * i + 1000 for i in range(40)], 10**6 + 1, 0, 2, 12) is None
+
+
+def test_classifier_rules_in_order(spark):
+    """Each rule by a break that it is the first to hold for, next to ones it doesn't."""
+    import datetime as dt
+
+    from tallyloom import schema as S
+    from tallyloom.operators.classify import FeeBand, classify
+
+    def leg(id, source, amount, ccy="NOK", day=0, **attrs):
+        return {"id": id, "source": source, "txn_ref": "Z-1", "amount_minor": amount, "currency": ccy, "value_date": dt.date(2027, 5, 1) + dt.timedelta(days=day), "attrs": attrs}
+
+    a = leg("a", "rail", 40_000)
+    table = {  # legs, related, trigger -> category, confidence
+        "nothing": ([], [], S.REF_CONFLICT, "unclassified", 0.0),
+        "again, though fees differ": ([a, leg("b", "ledger", 39_000)], [leg("c", "rail", 7)], S.DUPLICATE, "duplicate", 0.95),
+        "itself is no other": ([a], [a], S.WINDOW_EXPIRED, "missing_counterparty", 0.75),
+        "currency before attributes": ([a, leg("b", "ledger", 40_000, "SEK", fx_rate="1.1")], [], S.REF_CONFLICT, "fx_drift", 0.92),
+        "attribute of the partner": ([a, leg("b", "ledger", 39_000, original_currency="SEK")], [], S.REF_CONFLICT, "fx_drift", 0.88),
+        "blank attribute": ([leg("a", "rail", 40_000, fx_rate="  "), leg("b", "ledger", 39_000, fee="9")], [], S.REF_CONFLICT, "fee", 0.95),
+        "late": ([a, leg("b", "ledger", 40_040, day=3, fee="9")], [], S.REF_CONFLICT, "timing", 0.9),
+        "in the window": ([a, leg("b", "ledger", 40_040, day=-2, scheme_fee_minor="9")], [], S.REF_CONFLICT, "fee", 0.95),
+        "band, lower end": ([a, leg("b", "ledger", 39_920)], [], S.REF_CONFLICT, "fee", 0.748),
+        "band, middle": ([a, leg("b", "ledger", 39_400)], [], S.REF_CONFLICT, "fee", 0.8),
+        "band, upper end": ([a, leg("b", "ledger", 38_400)], [], S.REF_CONFLICT, "fee", 0.7),
+        "beyond the band": ([a, leg("b", "ledger", 38_399)], [], S.REF_CONFLICT, "unclassified", 0.4),
+        "partner among related": ([a], [leg("b", "ledger", 39_400)], S.WINDOW_EXPIRED, "fee", 0.8),
+        "own legs before related": ([a, leg("b", "card", 20_000)], [leg("c", "ledger", 39_400)], S.REF_CONFLICT, "unclassified", 0.4),
+        "alone, ledger": ([leg("a", "ledger", 5)], [], S.WINDOW_EXPIRED, "missing_counterparty", 0.8),
+        "alone, not expired": ([a], [], S.REF_CONFLICT, "unclassified", 0.3),
+    }
+    kind = "array<struct<id string, source string, txn_ref string, amount_minor bigint, currency string, value_date date, attrs map<string,string>>>"
+    df = spark.createDataFrame([(k, t, legs, rel) for k, (legs, rel, t, _, _) in table.items()], f"name string, trigger string, legs {kind}, related {kind}")
+    got = {r["name"]: (r["category"], r["confidence"]) for r in classify(df, Rules()).collect()}
+    assert got == {k: (c, x) for k, (_, _, _, c, x) in table.items()}
+    wide = classify(df.where("name = 'beyond the band'"), Rules(), FeeBand(max_bps=500.0, fee_keys=("levy",))).first()
+    assert wide["category"] == "fee" and wide["reason"]
+    odd = classify(df.where("name = 'late'"), Rules(value_date_window_days=3), FeeBand(fee_keys=("levy",))).first()
+    assert odd["category"] == "unclassified"

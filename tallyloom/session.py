@@ -23,6 +23,8 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "tallyl
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans here are built of many columns; their call sites aren't needed.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -7,6 +7,9 @@ its own size. Every COMPACT versions base=N is written, the whole projections; c
 snapshots before the last snapshot but one are deleted, so a reader has that long. Events
 are never deleted.
 
+A hook is told after each version what it holds (counts by status, rule, category and type
+of event). The counts are observed while the version is written, so they cost no job.
+
 A restarted query that repeats a micro-batch finds its version committed and leaves it, so
 delivery is at least once and effects are exactly once.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +33,19 @@ from tallyloom.session import scratch
 PROJECTIONS = {"legs": S.LEG, "matches": S.MATCH, "breaks": S.BREAK}
 #: Versions between two snapshots.
 COMPACT = 32
+#: What a hook is told: counts of a version, by table.
+Told = dict[str, dict[str, int]]
+# States of legs, categories of breaks and types of events.
+STATUSES = ("open", "matched", "break")
+CATEGORIES = ("duplicate", "fee", "fx_drift", "timing", "missing_counterparty", "unclassified")
+EVENTS = ("leg.ingested", "leg.duplicate", "leg.expired", "match.created", "break.opened", "break.resolved", "window.closed", "replay.started")
+
+
+def _counts() -> dict[str, list[Column]]:
+    by = lambda column, values: [F.count_if(F.col(column) == v).alias(v) for v in values]
+    rules = (S.T1_EXACT, S.T2_REF, S.T2_AMOUNT_DATE, S.T2_LATE, S.T3_SUBSET)
+    residual = F.coalesce(F.sum(F.abs("residual_minor")), F.lit(0)).alias("residual_minor")
+    return {"legs": by("status", STATUSES), "matches": [*by("rule_id", rules), residual], "breaks": [*by("category", CATEGORIES), *by("status", ("resolved",))], "events": by("type", EVENTS)}
 
 
 class Store:
@@ -94,19 +110,22 @@ class Store:
         events = self.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.EVENT)}, batch bigint").parquet(f"{self.path}/events")
         return State(*(projection(n, k) for n, k in PROJECTIONS.items()), events.where(F.col("batch") <= version).drop("batch"))
 
-    def write(self, version: int, steps: list[Changes]) -> None:
-        """The changes of a micro-batch's steps, in their order, as one version."""
+    def write(self, version: int, steps: list[Changes]) -> Told:
+        """The changes of a micro-batch's steps, in their order, as one version; what it
+        holds."""
         empty, seq = State.empty(self.spark), self.last_seq(self.latest())
+        counts, seen = _counts(), {name: Observation(f"{name}-{version}") for name in (*PROJECTIONS, "events")}
         for name in PROJECTIONS:
             rows = reduce(over, [getattr(c, name) for c in steps], getattr(empty, name))
-            rows.withColumn("_v", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
+            rows.withColumn("_v", F.lit(version).cast("long")).observe(seen[name], *counts[name]).write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
         events = empty.events
         for step in steps:
             found = numbered(step.events, seq)
             seq = max(seq, last_seq(found))
             events = events.unionByName(found.select(events.columns))
-        events.write.mode("overwrite").parquet(f"{self.path}/events/batch={version}")
+        events.observe(seen["events"], *counts["events"]).write.mode("overwrite").parquet(f"{self.path}/events/batch={version}")
         self._commit(f"v={version}", seq)
+        return {name: o.get for name, o in seen.items()}
 
     def compact(self) -> None:
         """A new snapshot if COMPACT versions have come since the last; then what only older
@@ -131,8 +150,9 @@ def with_heartbeat(legs: DataFrame) -> DataFrame:
     return legs.withColumn("_tick", F.lit(False)).unionByName(ticks, allowMissingColumns=True)
 
 
-def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], str], dead_letters: str | None = None):
-    """A foreachBatch function: sweep what has expired, then ingest. Rows need ingest_seq or
+def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], str], dead_letters: str | None = None, hook: Callable[[int, Told], None] | None = None):
+    """A foreachBatch function: sweep what has expired, then ingest, then call hook(version,
+    counts); after a failure between the last two the hook isn't called. Rows need ingest_seq or
     (topic, partition, offset), whose order they arrive in. Where there is nothing to ingest
     and nothing has expired, no version is written."""
 
@@ -144,7 +164,7 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
         swept, n = lifecycle.expire(state, rules, now, ttl_s)
         if batch.isEmpty():
             if n:
-                store.write(batch_id, [swept])
+                tell(batch_id, store.write(batch_id, [swept]))
             return
         state = State(*(over(getattr(state, name), getattr(swept, name)) for name in PROJECTIONS), state.events) if n else state
         rows = batch if "problems" in batch.columns else normalize(batch, now)
@@ -156,7 +176,11 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
             base = state.legs.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0] + 1
             # Range partitions are numbered in order, so the id increases along it.
             legs = legs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ingest_seq", F.lit(base) + F.monotonically_increasing_id())
-        store.write(batch_id, [swept, ingest(legs, state, rules, now)])
+        tell(batch_id, store.write(batch_id, [swept, ingest(legs, state, rules, now)]))
+
+    def tell(version: int, told: Told) -> None:
+        if hook is not None:
+            hook(version, told)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if store.committed(batch_id):
@@ -168,11 +192,11 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
     return run
 
 
-def start(legs: DataFrame, store: Store, checkpoint: str, rules: Rules, ttl_s: float, clock: Callable[[], str], available_now: bool = False, dead_letters: str | None = None) -> StreamingQuery:
+def start(legs: DataFrame, store: Store, checkpoint: str, rules: Rules, ttl_s: float, clock: Callable[[], str], available_now: bool = False, dead_letters: str | None = None, hook: Callable[[int, Told], None] | None = None) -> StreamingQuery:
     """Run continuously, sweeping also while no legs arrive, or until what is there has been
     read."""
     legs = legs if available_now else with_heartbeat(legs)
-    writer = legs.writeStream.foreachBatch(micro_batch(store, rules, ttl_s, clock, dead_letters)).option("checkpointLocation", checkpoint)
+    writer = legs.writeStream.foreachBatch(micro_batch(store, rules, ttl_s, clock, dead_letters, hook)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 

@@ -78,9 +78,13 @@ def test_micro_batch_orders_records(spark, tmp_path):
     rows = [(f"{s}.legs", 0, n, b"K1", json.dumps(body).encode()) for n, s in enumerate(["ledger", "rail", "ledger"])]
     df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, key binary, value binary").withColumn("timestamp", F.lit("2027-02-04 10:00:00").cast("timestamp"))
     store = Store(spark, f"file://{tmp_path}/state")
-    run = micro_batch(store, Rules(), 3600.0, lambda: "2027-02-04 10:00:00")
+    told = []
+    run = micro_batch(store, Rules(), 3600.0, lambda: "2027-02-04 10:00:00", hook=lambda version, counts: told.append((version, counts)))
     run(feeds.decode_records(df), 0)
-    run(feeds.decode_records(df), 0)  # repeated: nothing happens
+    run(feeds.decode_records(df), 0)  # repeated: nothing happens, nothing is told
+    some = {table: {k: n for k, n in counts.items() if n} for table, counts in told[0][1].items()}
+    assert len(told) == 1 and told[0][0] == 0
+    assert some == {"legs": {"matched": 2}, "matches": {"T1.exact@v1": 1}, "breaks": {}, "events": {"leg.ingested": 2, "leg.duplicate": 1, "match.created": 1}}
     state = store.read(0)
     assert state.matches.count() == 1 and state.events.where("type = 'leg.duplicate'").count() == 1
 

@@ -120,6 +120,63 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang")]
+    longer = merkle.leaf_hash([*fields, F.col("n_chars") + 1, F.col("text")])
+    tampered = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0, longer)
+    proofs = merkle.prove(merkle.build(docs, carry={"tampered": tampered}))
+    out = proofs.select(
+        F.col("id").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "hash"), F.col("proof")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = """
+WITH RECURSIVE x AS (
+  SELECT doc_id, lang, concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+    CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END) AS head,
+    n_chars, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS crc
+  FROM documents),
+f AS (
+  SELECT doc_id, lang, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS tampered FROM x),
+base AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM f),
+tree AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, n FROM base
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+who AS (SELECT base.*, row_number() OVER () AS r, subroot, subs.pos AS top_pos FROM base JOIN subs ON base.lang IS NOT DISTINCT FROM subs.lang),
+step AS (
+  SELECT r, 0 AS stage, t.level, t.n, xor(w.pos >> t.level, 1) < (w.pos >> t.level) AS on_left, s.h
+  FROM who w JOIN (SELECT DISTINCT lang, level, n FROM tree WHERE n > 1) t ON w.lang IS NOT DISTINCT FROM t.lang
+    LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = t.level AND s.pos = xor(w.pos >> t.level, 1)
+  UNION ALL
+  SELECT r, 1, t.level, t.n, xor(w.top_pos >> t.level, 1) < (w.top_pos >> t.level), s.h
+  FROM who w CROSS JOIN (SELECT DISTINCT level, n FROM top WHERE n > 1) t LEFT JOIN top s ON s.level = t.level AND s.pos = xor(w.top_pos >> t.level, 1)),
+proof AS (
+  SELECT r, coalesce(string_agg(h, '' ORDER BY stage, level), '') AS said, list({'h': h, 'on_left': on_left} ORDER BY stage, level) AS steps FROM step GROUP BY r),
+fold AS (
+  SELECT w.r, 1 AS k, coalesce(tampered, leaf) AS h, steps FROM who w LEFT JOIN proof USING (r)
+  UNION ALL
+  SELECT r, k + 1, sha256(CASE WHEN steps[k].h IS NULL THEN h WHEN steps[k].on_left THEN steps[k].h || h ELSE h || steps[k].h END), steps FROM fold WHERE k <= len(steps)),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(said, '')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+FROM who LEFT JOIN proof USING (r) JOIN fold ON fold.r = who.r AND fold.k = coalesce(len(fold.steps), 0) + 1 CROSS JOIN root
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -132,8 +189,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_repeated_substrings": op9_repeated_substrings,
         "op10_quality_rules": op10_quality_rules,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op8_line_dedup": OP8_SQL, "op11_merkle_manifest": OP11_SQL}

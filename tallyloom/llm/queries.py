@@ -177,6 +177,35 @@ FROM who LEFT JOIN proof USING (r) JOIN fold ON fold.r = who.r AND fold.k = coal
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+OP12_SQL = """
+WITH z AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, z.vec_id, a.label = z.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.v, z.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM z a JOIN z ON z.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -190,8 +219,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_repeated_substrings": op9_repeated_substrings,
         "op10_quality_rules": op10_quality_rules,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3_SQL, "op8_line_dedup": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op8_line_dedup": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}

@@ -65,10 +65,11 @@ class Manifest:
     nodes: DataFrame  # tree, level, idx, hash: all nodes above the leaves
     trees: DataFrame  # tree, subroot, top_pos, top_n: one row a language
     root: str | None
+    bits: int
 
 
-def _grown(level: DataFrame, base: int, name: str) -> DataFrame:
-    """The next BITS levels of trees whose level `base` is (tree, pos, n, hash)."""
+def _grown(level: DataFrame, base: int, bits: int) -> DataFrame:
+    """The next `bits` levels of trees whose level `base` is (tree, pos, n, hash)."""
 
     def run(rows: pa.Table) -> pa.Table:
         by = np.argsort(rows.column("pos").to_numpy())
@@ -76,7 +77,7 @@ def _grown(level: DataFrame, base: int, name: str) -> DataFrame:
         now = [rows.column("hash")[int(i)].as_py() for i in by]
         tree, n = rows.column("tree")[0].as_py(), rows.column("n")[0].as_py()
         out: list[tuple[int, int, bytes]] = []
-        for step in range(1, min(BITS, height(n)) + 1):
+        for step in range(1, min(bits, height(n)) + 1):
             now = [parent(now[i : i + 2]) for i in range(0, len(now), 2)]
             out += [(base + step, (at >> step) + i, h) for i, h in enumerate(now)]
         levels, places, hashes = zip(*out, strict=True) if out else ((), (), ())
@@ -84,17 +85,17 @@ def _grown(level: DataFrame, base: int, name: str) -> DataFrame:
             {"tree": pa.array([tree] * len(out), pa.string()), "level": pa.array(levels, pa.int32()), "idx": pa.array(places, pa.int64()), "hash": pa.array(hashes, pa.binary())}
         )
 
-    return materialize(level.groupBy("tree", F.shiftright("pos", BITS).alias("run")).applyInArrow(run, _NODES), name)
+    return materialize(level.groupBy("tree", F.shiftright("pos", bits).alias("run")).applyInArrow(run, _NODES), "nodes")
 
 
-def _built(leaves: DataFrame) -> DataFrame:
+def _built(leaves: DataFrame, bits: int) -> DataFrame:
     """All nodes above the leaves (tree, pos, n, hash)."""
     level, base, parts = leaves.select("tree", "pos", "n", "hash").where("n > 1"), 0, []
     most = level.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        parts.append(_grown(level, base, "nodes"))
-        base += BITS
-        most = -(-most >> BITS)
+        parts.append(_grown(level, base, bits))
+        base += bits
+        most = -(-most >> bits)
         n = F.shiftright(F.col("n") + ((1 << base) - 1), base)
         sizes = leaves.where("pos = 0").select("tree", n.alias("n"))  # one row a tree
         level = parts[-1].where(F.col("level") == base).select("tree", F.col("idx").alias("pos"), "hash").join(sizes, "tree").where("n > 1")
@@ -112,19 +113,19 @@ def _tops(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("tree").agg(F.max_by("hash", "level").alias("hash"))
 
 
-def build(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "doc_id", by: str = "lang", carry: dict[str, Column] | None = None) -> Manifest:
+def build(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "doc_id", by: str = "lang", carry: dict[str, Column] | None = None, bits: int = BITS) -> Manifest:
     """The manifest of docs. carry: columns over docs that stay with the leaves."""
     own = {"id": F.col(key), "tree": F.coalesce(F.concat(F.lit("l="), F.col(by)), F.lit("l")), "hash": F.unhex(leaf_hash([F.col(c) for c in columns]))}
     rows = docs.select(*[v.alias(k) for k, v in own.items()], *[v.alias(k) for k, v in (carry or {}).items()])
     leaves = materialize(ranked(rows, "tree", ["id", "hash"], "leaves"), "leaves")
-    nodes = _built(leaves)
+    nodes = _built(leaves, bits)
     # The order of the keys is that of the languages.
     subroots = materialize(ranked(_tops(leaves, nodes).select(F.col("tree").alias("of"), "hash", F.lit(TOP).alias("tree")), "tree", ["of"], "subroots"), "subroots")
-    above = _built(subroots)
+    above = _built(subroots, bits)
     root = _tops(subroots, above).first()
     trees = subroots.select(F.col("of").alias("tree"), F.lower(F.hex("hash")).alias("subroot"), F.col("pos").alias("top_pos"), F.col("n").alias("top_n"))
     shared = above.unionByName(subroots.select("tree", F.lit(0).alias("level"), F.col("pos").alias("idx"), "hash"))
-    return Manifest(leaves, nodes.unionByName(shared), trees, root["hash"].hex() if root else None)
+    return Manifest(leaves, nodes.unionByName(shared), trees, root["hash"].hex() if root else None, bits)
 
 
 def missing(own: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -168,7 +169,7 @@ def prove(manifest: Manifest, wanted: DataFrame | None = None) -> DataFrame:
     """The wanted rows of manifest.leaves (all, if None) without tree, pos and n, with hash as
     text and subroot, root and `proof`, the siblings level by level from leaf to root."""
     leaves = manifest.leaves if wanted is None else wanted
-    leaves = leaves.join(manifest.trees, "tree").withColumn("run", F.shiftright("pos", BITS))
+    leaves = leaves.join(manifest.trees, "tree").withColumn("run", F.shiftright("pos", manifest.bits))
 
     def needs(rows: pa.Table) -> pa.Table:
         first = rows.slice(0, 1).to_pylist()[0]

@@ -238,7 +238,7 @@ def _plain(leg: dict) -> dict:
 def fold(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
     """rows: the legs of whole components, those of the state (is_new false, with break_open and
     break_n of their breaks) and the new ones."""
-    part, out = Component(rules), []
+    part, out, held = Component(rules), [], {}
     for leg in rows.sort_values(["is_new", "ingest_seq"]).to_dict("records"):
         leg["attrs"] = dict(leg["attrs"] if leg["attrs"] is not None else {})
         leg = {k: (None if k in ("status", "match_id", "break_id") and not isinstance(v, str) else v) for k, v in leg.items()}
@@ -246,6 +246,7 @@ def fold(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
         leg["amount_minor"] = int(leg["amount_minor"])
         if not leg["is_new"]:
             part.learn(leg)
+            held[leg["id"]] = (leg["status"], leg["match_id"], leg["break_id"])
             if leg["status"] == "open":
                 part.opened(leg)
             if leg["break_id"]:
@@ -255,5 +256,6 @@ def fold(rows: pd.DataFrame, rules: Rules) -> pd.DataFrame:
             if kind == "break":
                 fields = fields | {"legs": [_plain(x) for x in fields["legs"]], "related": [_plain(x) for x in fields["related"]]}
             out.append((kind, leg["ingest_seq"], json.dumps(fields)))
-    out += [("leg", x["ingest_seq"], json.dumps(_plain(x))) for x in part.known]
+    changed = (x for x in part.known if held.get(x["id"]) != (x["status"], x["match_id"], x["break_id"]))
+    out += [("leg", x["ingest_seq"], json.dumps(_plain(x))) for x in changed]
     return pd.DataFrame(out, columns=["kind", "ingest_seq", "payload"])

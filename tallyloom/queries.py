@@ -318,12 +318,15 @@ SELECT ingest_seq, currency, direction, CASE b WHEN 1 THEN 'source is required;
     "j2_t1_exact": _with(_MET, f"SELECT {_M} FROM matches WHERE tier = 1"),
     "j3_t2_ref_tolerant": _with(_MET, f"SELECT {_M} FROM matches WHERE tier = 2"),
     "j4_t2_amount_date": _with(
-        _LEGS.replace("legs AS (\n  SELECT *,", "fed AS (SELECT * REPLACE (CASE WHEN source = 'rail' THEN 'ARN-' || k ELSE txn_ref END AS txn_ref) FROM raw WHERE b < 13),\nlegs AS (\n  SELECT *,").replace("FROM raw)", "FROM fed)"),
-        """, n AS (SELECT *, count(*) OVER (PARTITION BY currency, counterparty, amount_minor, source) AS own FROM legs)
-SELECT 'm_' || substr(sha256(least(l.id, c.id) || chr(0) || greatest(l.id, c.id)), 1, 20) AS id, least(l.id, c.id) || '|' || greatest(l.id, c.id) AS leg_ids,
-  CAST(2 AS INTEGER) AS tier, 'T2.amount-date@v1' AS rule_id, 0.75::DOUBLE AS confidence, c.amount_minor - l.amount_minor AS residual_minor, l.currency
-FROM n l JOIN n c ON l.currency = c.currency AND l.counterparty = c.counterparty AND l.amount_minor = c.amount_minor AND l.source <> c.source AND l.ingest_seq > c.ingest_seq
-WHERE l.own = 1 AND c.own = 1 AND abs(l.value_date - c.value_date) <= 2""",
+        _LEGS.replace("legs AS (\n  SELECT *,", "fed AS (SELECT * REPLACE (CASE WHEN source = 'rail' THEN 'ARN-' || k ELSE txn_ref END AS txn_ref) FROM raw),\nlegs AS (\n  SELECT *,").replace("AS tol FROM raw)", "AS tol FROM fed)"),
+        """, met AS (
+  SELECT l.id, l.source, l.txn_ref, l.ingest_seq, l.currency, l.amount_minor, c.id AS cid, c.source AS csource, c.txn_ref AS cref, c.ingest_seq AS cseq, c.amount_minor AS camt,
+    count(*) OVER (PARTITION BY l.id) AS candidates, count(*) OVER (PARTITION BY c.id) AS rivals
+  FROM legs l JOIN legs c ON l.currency = c.currency AND l.counterparty = c.counterparty AND l.amount_minor = c.amount_minor AND l.source <> c.source AND abs(l.value_date - c.value_date) <= 2)
+SELECT 'm_' || substr(sha256(least(id, cid) || chr(0) || greatest(id, cid)), 1, 20) AS id, least(id, cid) || '|' || greatest(id, cid) AS leg_ids,
+  CAST(2 AS INTEGER) AS tier, 'T2.amount-date@v1' AS rule_id, 0.75::DOUBLE AS confidence, camt - amount_minor AS residual_minor, currency
+FROM met m WHERE candidates = 1 AND rivals = 1 AND ingest_seq > cseq AND txn_ref <> cref
+  AND NOT EXISTS (SELECT 1 FROM legs k WHERE k.txn_ref = m.cref AND k.source = m.source) AND NOT EXISTS (SELECT 1 FROM legs k WHERE k.txn_ref = m.txn_ref AND k.source = m.csource)""",
     ),
     "j6_t3_batches": """
 WITH o AS (SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS ccy, 'CP-' || (o_custkey % 8) AS cp, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS d FROM orders),

@@ -407,11 +407,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = materialize(placed.select("node", "least", "comp"), "placed")
     names = placed.groupBy("comp").agg(F.min("least").alias("class_id"))
     by_doc = members.join(placed.join(names, "comp").select("node", "class_id"), "node").groupBy("_k").agg(F.min("class_id").alias("_c"))
-    return docs.select(F.col(key)).join(by_doc, F.col(key) == F.col("_k"), "left").select(F.col(key), F.coalesce("_c", F.col(key)).alias("class_id"))
+    return docs.select(F.col(key).alias("_own")).join(by_doc, F.col("_own") == F.col("_k"), "left").select(F.col("_own").alias(key), F.coalesce("_c", "_own").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id is their class's: one document of each class. Rows with a
     null id stay; of rows that repeat an id and its class, all with the first text stay."""
-    kept = classes(docs, key, text).where(F.col(key).isNotNull() & (F.col(key) != F.col("class_id"))).select(F.col(key).alias("_k")).distinct()
-    return docs.join(kept, docs[key] == kept["_k"], "left_anti")
+    kept = classes(docs, key, text).where(F.col(key).isNotNull() & (F.col(key) != F.col("class_id"))).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(kept, docs[key] == kept["_gone"], "left_anti")

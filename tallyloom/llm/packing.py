@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import materialize
+
 CAPACITY = 2048
 GROUP_ROWS = 4096
 #: UTF-8 bytes counted as one unit of length.
@@ -121,13 +123,16 @@ def pack(
     body = F.coalesce(F.col(text), F.lit(""))
     length = F.ceil(F.octet_length(body) / F.lit(UNIT_BYTES)) if length is None else length
     cluster = F.xxhash64(body) if cluster is None else cluster
-    # Only the row count reaches the driver.
-    groups = max(1, -(-docs.count() // group_rows))
     items = docs.select(
         F.col(key).alias("_k"), length.cast("long").alias("_n"), F.xxhash64(F.col(source)).alias("_s"), F.col(source).isNotNull().alias("_has"),
-        cluster.cast("long").alias("_c"), F.pmod(F.xxhash64(F.lit(17), F.col(key), body, F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("_g"),
+        cluster.cast("long").alias("_c"), F.xxhash64(F.lit(17), F.col(key), body, F.monotonically_increasing_id()).alias("_g"),
         F.xxhash64(F.col(key), body).alias("_o"),
     )
+    # Written first: a task that is run again finds its rows in the groups they had. Only the
+    # row count reaches the driver.
+    items = materialize(items, "items")
+    groups = max(1, -(-items.count() // group_rows))
+    items = items.withColumn("_g", F.pmod("_g", F.lit(groups)).cast("int"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:

@@ -7,7 +7,8 @@ seeds of a bootstrap over the whole corpus:
    words that look like identifiers (a digit, four characters or more). A filler has up to
    five patterns: the word before it, the two words before, the word after, the two words
    after (lower case, without punctuation around them), and its shape (runs of digits by
-   their length, runs of letters, long hexadecimal strings by their length).
+   their length, runs of letters, long hexadecimal strings by their length; none for a word
+   with the form of a card or IP number that fails its test).
 2. Spark scores the graph of patterns and distinct fillers. A seed's confidence is 1. A
    pattern is induced by SUPPORT distinct fillers of confidence ACCEPT or more; its own
    confidence is the sum of its fillers' confidences over the number of its fillers and
@@ -113,6 +114,11 @@ def _shape(value: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"<{len(m[0])}>", value))
 
 
+def _refused(value: str) -> bool:
+    """Whether a word without a fixed match has the form of one, and so failed its test."""
+    return bool(_CARD.fullmatch(value)) and 14 <= len(_NOT_DIGIT.sub("", value)) <= 19 or bool(_IP.fullmatch(value))
+
+
 def fillers(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, tuple[int, ...]]]:
     """(start, kind, end, value, patterns) of the fixed matches and of other words like identifiers
     (kind 4), which never meet a fixed match."""
@@ -145,7 +151,8 @@ def fillers(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     for s, k, e in sorted(spans):
         i, j = bisect.bisect_right(starts, s) - 1, bisect.bisect_left(starts, e) - 1
         value = text[s:e].lower()
-        patterns = [_hash("shape", _shape(value))]
+        # A shape alone must not mark what the fixed pattern of that shape refuses.
+        patterns = [] if k == 4 and _refused(value) else [_hash("shape", _shape(value))]
         if i >= 1:
             patterns.append(_hash("left", word(i - 1)))
         if i >= 2:
@@ -225,10 +232,20 @@ def learn_patterns(docs: DataFrame, text: str = "text") -> Patterns:
     return Patterns(accepted, accepted.count())
 
 
-def _with_own(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
-    """docs with _pii_own, the patterns that occur in the text, if there are too many to broadcast."""
+def _unused(docs: DataFrame, name: str) -> str:
+    """name, longer if docs has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _with_own(docs: DataFrame, patterns: Patterns, text: str) -> tuple[DataFrame, str]:
+    """docs and, if there are too many patterns to broadcast, a column with those that occur
+    in the text; its name."""
+    named = _unused(docs, "_pii_own")
     if patterns.few is not None:
-        return docs
+        return docs, named
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(patterns.table, patterns.n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,14 +266,16 @@ def _with_own(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
     own = body.mapInArrow(run, "_pii_a bigint, _pii_b bigint, pattern bigint").distinct().join(patterns.table, "pattern")
     # Written first, so that the join below may split a text that many rows hold.
     own = materialize(own.groupBy("_pii_a", "_pii_b").agg(F.collect_list("pattern").alias("_pii_own")), "own")
-    return docs.withColumns({"_pii_a": a, "_pii_b": b}).join(own, ["_pii_a", "_pii_b"], "left").select(*docs.columns, "_pii_own")
+    ka, kb = _unused(docs, "_pii_a"), _unused(docs, "_pii_b")
+    own = own.select(F.col("_pii_a").alias(ka), F.col("_pii_b").alias(kb), F.col("_pii_own").alias(named))
+    return docs.withColumns({ka: a, kb: b}).join(own, [ka, kb], "left").select(*docs.columns, named), named
 
 
-def _all_spans(batch: pa.RecordBatch, at: int, few: frozenset | None) -> Iterator[tuple[int, str, list, list]]:
+def _all_spans(batch: pa.RecordBatch, at: int, few: frozenset | None, named: str) -> Iterator[tuple[int, str, list, list]]:
     """For each text with any: (row, text, base spans, id spans)."""
     for i, text in _marked(batch.column(at)):
         base = base_spans(text)
-        patterns = few if few is not None else set(batch.column("_pii_own")[i].as_py() or [])
+        patterns = few if few is not None else set(batch.column(named)[i].as_py() or [])
         more = [(s, 4, e) for s, k, e, _, own in fillers(text, base) if k == 4 and not patterns.isdisjoint(own)] if patterns else []
         if base or more:
             yield i, text, base, more
@@ -273,12 +292,13 @@ def find(docs: DataFrame, patterns: Patterns, key: str = "doc_id", text: str = "
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans (of all kinds): a row a row of docs."""
     kind = docs.schema[key].dataType.simpleString()
     nothing, few = hashlib.sha256(b"").hexdigest(), patterns.few
+    rows, named = _with_own(docs.select(F.col(key), F.col(text)), patterns, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             counts, sha, spans = np.zeros((n, 5), np.int64), [nothing] * n, [""] * n
-            for i, _, base, more in _all_spans(batch, 1, few):
+            for i, _, base, more in _all_spans(batch, 1, few, named):
                 for _, k, _ in base + more:
                     counts[i, k] += 1
                 sha[i] = hashlib.sha256(_join(base).encode()).hexdigest()
@@ -289,7 +309,7 @@ def find(docs: DataFrame, patterns: Patterns, key: str = "doc_id", text: str = "
             )
 
     schema = f"`{key}` {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, n_id bigint, n_spans bigint"
-    return _with_own(docs.select(F.col(key), F.col(text)), patterns, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -305,11 +325,12 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFrame:
     """docs with all spans replaced; other columns as they were."""
     few, columns = patterns.few, docs.columns
+    rows, named = _with_own(docs, patterns, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            changed = {i: redact_text(t, base + more) for i, t, base, more in _all_spans(batch, at, few)}
+            changed = {i: redact_text(t, base + more) for i, t, base, more in _all_spans(batch, at, few, named)}
             if changed:
                 texts = batch.column(at).to_pylist()
                 for i, t in changed.items():
@@ -317,4 +338,4 @@ def redact(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFrame
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.select(columns)
 
-    return _with_own(docs, patterns, text).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

@@ -135,7 +135,8 @@ class Model:
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """At most SAMPLE labelled documents a class: label, text, fold."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_label"), F.max(F.col(label).cast("int")).alias("_other"))
-    marked = marked.where("_label = _other").select("_id", "_label", F.xxhash64("_id").alias("_order"))
+    # Only labels of documents that are there count for the sample.
+    marked = marked.where("_label = _other").join(docs.select(F.col(key).alias("_id")), "_id", "left_semi").select("_id", "_label", F.xxhash64("_id").alias("_order"))
     share = {r["_label"]: min(1.0, 1.3 * SAMPLE / r["n"]) for r in marked.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if set(share) != {0, 1}:
         return None

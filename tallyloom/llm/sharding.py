@@ -144,6 +144,8 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 1, text: s
     written to path/shard=N, each shard's files in slot order. Rows are told apart by a
     number they get here, so ids may repeat or be null."""
     row = "_shard_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
     docs = materialize(docs.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()), "numbered")
     placed = assign(docs, shards, seed, row, text).select(row, "shard", "slot")
     full = docs.join(placed, row).drop(row)

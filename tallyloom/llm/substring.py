@@ -211,8 +211,9 @@ def _repeated(keys: DataFrame) -> DataFrame:
 
 
 def _by_row(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The places of each row whose keys are among `keys`."""
-    return rows.join(keys, "key").groupBy(*_ID).agg(F.collect_list("pos").alias(name))
+    """The places whose keys are among `keys`, of each id and text, once however many rows
+    repeat these."""
+    return rows.join(keys, "key").groupBy(*_ID).agg(F.collect_set("pos").alias(name))
 
 
 def _bucketed(df: DataFrame) -> tuple[DataFrame, str]:
@@ -250,11 +251,11 @@ def _removed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     lenders = marked.where("what = 'settled'").select(*_ID, "range", "stretch", F.explode(F.array_compact(F.array("near", "far"))).alias("key")).join(wanted, "key", "left_semi")
     lenders = lenders.groupBy("stretch").agg(F.min(F.struct(*_ID, "range")).alias("x")).select("x.*", F.lit("lent").alias("what"))
     asked = marked.where("what = 'open'").select(*_ID, "range", "what").unionByName(lenders)
-    of = lambda what: F.collect_list(F.when(F.col("what") == what, F.col("range"))).alias(what)
+    of = lambda what: F.collect_set(F.when(F.col("what") == what, F.col("range"))).alias(what)
     asked = asked.groupBy(*_ID).agg(of("open"), of("lent"))
     windows = materialize(some.select(*_ID, "raw").join(asked, _ID).select(*_ID, "raw", "open", "lent").mapInArrow(_open_windows, "key bigint, _k bigint, _h bigint, pos int"), "windows")
     single = windows.where("pos >= 0").join(_repeated(windows), "key").select(*_ID, (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("pos")).alias("range"))
-    cuts = materialize(marked.where("what = 'settled'").select(*_ID, "range").unionByName(single).groupBy(*_ID).agg(F.collect_list("range").alias("cuts")), "cuts")
+    cuts = materialize(marked.where("what = 'settled'").select(*_ID, "range").unionByName(single).groupBy(*_ID).agg(F.collect_set("range").alias("cuts")), "cuts")
     discard(windows)
     discard(marked)
 

@@ -37,6 +37,8 @@ from tallyloom import schema as S
 from tallyloom.functions.columns import derived_id, tolerance, tolerant_confidence, within_days
 from tallyloom.operators import classify as C
 from tallyloom.operators import fold as folding
+from tallyloom.operators.groups import Groups
+from tallyloom.operators.groups import settle as settle_groups
 from tallyloom.operators.normalize import once_each
 from tallyloom.operators.tiers import WINDOW_KEY, match_columns
 from tallyloom.plans.components import connected_components
@@ -281,6 +283,7 @@ class _Settled:
     healed_new: bool
     reused: DataFrame | None
     origin: DataFrame | None
+    groups: Groups | None
     folded: DataFrame | None
 
     def parsed(self, kind: str, ddl: str) -> list[DataFrame]:
@@ -297,7 +300,8 @@ def _settle(legs: DataFrame, rules: Rules) -> _Settled:
     amounts = _by_amount(refs, crowd, rules) if rules.t3_require_batch_hint else None
     by_rank = F.col("plain") & (F.col("sources") <= ROUNDS)
     bound = [x.select("txn_ref") for x in (amounts, None if crowd is None else crowd.where(~by_rank)) if x is not None]
-    bound = materialize(_joined(bound, legs.sparkSession, "txn_ref string").distinct(), "bound") if bound else None
+    bound = materialize(_joined(bound, legs.sparkSession, None).distinct(), "bound") if bound else None
+    bound = None if bound is None or bound.isEmpty() else bound
     unbound = lambda df: df if bound is None else df.join(bound, "txn_ref", "left_anti")
     row = F.struct(*_ROW)
     pairs = unbound(refs.where("simple")).select("txn_ref", "first", "last", "n", F.lit(False).alias("crowded"))
@@ -311,7 +315,15 @@ def _settle(legs: DataFrame, rules: Rules) -> _Settled:
     apart = materialize(_verdicts(pairs, rules), "apart")
     kinds = {r[0] for r in apart.select("verdict").distinct().collect()}
     late, healed_new = _late(apart, free, rules) if free is not None or kinds & {"heal", "closed"} else (None, False)
-    return _Settled(apart, kinds, late, healed_new, reused, origin, None if bound is None else _folded(legs.join(bound, "txn_ref", "left_semi"), amounts, rules))
+    groups = folded = None
+    if bound is not None:
+        rest = legs.join(bound, "txn_ref", "left_semi")
+        if rules.t3_require_batch_hint:
+            groups = settle_groups(rest.join(refs.select("txn_ref", "n"), "txn_ref"), amounts, _batch_ref(), _order(), _ROW, rules)
+            rest = rest.join(groups.done, "txn_ref", "left_anti")
+            amounts = None if amounts is None else amounts.join(groups.done, "txn_ref", "left_anti")
+        folded = _folded(rest, amounts, rules)
+    return _Settled(apart, kinds, late, healed_new, reused, origin, groups, folded)
 
 
 def _folded(rest: DataFrame, amounts: DataFrame | None, rules: Rules) -> DataFrame | None:
@@ -337,6 +349,11 @@ def _matches(s: _Settled, rules: Rules) -> list[DataFrame]:
         conf = tolerant_confidence(diff, tolerance(F.col("leg.amount_minor"), rules)) - F.lit(0.05)
         cols = match_columns(F.col("leg"), F.col("target"), 2, S.T2_LATE, conf)
         parts.append(s.late.where("target IS NOT NULL").select(F.col("leg.ingest_seq").alias("ingest_seq"), *[v.alias(k) for k, v in cols.items()]))
+    if s.groups is not None:
+        ids = F.array_sort(F.transform(F.array_append("others", F.col("leg")), lambda x: x["id"]))
+        residual = F.aggregate("others", F.lit(0).cast("long"), lambda a, x: a + x["amount_minor"]) - F.col("leg.amount_minor")
+        of_group = {"id": derived_id("m", ids), "leg_ids": ids, "tier": F.col("tier"), "rule_id": F.col("rule_id"), "confidence": F.col("confidence"), "residual_minor": residual, "currency": F.col("leg.currency")}
+        parts.append(s.groups.matched.select(F.col("leg.ingest_seq").alias("ingest_seq"), *[v.alias(k) for k, v in of_group.items()]))
     ddl = "id string, leg_ids array<string>, tier int, rule_id string, confidence double, residual_minor bigint, currency string"
     return parts + [x.select("ingest_seq", "x.*") for x in s.parsed("match", ddl)]
 
@@ -390,6 +407,11 @@ def _legs(s: _Settled) -> list[DataFrame]:
     for rows in single:
         rows = put(rows.select("leg.*"), status=F.lit("break"), match_id=null, break_id=derived_id("brk", F.array("id")))
         parts.append(rows.join(healing.select("target.id"), "id", "left_anti").select(LEG_COLUMNS) if s.healed_new else rows)
+    if s.groups is not None:
+        members = F.array_append("others", F.col("leg"))
+        met = s.groups.matched.select(derived_id("m", F.transform(members, lambda x: x["id"])).alias("_m"), F.explode(members).alias("x")).select("x.*", "_m")
+        parts.append(put(met, status=F.lit("matched"), match_id=F.col("_m"), break_id=null))
+        parts.append(put(s.groups.waiting.join(met.select("id"), "id", "left_anti"), status=F.lit("open"), match_id=null, break_id=null))
     return parts + [x.select("x.*").select(LEG_COLUMNS) for x in s.parsed("leg", LEG_DDL)]
 
 
@@ -412,6 +434,10 @@ def _outcomes(s: _Settled, again: DataFrame) -> list[DataFrame]:
         parts.append(told(s.late, "leg.", F.when(found, "resolved_break").otherwise("break"), F.when(found, S.T2_LATE), *healed))
     if s.reused is not None:
         parts.append(told(s.reused, "leg.", F.lit("break"), broke=own))
+    if s.groups is not None:
+        members = F.transform(F.array_append("others", F.col("leg")), lambda x: x["id"])
+        parts.append(told(s.groups.matched, "leg.", F.lit("matched"), F.col("rule_id"), derived_id("m", members)))
+        parts.append(told(s.groups.waiting.join(s.groups.matched.select("leg.id"), "id", "left_anti"), "", F.lit("open")))
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.OUTCOME if f.name != "ingest_seq")
     return parts + [x.select("ingest_seq", "x.*").select([f.name for f in S.OUTCOME]) for x in s.parsed("outcome", ddl)]
 

@@ -21,7 +21,7 @@ class Rules:
             "tolerance_bps": (0, 10_000), "tolerance_abs_minor": (0, 2**62), "value_date_window_days": (0, 365),
             "t3_max_candidates": (2, 64), "t3_max_subset": (2, 12),
         }
-        wrong = [f"{k} must be within [{a},{b}], got {getattr(self, k)}" for k, (a, b) in limits.items() if not a <= getattr(self, k) <= b]
+        wrong = [f"{k}={getattr(self, k)} lies outside of {a}..{b}" for k, (a, b) in limits.items() if not a <= getattr(self, k) <= b]
         if wrong:
             raise ValueError("; ".join(wrong))
 

@@ -120,3 +120,43 @@ def test_known_legs_with_shared_amounts(spark):
     rules = {tuple(sorted(x.split(":")[1] for x in r["leg_ids"])): r["rule_id"] for r in changes.matches.collect()}
     assert rules == {("P", "X"): S.T2_AMOUNT_DATE, ("Q", "Q2", "S"): S.T3_SUBSET}
     assert {r["leg_id"].split(":")[1]: r["outcome"] for r in changes.outcomes.collect()}["Q"] == "break"
+
+
+def batches(seed, last):
+    """Batches and equal amounts, each in a window of its own; settlements last, or anywhere."""
+    r = random.Random(seed)
+    groups = []
+    for g in range(24):
+        place, key, day = {"cp": f"W{g}"}, f"K{g}", r.choice([0, 0, 2, 3])
+        if g % 3 == 2:
+            # The same amount under two references or, less often, three.
+            legs = [("ledger", f"A{g}", 500, 0, {}, place), (r.choice(["rail", "rail", "ledger"]), f"B{g}", 500, day, {}, place)]
+            if not last and r.random() < 0.3:
+                legs.append((r.choice(["rail", "card"]), f"C{g}", 500, 1, {}, place))
+            groups.append(legs)
+            continue
+        amounts = [r.randrange(10_000, 90_000) for _ in range(r.choice([1, 2, 3, 4, 8, 30]))]
+        target = sum(r.sample(amounts, min(len(amounts), r.choice([2 if last else 1, 2, 3, 6, 6])))) + r.choice([0, 0, 3, 500_000])
+        parts = [("ledger", f"P{g}-{k}", a, r.choice([0, 0, 0, 1, 4]), {"batch_ref": key}, place) for k, a in enumerate(amounts)]
+        settlement = ("rail", key, target, 1, {}, place) if r.random() < 0.6 else ("rail", f"S{g}", target, 1, {"batch_ref": key}, place)
+        groups.append([*parts, settlement] if last else r.sample([*parts, settlement], len(parts) + 1))
+    # Groups arrive interleaved, each in its own order.
+    rows = []
+    while groups := [x for x in groups if x]:
+        rows.append(r.choice(groups).pop(0))
+    return [leg(n, *x[:5], **x[5]) for n, x in enumerate(rows, 1)]
+
+
+@pytest.mark.parametrize("last", [True, False])
+def test_batches_and_amounts_equal_the_fold(spark, monkeypatch, last):
+    if last:
+        monkeypatch.setattr(resolve, "_components", lambda *_: (_ for _ in ()).throw(AssertionError("legs went to the fold")))
+    state, rules = State.empty(spark), set()
+    rows = batches(5, last)
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        want = serially(state, legs_of(spark, part))
+        changes = ingest(legs_of(spark, part), state, Rules(), at())
+        assert settled_by(changes)[:4] == want[:4]
+        rules |= {x[1] for x in want[0].values()}
+        state = settled(apply(state, changes))
+    assert {S.T2_AMOUNT_DATE, S.T3_SUBSET} <= rules

@@ -1,4 +1,5 @@
-"""A feed with a published mix of outcomes: 200 legs, of which 191 match by themselves."""
+"""A feed with a published mix of outcomes, in an order drawn at random: 200 legs, of which 191
+match by themselves."""
 
 import random
 
@@ -14,36 +15,52 @@ RULES = Rules()
 # How many matches by each rule and breaks of each category the mix gives.
 BY_RULE = {S.T1_EXACT: 76, S.T2_REF: 9, S.T2_AMOUNT_DATE: 2, S.T3_SUBSET: 4}
 BY_CATEGORY = {"duplicate": 1, "fee": 1, "fx_drift": 1, "missing_counterparty": 2, "timing": 1}
+#: Legs that the batches leave for their parts, so that there are 200 in all.
+PARTS = 13
 
 
 def mix(seed):
-    """Ledger legs first, then the rail's, its settlements of batches, and one sent again.
-    No two amounts are equal."""
+    """What each outcome needs, with all else drawn: amounts (no two alike), dates, windows,
+    differences, the sizes of batches and the order of arrival."""
     r = random.Random(seed)
-    amounts = iter(r.sample(range(6_000, 400_000), 120))
-    ledger, rail, settlements = [], [], []
+    amounts, names = iter(r.sample(range(20_000, 900_000), 300)), iter(r.sample(range(10**6), 300))
+    rows = []
 
-    def pair(kind, n, change=lambda a: a, ref=lambda r: r, day=1, ccy=None, attrs=None):
-        for k in range(n):
-            amount, name = next(amounts), f"{kind}-{k}"
-            place = {"ccy": "GBP", "cp": "ORBIT"} if k % 3 == 0 else {"ccy": "USD", "cp": "HALO"}
-            ledger.append(("ledger", name, amount, 0, {}, place))
-            if change is not None:
-                rail.append(("rail", ref(name), change(amount), day, attrs or {}, place | ({"ccy": ccy} if ccy else {})))
+    def window():
+        return {"ccy": r.choice(["NOK", "CZK", "PLN"]), "cp": r.choice(["ORBIT", "HALO", "DELTA"])}
 
-    pair("even", BY_RULE[S.T1_EXACT])
-    pair("off", BY_RULE[S.T2_REF], change=lambda a: a + r.choice([-2, -1, 1, 2]))
-    pair("renamed", BY_RULE[S.T2_AMOUNT_DATE], ref=lambda name: f"other-{name}")
-    pair("net", 1, change=lambda a: a - a // 40, attrs={"interchange_minor": "1"})
-    pair("abroad", 1, change=lambda a: a * 9 // 10, ccy="JPY")
-    pair("slow", 1, day=6)
-    pair("alone", BY_CATEGORY["missing_counterparty"], change=None)
-    for k, size in enumerate([3, 3, 3, 4]):
+    def two(amount, other, days, here, there=None, ref=None):
+        own, day = f"N{next(names)}", r.randrange(20)
+        rows.append(("ledger", own, amount, day, {}, here))
+        rows.append(("rail", ref or own, other, day + days, {}, there or here))
+
+    for _ in range(BY_RULE[S.T1_EXACT]):
+        amount = next(amounts)
+        two(amount, amount, r.randint(-2, 2), window())
+    for _ in range(BY_RULE[S.T2_REF]):
+        amount = next(amounts)
+        two(amount, amount + r.choice([-1, 1]) * r.randint(1, amount // 1100), r.randint(-2, 2), window())
+    for _ in range(BY_RULE[S.T2_AMOUNT_DATE]):
+        amount = next(amounts)
+        two(amount, amount, r.randint(-2, 2), window(), ref=f"N{next(names)}")
+    amount = next(amounts)
+    two(amount, amount - amount * r.randint(50, 350) // 10_000, 0, window())  # a fee
+    here, amount = window(), next(amounts)
+    two(amount, amount, 0, here, here | {"ccy": "SEK"})  # another currency
+    amount = next(amounts)
+    two(amount, amount, r.choice([-1, 1]) * r.randint(3, 9), window())  # another time
+    rows += [("ledger", f"N{next(names)}", next(amounts), 0, {}, window()) for _ in range(BY_CATEGORY["missing_counterparty"])]
+
+    while sum(sizes := [r.randint(2, 6) for _ in range(BY_RULE[S.T3_SUBSET])]) != PARTS:
+        pass
+    for size in sizes:
+        key, here, day = f"N{next(names)}", window(), r.randrange(20)
         parts = [next(amounts) for _ in range(size)]
-        ledger.extend(("ledger", f"part-{k}-{n}", a, 0, {"batch_ref": f"lot-{k}"}, {"cp": "HALO"}) for n, a in enumerate(parts))
-        settlements.append(("rail", f"lot-{k}", sum(parts), 1, {}, {"cp": "HALO"}))
-    again = (*rail[0][:4], {"sent": "again"}, rail[0][5])
-    rows = [*ledger, *rail, *settlements, again]
+        rows += [("ledger", f"N{next(names)}", a, day, {"batch_ref": key}, here) for a in parts]
+        rows.append(("rail", key, sum(parts), day, {}, here))
+    again = rows[r.randrange(2 * BY_RULE[S.T1_EXACT])]
+    r.shuffle(rows)
+    rows.insert(r.randint(rows.index(again) + 1, len(rows)), (*again[:4], {"sent": "again"}, again[5]))
     return [leg(n, *x[:5], **x[5]) for n, x in enumerate(rows, 1)]
 
 
@@ -56,7 +73,7 @@ def test_mix_of_outcomes(spark):
     state = settled(apply(state, closed))
     assert {r["rule_id"]: r["n"] for r in views.count_by(state.matches, F.col("rule_id"), "rule_id").collect()} == BY_RULE
     assert {r["category"]: r["n"] for r in views.count_by(state.breaks.where("status = 'open'"), F.col("category"), "category").collect()} == BY_CATEGORY
-    # Matched legs over all legs: those in breaks are the first pair's repeat, the two alone and three pairs.
+    # Matched legs over all legs: those in breaks are the one sent again, the two alone and three pairs.
     found = views.leg_counts(state.legs).first()
     assert found["legs_total"] == 200 and found["legs_open"] == 0 and found["legs_matched"] == 191 and found["auto_match_rate"] == 0.955
     one = state.breaks.where("category = 'fee'").first()["id"]

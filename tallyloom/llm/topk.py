@@ -10,16 +10,16 @@ Vectors become integers, floor(SCALE * x).
    ids and the component matrix, cut into blocks of BLOCK rows whose largest and smallest
    component in every dimension are kept (the term maxima). Queries are packed likewise.
 3. A block's bound for a query is the sum over dimensions of the larger of q * max and
-   q * min. Packs of queries meet the bounds of all groups, many groups a record; a pack and
-   a group go on only if some block's bound reaches some query's k-th score so far.
-4. In such a pair each query's blocks are ordered by bound and scored through their matrix,
-   the best block of all queries first, until a bound falls below the query's k-th score; a
-   block whose bound equals it is scored, since a smaller id would win the tie. A pair
-   yields only rows that reach the first bound, at most k a query, and a ranked window
-   merges them.
-
-The query set meets all rows in blocks; groups, packs and results grow with the input, no
-task holds more than one group and one pack at a time, and what is broadcast is the sample.
+   q * min. TILE groups are a tile and PACKS packs of queries a part; a task has one tile and
+   one part. Each query's blocks of a group are ordered by bound and scored through their
+   matrix, the best block of all queries first, until a bound falls below the query's k-th
+   score; a block whose bound equals it is scored, since a smaller id would win the tie.
+4. A query's k-th score goes from group to group of a tile, so a tile yields at most k rows a
+   query, and only such that reach the first bound. A ranked window merges the tiles.
+
+The query set meets all rows in blocks: groups are sent once a part and queries once a tile,
+what a tile yields grows with queries times tiles, no task holds more than a tile and a part,
+and what is broadcast is the sample, SAMPLE_BYTES at most.
 Blocks are skipped where vectors have structure: groups of like vectors, sparse or
 non-negative ones. In independent random vectors of many dimensions no block of two or more
 rows has a bound below the k-th score, and all are scored.
@@ -50,8 +50,11 @@ BLOCK = 256
 QUERY_PACK = 2048
 SAMPLE = 4096
 CENTRES = 256
-#: Groups whose bounds are in one record.
-BOUNDS = 64
+#: The sample's components, as they are broadcast.
+SAMPLE_BYTES = 64 << 20
+#: Groups of a tile, and packs of queries of a part.
+TILE = 16
+PACKS = 8
 _SALTS = 64
 
 
@@ -76,7 +79,8 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.orderBy(F.xxhash64("k"), "k", "v").limit(SAMPLE).toArrow()
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    found = rows.orderBy(F.xxhash64("k"), "k", "v").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, width))))).toArrow()
     return found.column("k").to_numpy(), _matrix(found.column("v").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.float64())))
 
 
@@ -185,17 +189,39 @@ def _best(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndar
     return order[np.arange(len(order)) - first < k]
 
 
-def search_group(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int, floor: np.ndarray | None = None, block: int = BLOCK):
-    """(query indexes, ids, scores, blocks scored): the best k rows of a group for each
-    query, less those below floor, by query and rank."""
+_whole = np.frompyfunc(int, 1, 1)
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores of two kinds as ones of one kind."""
+    return (a, b) if a.dtype == b.dtype or not len(a) else (_whole(a), _whole(b))
+
+
+def _raise_floor(least: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> None:
+    """least, at the k-th score of the queries that have so many (rows in order of rank)."""
+    ends = np.searchsorted(rows, np.arange(len(least) + 1))
+    full = np.flatnonzero(np.diff(ends) == k)
+    # A float a little below the k-th score where that has no float of its own.
+    kth = scores[ends[full] + k - 1].astype(np.float64)
+    least[full] = np.maximum(least[full], np.where(np.abs(kth) < 2**53, kth, kth - np.abs(kth) * 1e-15))
+
+
+def search_group(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int, floor: np.ndarray | None = None, block: int = BLOCK, before: Found | None = None, limits: tuple[np.ndarray, np.ndarray] | None = None) -> Found:
+    """(query indexes, ids, scores, blocks scored): the best k rows of a group and of those
+    found before for each query, less those below floor, by query and rank. limits: maxima and
+    minima of the blocks, if they are known."""
     width = max(q.shape[1], d.shape[1])
     q, d = _pad(q, width), _pad(d, width)
     starts = list(range(0, len(did), block))
-    bound = bounds(q, np.array([d[s : s + block].max(axis=0) for s in starts]), np.array([d[s : s + block].min(axis=0) for s in starts]))
+    high, low = limits or (np.array([d[s : s + block].max(axis=0) for s in starts]), np.array([d[s : s + block].min(axis=0) for s in starts]))
+    bound = bounds(q, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     qx, dx = _exact(q, d)
     least = np.full(len(qid), -np.inf) if floor is None else floor.astype(np.float64)
-    rows, ids, scores, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, qx.dtype), 0
+    rows, ids, scores, scored = before or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, qx.dtype), 0)
+    if len(rows):
+        _raise_floor(least, rows, scores, k)
     for step in range(len(starts)):
         at = order[:, step]
         active = np.flatnonzero(bound[np.arange(len(qid)), at] >= least)
@@ -211,14 +237,11 @@ def search_group(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray,
             new_rows.append(own[x])
             new_ids.append(did[part][y])
             new_scores.append(s[x, y])
-        rows, ids, scores = np.concatenate(new_rows), np.concatenate(new_ids), np.concatenate(new_scores)
+        new_scores[0], more = _alike(new_scores[0], np.concatenate(new_scores[1:]))
+        rows, ids, scores = np.concatenate(new_rows), np.concatenate(new_ids), np.concatenate([new_scores[0], more]) if len(new_scores[0]) else more
         keep = _best(rows, ids, scores, k)
         rows, ids, scores = rows[keep], ids[keep], scores[keep]
-        ends = np.searchsorted(rows, np.arange(len(qid) + 1))
-        full = np.flatnonzero(np.diff(ends) == k)
-        # A float a little below the k-th score where that has no float of its own.
-        kth = scores[ends[full] + k - 1].astype(np.float64)
-        least[full] = np.maximum(least[full], np.where(np.abs(kth) < 2**53, kth, kth - np.abs(kth) * 1e-15))
+        _raise_floor(least, rows, scores, k)
     return rows, ids, scores, scored
 
 
@@ -237,6 +260,14 @@ def _floors(qid: np.ndarray, q: np.ndarray, sample: tuple[np.ndarray, np.ndarray
     return out
 
 
+def met(groups: DataFrame, packs: DataFrame, n_groups: int, n_packs: int):
+    """Every tile of groups (numbered by at) with every part of packs (numbered by q)."""
+    all_of = lambda n, size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0) // size).cast("long")))
+    left = groups.withColumns({"tile": F.expr(f"at div {TILE}"), "part": all_of(n_packs, PACKS)})
+    right = packs.withColumns({"part": F.expr(f"q div {PACKS}"), "tile": all_of(n_groups, TILE)})
+    return left.groupBy(F.col("tile"), F.col("part")).cogroup(right.groupBy(F.col("tile"), F.col("part")))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of all other rows."""
     spark = vectors.sparkSession
@@ -245,7 +276,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     sample = _sampled(rows)
     centres = sample[1][:CENTRES]
     groups, n_groups = _packed(rows, GROUP, centres, "groups")
-    packs, _ = _packed(asked, QUERY_PACK, centres, "queries")
+    packs, n_packs = _packed(asked, QUERY_PACK, centres, "queries")
     known = spark.sparkContext.broadcast(sample)
 
     def with_floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,40 +289,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
 
     packs = materialize(packs.mapInArrow(with_floor, "q bigint, q_ids binary, q_dims int, q_itemsize int, q_mat binary, q_floor binary"), "packs")
 
-    # The bounds of BOUNDS groups a record.
-    edge = (F.col("at") / BOUNDS).cast("long")
-    limits = groups.groupBy(edge.alias("part")).agg(F.collect_list(F.struct("at", "dims", "itemsize", "high", "low")).alias("limits"))
-    last = max(n_groups - 1, 0) // BOUNDS
-    met = packs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(limits, "part").select("q", "q_ids", "q_dims", "q_itemsize", "q_mat", "q_floor", "limits")
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                q, floor, some = _unpack(row, prefix="q_"), np.frombuffer(row["q_floor"]), []
-                for g in row["limits"]:
-                    if (bounds(q, _unpack(g, "high"), _unpack(g, "low")) >= floor[:, None]).any():
-                        some.append(g["at"])
-                yield pa.RecordBatch.from_arrays([pa.array([row["q"]] * len(some), pa.int64()), pa.array(some, pa.int64())], ["q", "at"])
-
-    pairs = met.mapInArrow(possible, "q bigint, at bigint")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                qid, did = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                own, ids, scores, _ = search_group(qid, _unpack(row, prefix="q_"), did, _unpack(row), k, np.frombuffer(row["q_floor"]))
-                # Scores beyond 64 bits go as nulls and raise if they are among the results.
-                fits = np.abs(scores) < 2**63 if scores.dtype == object else np.ones(len(scores), bool)
-                part = np.where(fits, scores, 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[own]), pa.array(ids), pa.array(part, mask=~fits), pa.array(scores.astype(np.float64))], ["query_id", "vec_id", "score", "about"]
-                )
-
-    found = pairs.join(packs, "q").join(groups.drop("high", "low"), "at").select("q_ids", "q_dims", "q_itemsize", "q_mat", "q_floor", "ids", "dims", "itemsize", "mat").mapInArrow(
-        run, "query_id bigint, vec_id bigint, score bigint, about double"
-    )
+    def run(group_rows: pa.Table, pack_rows: pa.Table) -> pa.Table:
+        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("about", pa.float64())])
+        groups = [(np.frombuffer(g["ids"], np.int64), _unpack(g), (_unpack(g, "high"), _unpack(g, "low"))) for g in sorted(group_rows.to_pylist(), key=lambda g: g["at"])]
+        out = [kinds.empty_table()]
+        for row in pack_rows.to_pylist():
+            qid, q, floor, best = np.frombuffer(row["q_ids"], np.int64), _unpack(row, prefix="q_"), np.frombuffer(row["q_floor"]), None
+            for did, d, limits in groups:
+                best = search_group(qid, q, did, d, k, floor, before=best, limits=limits)
+            own, ids, scores, _ = best or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0)
+            # Scores beyond 64 bits go as nulls and raise if they are among the results.
+            fits = np.abs(scores) < 2**63 if scores.dtype == object else np.ones(len(scores), bool)
+            part = np.where(fits, scores, 0).astype(np.int64)
+            out.append(pa.table([pa.array(qid[own]), pa.array(ids), pa.array(part, mask=~fits), pa.array(scores.astype(np.float64))], schema=kinds))
+        return pa.concat_tables(out)
+
+    found = met(groups, packs, n_groups, n_packs).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint, about double")
     # `about` settles the order only where a score is beyond 64 bits.
     large = F.when(F.col("score").isNull(), F.col("about")).otherwise(0.0)
     best = Window.partitionBy("query_id").orderBy(F.desc(large), F.desc_nulls_last("score"), "vec_id")

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.textbatch import Block, blocks, mix
@@ -216,6 +216,13 @@ def _by_row(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(keys, "key").groupBy(*_ID).agg(F.collect_set("pos").alias(name))
 
 
+def _ranges(c: Column) -> Column:
+    """The distinct ranges (first start above 32 bits, last one below), as an aggregate. A set
+    hashes a long by its two halves' difference, which ranges of one length share, so it
+    holds first start and length."""
+    return F.transform(F.collect_set(c - F.shiftright(c, 32)), lambda x: x + F.shiftright(x, 32))
+
+
 def _bucketed(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, bucketed by row: joins by row don't move it. Its
     name, for the one who drops it."""
@@ -251,11 +258,11 @@ def _removed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     lenders = marked.where("what = 'settled'").select(*_ID, "range", "stretch", F.explode(F.array_compact(F.array("near", "far"))).alias("key")).join(wanted, "key", "left_semi")
     lenders = lenders.groupBy("stretch").agg(F.min(F.struct(*_ID, "range")).alias("x")).select("x.*", F.lit("lent").alias("what"))
     asked = marked.where("what = 'open'").select(*_ID, "range", "what").unionByName(lenders)
-    of = lambda what: F.collect_set(F.when(F.col("what") == what, F.col("range"))).alias(what)
+    of = lambda what: _ranges(F.when(F.col("what") == what, F.col("range"))).alias(what)
     asked = asked.groupBy(*_ID).agg(of("open"), of("lent"))
     windows = materialize(some.select(*_ID, "raw").join(asked, _ID).select(*_ID, "raw", "open", "lent").mapInArrow(_open_windows, "key bigint, _k bigint, _h bigint, pos int"), "windows")
     single = windows.where("pos >= 0").join(_repeated(windows), "key").select(*_ID, (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("pos")).alias("range"))
-    cuts = materialize(marked.where("what = 'settled'").select(*_ID, "range").unionByName(single).groupBy(*_ID).agg(F.collect_set("range").alias("cuts")), "cuts")
+    cuts = materialize(marked.where("what = 'settled'").select(*_ID, "range").unionByName(single).groupBy(*_ID).agg(_ranges(F.col("range")).alias("cuts")), "cuts")
     discard(windows)
     discard(marked)
 

@@ -355,3 +355,29 @@ def test_long_near_copies_link(spark):
     assert neardup.weighted_jaccard(a, b, weights) > 0.95 and neardup.weighted_jaccard(a, other, weights) < 0.1
     got = neardup.classes(frame(spark, [(1, a, "s"), (2, b, "s"), (3, other, "s"), (4, "short", "s")])).collect()
     assert {x["doc_id"]: x["class_id"] for x in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_top_k_of_many_tiles(spark, monkeypatch):
+    """The k-th score goes from group to group: a tile yields k rows a query at most."""
+    rng = np.random.default_rng(9)
+    for name, value in (("GROUP", 16), ("QUERY_PACK", 4), ("TILE", 3), ("PACKS", 2), ("SAMPLE", 6), ("CENTRES", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 12)]) for i in range(500)] + [(600 + i, [0.25] * 12) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    seen = []
+    whole = topk.met
+
+    def counted(groups, packs, n_groups, n_packs):
+        seen.append((-(-n_groups // 3), n_packs))
+        return whole(groups, packs, n_groups, n_packs)
+
+    monkeypatch.setattr(topk, "met", counted)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=4)
+    assert sorted(map(tuple, got.collect())) == plain_top(rows, 4)
+    assert seen[0][0] > 3 and seen[0][1] > 3
+    ids, body = np.arange(500), np.floor(64 * np.array([v for _, v in rows[:500]]))
+    best = None
+    for a in range(0, 500, 100):
+        best = topk.search_group(ids[:10], body[:10], ids[a : a + 100], body[a : a + 100], 4, before=best)
+        assert np.bincount(best[0]).max() <= 4
+    assert best[:3][2].tolist() == topk.search_group(ids[:10], body[:10], ids, body, 4)[2].tolist()

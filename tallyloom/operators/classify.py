@@ -50,6 +50,7 @@ def classify(breaks: DataFrame, rules: Rules, band: FeeBand = FeeBand()) -> Data
     say = F.format_string
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     n = str(rules.value_date_window_days)
+    # Categories, confidences and reasons, as breaks carry them, and their order.
     verdict = (
         F.when(F.size("legs") == 0, _result("unclassified", 0.0, F.lit("no legs")))
         .when(d.isNotNull(), _result("duplicate", 0.95, say('same source "%s" re-used txn_ref "%s" (existing leg %s)', p["source"], p["txn_ref"], d["id"])))

@@ -18,6 +18,7 @@ def parse_date(text: Column) -> Column:
 
 def problems() -> Column:
     """Every reason why a normalised leg isn't valid, in a fixed order."""
+    # The texts, as dead letters carry them.
     checks = [
         (blank(F.col("source")), "source is required"),
         (blank(F.col("txn_ref")), "txn_ref is required"),

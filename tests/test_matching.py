@@ -17,11 +17,11 @@ from tallyloom.operators.resolve import LEG_COLUMNS, State, apply, ingest
 from tallyloom.rules import Rules
 from tallyloom.session import materialize
 
-DAY = dt.date(2026, 9, 15)
+DAY = dt.date(2027, 3, 9)
 FIELDS = "ingest_seq bigint, source string, txn_ref string, amount_minor bigint, currency string, value_date date, direction string, counterparty string, attrs map<string,string>"
 
 
-def leg(seq, source, ref, amount, day=0, attrs=None, ccy="USD", cp="VISA"):
+def leg(seq, source, ref, amount, day=0, attrs=None, ccy="USD", cp="NORD"):
     return (seq, source, ref, amount, ccy, DAY + dt.timedelta(days=day), "debit" if source == "ledger" else "credit", cp, attrs or {})
 
 

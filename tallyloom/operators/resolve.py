@@ -522,19 +522,22 @@ def last_seq(events: DataFrame) -> int:
 
 
 def numbered(events: DataFrame, base: int) -> DataFrame:
-    """events with seq = base + 1, 2, ... by (at_seq, ord): range-partitioned and sorted,
-    then shifted by the counts of earlier partitions, so no task sees them all."""
-    rows = materialize(
-        events.repartitionByRange("at_seq", "ord", "aggregate_id").sortWithinPartitions("at_seq", "ord", "aggregate_id").withColumn("_at", F.monotonically_increasing_id()), "events"
-    )
+    """events with seq = base + 1, 2, ... by (at_seq, ord)."""
+    return gapless(events, ["at_seq", "ord", "aggregate_id"], base, "seq").select("seq", "type", "at", "aggregate_id", "payload")
+
+
+def gapless(rows: DataFrame, order: list[str], base: int, name: str) -> DataFrame:
+    """rows with `name` = base + 1, 2, ... by `order`: range-partitioned and sorted, then
+    shifted by the counts of earlier partitions, so no task sees them all."""
+    at = F.monotonically_increasing_id()
+    rows = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "gapless")
     counts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright("_at", 33)).agg(F.count("*")).collect())  # a row a partition
     before, total = [], base + 1
     for p, n in counts:
         before.append((p, total))
         total += n
     if not before:
-        return rows.select(F.lit(0).cast("long").alias("seq"), "type", "at", "aggregate_id", "payload")
-    offsets = F.broadcast(events.sparkSession.createDataFrame(before, "_p bigint, _before bigint"))
-    return rows.withColumn("_p", F.shiftright("_at", 33)).join(offsets, "_p").select(
-        (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("seq"), "type", "at", "aggregate_id", "payload"
-    )
+        return rows.drop("_at").withColumn(name, F.lit(0).cast("long"))
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "_p bigint, _before bigint"))
+    placed = rows.withColumn("_p", F.shiftright("_at", 33)).join(offsets, "_p")
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_before")

@@ -12,6 +12,9 @@ from tallyloom.functions.columns import age_seconds
 from tallyloom.operators.resolve import State
 from tallyloom.rules import Rules
 
+# Bounds of residuals in a histogram, minor units.
+RESIDUAL_BOUNDS = (0, 1, 2, 5, 10, 25, 50, 100, 500)
+
 
 def leg_counts(legs: DataFrame) -> DataFrame:
     """total, open, matched, in_break and the automatic match rate (open legs left out)."""
@@ -99,10 +102,8 @@ def events_page(events: DataFrame, first: int = 1, limit: int = 100) -> DataFram
 
 def residual_histogram(matches: DataFrame) -> DataFrame:
     """How many matches have an absolute residual up to each bound."""
-    # Bucket bounds, minor units.
-    bounds = (0, 1, 2, 5, 10, 25, 50, 100, 500)
     r = F.abs(F.col("residual_minor"))
-    bucket = F.coalesce(*[F.when(r <= b, F.lit(str(b))) for b in bounds], F.lit("+Inf"))
+    bucket = F.coalesce(*[F.when(r <= b, F.lit(str(b))) for b in RESIDUAL_BOUNDS], F.lit("+Inf"))
     return count_by(matches, bucket, "le")
 
 

@@ -7,8 +7,12 @@ its own size. Every COMPACT versions base=N is written, the whole projections; c
 snapshots before the last snapshot but one are deleted, so a reader has that long. Events
 are never deleted.
 
-A hook is told after each version what it holds (counts by status, rule, category and type
-of event). The counts are observed while the version is written, so they cost no job.
+A hook is told after each version what it holds (counts by status, rule, category, trigger
+and type of event, and the residuals' histogram by tier). The counts are observed while the
+version is written, so they cost no job. `streaming.totals` adds them up.
+
+A sink (`sources.sinks`) follows the store: after each micro-batch, also one that is repeated,
+it takes over the versions that it lacks.
 
 A restarted query that repeats a micro-batch finds its version committed and leaves it, so
 delivery is at least once and effects are exactly once.
@@ -18,25 +22,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom import schema as S
+from tallyloom.operators import classify as C
 from tallyloom.operators import lifecycle
 from tallyloom.operators.normalize import normalize, rejected, valid
-from tallyloom.operators.resolve import Changes, State, ingest, last_seq, numbered, over
+from tallyloom.operators.resolve import Changes, State, Classifier, gapless, ingest, last_seq, numbered, over
+from tallyloom.operators.views import RESIDUAL_BOUNDS
 from tallyloom.rules import Rules
 from tallyloom.session import scratch
 
 PROJECTIONS = {"legs": S.LEG, "matches": S.MATCH, "breaks": S.BREAK}
+TIERS = (1, 2, 3)
 #: Versions between two snapshots.
 COMPACT = 32
 #: What a hook is told: counts of a version, by table.
 Told = dict[str, dict[str, int]]
 # States of legs, categories of breaks and types of events.
 STATUSES = ("open", "matched", "break")
+TRIGGERS = (S.DUPLICATE, S.REF_CONFLICT, S.WINDOW_EXPIRED)
 CATEGORIES = ("duplicate", "fee", "fx_drift", "timing", "missing_counterparty", "unclassified")
 EVENTS = ("leg.ingested", "leg.duplicate", "leg.expired", "match.created", "break.opened", "break.resolved", "window.closed", "replay.started")
 
@@ -44,8 +53,17 @@ EVENTS = ("leg.ingested", "leg.duplicate", "leg.expired", "match.created", "brea
 def _counts() -> dict[str, list[Column]]:
     by = lambda column, values: [F.count_if(F.col(column) == v).alias(v) for v in values]
     rules = (S.T1_EXACT, S.T2_REF, S.T2_AMOUNT_DATE, S.T2_LATE, S.T3_SUBSET)
-    residual = F.coalesce(F.sum(F.abs("residual_minor")), F.lit(0)).alias("residual_minor")
-    return {"legs": by("status", STATUSES), "matches": [*by("rule_id", rules), residual], "breaks": [*by("category", CATEGORIES), *by("status", ("resolved",))], "events": by("type", EVENTS)}
+    off = F.abs("residual_minor")
+    residual = F.coalesce(F.sum(off), F.lit(0)).alias("residual_minor")
+    # T1<=0 counts the matches of tier 1 with a residual of at most 0, and so on.
+    spread = [F.count_if((F.col("tier") == t) & (off <= b)).alias(f"T{t}<={b}") for t in TIERS for b in RESIDUAL_BOUNDS]
+    tiers = [F.count_if(F.col("tier") == t).alias(f"T{t}") for t in TIERS]
+    sums = [F.coalesce(F.sum(F.when(F.col("tier") == t, off)), F.lit(0)).alias(f"T{t} sum") for t in TIERS]
+    opened = [F.count_if((F.col("status") == "open") & (F.col("category") == c) & (F.col("trigger") == t)).alias(f"{c}/{t}") for c in CATEGORIES for t in TRIGGERS]
+    return {
+        "legs": by("status", STATUSES), "matches": [*by("rule_id", rules), residual, *tiers, *sums, *spread],
+        "breaks": [*by("category", CATEGORIES), *by("status", ("resolved",)), *opened], "events": by("type", EVENTS),
+    }
 
 
 class Store:
@@ -107,8 +125,16 @@ class Store:
             newest = each if len(since) == 1 else each.groupBy("id").agg(F.max_by(F.struct(*columns), "_v").alias("x")).select("x.*")
             return over(old, newest.select(columns)) if bases else newest.select(columns)
 
-        events = self.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.EVENT)}, batch bigint").parquet(f"{self.path}/events")
-        return State(*(projection(n, k) for n, k in PROJECTIONS.items()), events.where(F.col("batch") <= version).drop("batch"))
+        return State(*(projection(n, k) for n, k in PROJECTIONS.items()), self.events(-1, version))
+
+    def part(self, name: str, version: int, kind: str = "v") -> DataFrame:
+        """The rows of a projection that a version (v) changed or a snapshot (base) holds."""
+        return self.spark.read.schema(PROJECTIONS[name]).parquet(f"{self.path}/{kind}={version}/{name}")
+
+    def events(self, after: int, version: int) -> DataFrame:
+        """The events of the versions after `after` up to `version`."""
+        ddl = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.EVENT)}, batch bigint"
+        return self.spark.read.schema(ddl).parquet(f"{self.path}/events").where((F.col("batch") > after) & (F.col("batch") <= version)).drop("batch")
 
     def write(self, version: int, steps: list[Changes]) -> Told:
         """The changes of a micro-batch's steps, in their order, as one version; what it
@@ -143,6 +169,10 @@ class Store:
                 self._fs.delete(self._at(f"{kind}={n}"), True)
 
 
+class Follower(Protocol):
+    def follow(self, store: Store) -> list[int]: ...
+
+
 def with_heartbeat(legs: DataFrame) -> DataFrame:
     """The stream of legs and a tick a second, marked in `_tick`: without rows there is no
     micro-batch, and without one no sweep."""
@@ -150,7 +180,7 @@ def with_heartbeat(legs: DataFrame) -> DataFrame:
     return legs.withColumn("_tick", F.lit(False)).unionByName(ticks, allowMissingColumns=True)
 
 
-def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], str], dead_letters: str | None = None, hook: Callable[[int, Told], None] | None = None):
+def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], str], dead_letters: str | None = None, hook: Callable[[int, Told], None] | None = None, sink: Follower | None = None, classifier: Classifier = C.classify):
     """A foreachBatch function: sweep what has expired, then ingest, then call hook(version,
     counts); after a failure between the last two the hook isn't called. Rows need ingest_seq or
     (topic, partition, offset), whose order they arrive in. Where there is nothing to ingest
@@ -173,31 +203,32 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
         legs = valid(rows)
         if "ingest_seq" not in legs.columns:
             order = ["ingested_at", "topic", "partition", "offset"]
-            base = state.legs.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0] + 1
-            # Range partitions are numbered in order, so the id increases along it.
-            legs = legs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ingest_seq", F.lit(base) + F.monotonically_increasing_id())
-        tell(batch_id, store.write(batch_id, [swept, ingest(legs, state, rules, now)]))
+            base = state.legs.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0]
+            legs = gapless(legs, order, base, "ingest_seq")
+        tell(batch_id, store.write(batch_id, [swept, ingest(legs, state, rules, now, classifier)]))
 
     def tell(version: int, told: Told) -> None:
         if hook is not None:
             hook(version, told)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if store.committed(batch_id):
-            return
+        if not store.committed(batch_id):
+            with scratch(store.spark):
+                step(batch, batch_id)
+        if sink is not None:
+            sink.follow(store)
         with scratch(store.spark):
-            step(batch, batch_id)
             store.compact()
 
     return run
 
 
-def start(legs: DataFrame, store: Store, checkpoint: str, rules: Rules, ttl_s: float, clock: Callable[[], str], available_now: bool = False, dead_letters: str | None = None, hook: Callable[[int, Told], None] | None = None) -> StreamingQuery:
-    """Run continuously, sweeping also while no legs arrive, or until what is there has been
-    read."""
+def start(legs: DataFrame, store: Store, checkpoint: str, rules: Rules, ttl_s: float, clock: Callable[[], str], available_now: bool = False, dead_letters: str | None = None, hook: Callable[[int, Told], None] | None = None, sink: Follower | None = None, classifier: Classifier = C.classify, every_s: float = 30) -> StreamingQuery:
+    """Run continuously, a micro-batch and a sweep every every_s seconds, also while no legs
+    arrive; or until what is there has been read."""
     legs = legs if available_now else with_heartbeat(legs)
-    writer = legs.writeStream.foreachBatch(micro_batch(store, rules, ttl_s, clock, dead_letters, hook)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+    writer = legs.writeStream.foreachBatch(micro_batch(store, rules, ttl_s, clock, dead_letters, hook, sink, classifier)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{every_s} seconds")).start()
 
 
 __all__ = ["Changes", "Store", "micro_batch", "start", "with_heartbeat"]

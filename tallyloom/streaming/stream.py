@@ -7,9 +7,10 @@ its own size. Every COMPACT versions base=N is written, the whole projections; c
 snapshots before the last snapshot but one are deleted, so a reader has that long. Events
 are never deleted.
 
-A hook is told after each version what it holds (counts by status, rule, category, trigger
-and type of event, and the residuals' histogram by tier). The counts are observed while the
-version is written, so they cost no job. `streaming.totals` adds them up.
+A hook is told after each version what it holds (counts by status, rule, category and type
+of event; a hook with the attribute `detailed`, also breaks by trigger and the residuals'
+histogram by tier). The counts are observed while the version is written, so they cost no
+job. `streaming.totals` adds them up.
 
 A sink (`sources.sinks`) follows the store: after each micro-batch, also one that is repeated,
 it takes over the versions that it lacks.
@@ -50,20 +51,21 @@ CATEGORIES = ("duplicate", "fee", "fx_drift", "timing", "missing_counterparty",
 EVENTS = ("leg.ingested", "leg.duplicate", "leg.expired", "match.created", "break.opened", "break.resolved", "window.closed", "replay.started")
 
 
-def _counts() -> dict[str, list[Column]]:
+def _counts(detailed: bool = False) -> dict[str, list[Column]]:
     by = lambda column, values: [F.count_if(F.col(column) == v).alias(v) for v in values]
     rules = (S.T1_EXACT, S.T2_REF, S.T2_AMOUNT_DATE, S.T2_LATE, S.T3_SUBSET)
     off = F.abs("residual_minor")
     residual = F.coalesce(F.sum(off), F.lit(0)).alias("residual_minor")
-    # T1<=0 counts the matches of tier 1 with a residual of at most 0, and so on.
-    spread = [F.count_if((F.col("tier") == t) & (off <= b)).alias(f"T{t}<={b}") for t in TIERS for b in RESIDUAL_BOUNDS]
-    tiers = [F.count_if(F.col("tier") == t).alias(f"T{t}") for t in TIERS]
-    sums = [F.coalesce(F.sum(F.when(F.col("tier") == t, off)), F.lit(0)).alias(f"T{t} sum") for t in TIERS]
-    opened = [F.count_if((F.col("status") == "open") & (F.col("category") == c) & (F.col("trigger") == t)).alias(f"{c}/{t}") for c in CATEGORIES for t in TRIGGERS]
-    return {
-        "legs": by("status", STATUSES), "matches": [*by("rule_id", rules), residual, *tiers, *sums, *spread],
-        "breaks": [*by("category", CATEGORIES), *by("status", ("resolved",)), *opened], "events": by("type", EVENTS),
-    }
+    found = {"legs": by("status", STATUSES), "matches": [*by("rule_id", rules), residual], "breaks": [*by("category", CATEGORIES), *by("status", ("resolved",))], "events": by("type", EVENTS)}
+    if detailed:
+        # T1<=0 counts the matches of tier 1 with a residual of at most 0, and so on.
+        for t in TIERS:
+            own = F.col("tier") == t
+            found["matches"] += [F.count_if(own).alias(f"T{t}"), F.coalesce(F.sum(F.when(own, off)), F.lit(0)).alias(f"T{t} sum")]
+            found["matches"] += [F.count_if(own & (off <= b)).alias(f"T{t}<={b}") for b in RESIDUAL_BOUNDS]
+        opened = F.col("status") == "open"
+        found["breaks"] += [F.count_if(opened & (F.col("category") == c) & (F.col("trigger") == t)).alias(f"{c}/{t}") for c in CATEGORIES for t in TRIGGERS]
+    return found
 
 
 class Store:
@@ -136,11 +138,11 @@ class Store:
         ddl = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.EVENT)}, batch bigint"
         return self.spark.read.schema(ddl).parquet(f"{self.path}/events").where((F.col("batch") > after) & (F.col("batch") <= version)).drop("batch")
 
-    def write(self, version: int, steps: list[Changes]) -> Told:
+    def write(self, version: int, steps: list[Changes], detailed: bool = False) -> Told:
         """The changes of a micro-batch's steps, in their order, as one version; what it
         holds."""
         empty, seq = State.empty(self.spark), self.last_seq(self.latest())
-        counts, seen = _counts(), {name: Observation(f"{name}-{version}") for name in (*PROJECTIONS, "events")}
+        counts, seen = _counts(detailed), {name: Observation(f"{name}-{version}") for name in (*PROJECTIONS, "events")}
         for name in PROJECTIONS:
             rows = reduce(over, [getattr(c, name) for c in steps], getattr(empty, name))
             rows.withColumn("_v", F.lit(version).cast("long")).observe(seen[name], *counts[name]).write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
@@ -186,6 +188,8 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
     (topic, partition, offset), whose order they arrive in. Where there is nothing to ingest
     and nothing has expired, no version is written."""
 
+    detailed = getattr(hook, "detailed", False)
+
     def step(batch: DataFrame, batch_id: int) -> None:
         state = store.read(store.latest())
         now = F.lit(clock()).cast("timestamp")
@@ -194,7 +198,7 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
         swept, n = lifecycle.expire(state, rules, now, ttl_s)
         if batch.isEmpty():
             if n:
-                tell(batch_id, store.write(batch_id, [swept]))
+                tell(batch_id, store.write(batch_id, [swept], detailed))
             return
         state = State(*(over(getattr(state, name), getattr(swept, name)) for name in PROJECTIONS), state.events) if n else state
         rows = batch if "problems" in batch.columns else normalize(batch, now)
@@ -205,7 +209,7 @@ def micro_batch(store: Store, rules: Rules, ttl_s: float, clock: Callable[[], st
             order = ["ingested_at", "topic", "partition", "offset"]
             base = state.legs.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0]
             legs = gapless(legs, order, base, "ingest_seq")
-        tell(batch_id, store.write(batch_id, [swept, ingest(legs, state, rules, now, classifier)]))
+        tell(batch_id, store.write(batch_id, [swept, ingest(legs, state, rules, now, classifier)], detailed))
 
     def tell(version: int, told: Told) -> None:
         if hook is not None:

@@ -20,6 +20,8 @@ RULES = (S.T1_EXACT, S.T2_REF, S.T2_AMOUNT_DATE, S.T2_LATE, S.T3_SUBSET)
 
 
 class Totals:
+    detailed = True
+
     def __init__(self) -> None:
         self.version = -1
         self.counts: dict[str, Counter[str]] = {}

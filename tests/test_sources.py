@@ -154,3 +154,23 @@ def test_idle_stream_sweeps(spark, tmp_path):
         q.stop()
     # A tick with nothing to do leaves no version.
     assert len(store.versions()) == 2
+
+
+def test_one_row_group_is_spread(spark, tmp_path):
+    # One row group in a file that is cut into more parts than there are cores.
+    rows = spark.range(60_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "id * 1.5 AS o_totalprice", "timestamp'2026-01-01' AS o_orderdate", "sha2(string(id), 256) AS o_comment")
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        legs = feeds.order_pairs(spark, str(tmp_path))
+        parts = legs.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r[1] for r in parts) == 117_000 and max(r[1] for r in parts) < 117_000 / 4
+
+
+def test_records_are_parsed_once(spark):
+    records = spark.createDataFrame([("rail.legs.v1", 0, 1, b"A", b"{}", None)], "topic string, partition int, offset bigint, key binary, value binary, timestamp timestamp")
+    out = feeds.decode_records(records).where("size(problems) = 0").select("id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +80,27 @@ def logged_legs(events: DataFrame, first: int, last: int) -> DataFrame:
     return rows.select(F.from_json("payload", ddl).alias("x"), "seq").select("x.*", F.col("seq").alias("ingest_seq")).drop("id")
 
 
+def replay_started(state: State, now: Column, first: int = 1) -> tuple[State, int]:
+    """No projections, and the log with the event that a replay adds before it begins; also
+    the number of the last event that is replayed."""
+    spark = state.legs.sparkSession
+    through = last_seq(state.events)
+    start = spark.createDataFrame([(through + 1, "replay.started", "replay", f'{{"from":{max(1, first)},"through":{through}}}')], "seq bigint, type string, aggregate_id string, payload string").withColumn("at", now)
+    return replace(State.empty(spark), events=state.events.unionByName(start.select(state.events.columns))), through
+
+
+def rebuild(state: State, rules: Rules, now: Column, first: int = 1, classifier: Classifier = C.classify) -> tuple[State, int, Changes]:
+    """replay_started, and the changes that the log's legs lead to under `rules`."""
+    started, through = replay_started(state, now, first)
+    legs = valid(normalize(logged_legs(state.events, max(1, first), through), now))
+    return started, through, ingest(legs, started.reset(), rules, now, classifier, log_ingest=False)
+
+
 def replay(state: State, rules: Rules, now: Column, first: int = 1, classifier: Classifier = C.classify) -> tuple[State, DataFrame]:
     """Rebuild the projections from the log under `rules`; also the outcomes. Manual
     resolutions of breaks that come about again are restored."""
-    spark = state.legs.sparkSession
     first = max(1, first)
-    through = last_seq(state.events)
-    start = spark.createDataFrame([(0, 0, "replay.started", "replay", f'{{"from":{first},"through":{through}}}')], "at_seq bigint, ord int, type string, aggregate_id string, payload string").withColumn("at", now)
-    nothing = State.empty(spark)
-    started = apply(State(nothing.legs, nothing.matches, nothing.breaks, state.events), Changes(nothing.legs, nothing.legs, nothing.matches, nothing.breaks, start))
-    legs = valid(normalize(logged_legs(state.events, first, through), now))
-    changes = ingest(legs, started.reset(), rules, now, classifier, log_ingest=False)
+    started, through, changes = rebuild(state, rules, now, first, classifier)
     rebuilt = apply(started, changes)
     payload = F.from_json("payload", "break_id string, reason string, actor string, at timestamp, match_id string").alias("x")
     manual = state.events.where((F.col("type") == "break.resolved") & F.col("seq").between(first, through)).select(payload, "seq").where("x.match_id IS NULL")

@@ -160,3 +160,20 @@ def test_batches_and_amounts_equal_the_fold(spark, monkeypatch, last):
         rules |= {x[1] for x in want[0].values()}
         state = settled(apply(state, changes))
     assert {S.T2_AMOUNT_DATE, S.T3_SUBSET} <= rules
+
+
+def test_an_empty_state_costs_no_join(spark):
+    legs = legs_of(spark, [leg(1, "ledger", "A", 50_000)])
+    fresh = legs.join(State.empty(spark).legs.select("id"), "id", "left_anti")
+    assert "Join" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert fresh.count() == 1 and State.empty(spark).legs.isEmpty()
+
+
+def test_once_each_keeps_first_deliveries(spark):
+    from tallyloom.operators.normalize import once_each
+
+    rows = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 4)], "id string, ingest_seq bigint")
+    first, again = once_each(rows)
+    assert sorted(first.collect()) == [("a", 1), ("b", 4)] and sorted(again.collect()) == [("a", 2), ("a", 3)]
+    # Rows of ids that come once aren't joined with a row for each id.
+    assert "Aggregate" not in first._jdf.queryExecution().optimizedPlan().toString()

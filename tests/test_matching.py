@@ -241,3 +241,12 @@ def test_amount_date_query_takes_all_orders(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
     found = registered.j4_t2_amount_date(spark, str(tmp_path)).collect()
     assert [sorted(x.split(":")[1] for x in r["leg_ids"].split("|")) for r in found] == [["ARN-2", "ORD-2"]]
+
+
+def test_full_batches_move_no_whole_legs(spark):
+    rows = [leg(i, "ledger", f"P{i}", 10 * i, attrs={"batch_ref": "B"}) for i in range(1, 4)] + [leg(4, "rail", "B", 60), leg(5, "rail", "C", 60)]
+    legs = valid(normalize(spark.createDataFrame(rows, FIELDS), at())).withColumns({c: F.lit(None).cast("string") for c in ("status", "match_id", "break_id")})
+    found = tiers.full_batches(legs, Rules())
+    got = found.first()
+    assert found.count() == 1 and len(got["leg_ids"]) == 4 and got["residual_minor"] == 0
+    assert "struct(" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -30,6 +30,8 @@ def bounded_subset(amounts: list[int], target: int, tol: int, least: int, most:
     order = sorted(range(len(amounts)), key=lambda i: -amounts[i])
     if most <= 0 or not order:
         return None
+    if sum(amounts[i] for i in order[:most]) < target - tol:
+        return None  # not even the largest reach it
     chosen: list[int] = []
     resume = [0]
     left, visited, fresh = target, 0, True

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import queries as registered
 from tallyloom import schema as S
+from tallyloom.functions.columns import BLANK, blank, stripped
 from tallyloom.operators import lifecycle, tiers, views
 from tallyloom.operators.fold import fold
 from tallyloom.operators.normalize import normalize, require_valid, valid
@@ -243,6 +244,34 @@ def test_amount_date_query_takes_all_orders(spark, tmp_path):
     assert [sorted(x.split(":")[1] for x in r["leg_ids"].split("|")) for r in found] == [["ARN-2", "ORD-2"]]
 
 
+def test_amount_date_equals_all_pairs_and_normalises_once(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [leg(i, r.choice(["ledger", "rail", "card"]), f"R{r.randrange(150)}", r.randrange(1, 25), r.randrange(40)) for i in range(160)]
+    plans, write = [], tiers.materialize
+    monkeypatch.setattr(tiers, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    legs = legs_of(spark, rows)
+    assert "array_compact" not in (plan := legs._jdf.queryExecution().optimizedPlan().toString()) and "filter(" not in plan
+    found = sorted(sorted(x["leg_ids"]) for x in tiers.amount_date(legs, Rules()).collect())
+    assert sum("sha2" in x for x in plans) <= 1 and not any("sequence(" in x for x in plans)
+    all_, want = legs.collect(), []
+    met = lambda l: [c for c in all_ if c["source"] != l["source"] and (c["currency"], c["counterparty"], c["amount_minor"]) == (l["currency"], l["counterparty"], l["amount_minor"]) and abs((c["value_date"] - l["value_date"]).days) <= 2]
+    known = {(x["txn_ref"], x["source"]) for x in all_}
+    for l in all_:
+        for c in met(l):
+            lone = len(met(l)) == len(met(c)) == 1 and l["ingest_seq"] > c["ingest_seq"] and l["txn_ref"] != c["txn_ref"]
+            if lone and (c["txn_ref"], l["source"]) not in known and (l["txn_ref"], c["source"]) not in known:
+                want.append(sorted([l["id"], c["id"]]))
+    assert found == sorted(want) and len(want) > 3
+
+
+def test_blank_and_stripped_follow_the_patterns(spark):
+    texts = ["", " ", "\t\n", "\n", "\u0085", "\u2028", "\u00a0", "a", " a", "a ", "a\n", "a\u0085", "é", " é ", "\x1c", "\x7f", " \u2028", None, "usd", " usd ", "a b"]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        blank(F.col("t")).alias("a"), (F.col("t").isNull() | F.col("t").rlike(BLANK)).alias("b"), stripped(F.col("t")).alias("c"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("d")
+    )
+    assert all(x["a"] == x["b"] and x["c"] == x["d"] for x in got.collect())
+
+
 def test_full_batches_move_no_whole_legs(spark):
     rows = [leg(i, "ledger", f"P{i}", 10 * i, attrs={"batch_ref": "B"}) for i in range(1, 4)] + [leg(4, "rail", "B", 60), leg(5, "rail", "C", 60)]
     legs = valid(normalize(spark.createDataFrame(rows, FIELDS), at())).withColumns({c: F.lit(None).cast("string") for c in ("status", "match_id", "break_id")})

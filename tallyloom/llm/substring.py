@@ -20,6 +20,12 @@ D. The windows of other anchors, the ends of repeated passages, and the few with
    anchor are counted one by one, together with those of settled anchors that share their
    common bytes, once for each different stretch.
 
+Passages of some 50 words often have less than WINDOW bytes and stay. Whether a text shares one
+with another document is told beside (`shares_passage`), found in the same way over words: the
+windows of PASSAGE words are dealt to their smallest run of PASSAGE_GRAM words, in ranges;
+ranges whose run is in one document only are done, a stretch of a range that is in two settles
+their documents, and only the windows of those left are looked at one by one.
+
 Null and empty texts, and texts shorter than WINDOW, lose nothing. Rows that repeat count
 as starts of their own, so they lose all; a null id is an id like others.
 """
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.textbatch import Block, blocks, mix
+from tallyloom.llm.textbatch import Block, blocks, mix, running_hash, window_hash
 from tallyloom.session import discard, materialize, scratch_path
 
 WINDOW = 400
@@ -43,6 +49,9 @@ TRIGGER = 16
 SPACING = 40
 #: Windows whose first anchor is within NEAR (or REACH) bytes share WINDOW - that many bytes.
 NEAR, REACH = 64, 200
+#: Words of a passage, and of the runs that find candidates.
+PASSAGE = 51
+PASSAGE_GRAM = 10
 _MOST = np.uint64(2**64 - 1)
 _ID = ["_k", "_h"]
 
@@ -192,6 +201,47 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def passage_ranges(block: Block) -> tuple[np.ndarray, ...]:
+    """Windows of PASSAGE words in ranges of one smallest run: document, first and last
+    window (as words of that document), hash of that run and of all words of the range."""
+    start, end = block.words()
+    doc = block.doc_of(start)
+    h = block.span_hash(block.prefix_hash(), start, end)
+    n = max(0, len(h) - PASSAGE + 1)
+    least = _sliding(np.minimum, window_hash(h, PASSAGE_GRAM), PASSAGE - PASSAGE_GRAM + 1, _MOST)[:n]
+    window = np.flatnonzero(doc[:n] == doc[PASSAGE - 1 :]) if n else np.zeros(0, np.int64)
+    new = np.ones(len(window), bool)
+    new[1:] = (np.diff(window) > 1) | (least[window[1:]] != least[window[:-1]])
+    low, high = window[new], window[np.append(new[1:], [True])] if len(window) else window
+    stretch = mix(block.span_hash(running_hash(h), low, high + PASSAGE) + np.uint64(1))
+    before = np.searchsorted(doc, doc[low])
+    return doc[low], low - before, high - before, least[low], stretch
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in blocks(batch.column(2)):
+            doc, low, high, least, stretch = passage_ranges(block)
+            row = pa.array(doc + block.first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(least.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(_range(low, high)), pa.array(stretch.view(np.int64))], ["key", *_ID, "range", "stretch"]
+            )
+
+
+def _passage_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of PASSAGE words to look at, those of texts in question as `open`."""
+    for batch in batches:
+        for k, h, raw, open_, lent in zip(*(batch.column(c).to_pylist() for c in (*_ID, "raw", "open", "lent"))):
+            block = Block(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            words = running_hash(block.span_hash(block.prefix_hash(), *block.words()))
+            at, more = _windows(open_), _windows(lent)
+            both = np.concatenate((at, more))
+            n = len(both)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.span_hash(words, both, both + PASSAGE).view(np.int64)), pa.array(np.full(n, k)), pa.array(np.full(n, h)), pa.array(np.arange(n) < len(at))], ["key", *_ID, "open"]
+            )
+
+
 def _cut(raw: bytes, ranges: list[int]) -> tuple[bytes, int, int]:
     """What stays of a text without the windows of `ranges`, the bytes removed and the runs
     they form."""
@@ -216,6 +266,12 @@ def _by_row(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(keys, "key").groupBy(*_ID).agg(F.collect_set("pos").alias(name))
 
 
+def _across(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of two documents or more, written."""
+    doc = F.xxhash64(*_ID)
+    return materialize(rows.groupBy(key).agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a <> b").select(key), "across")
+
+
 def _ranges(c: Column) -> Column:
     """The distinct ranges (first start above 32 bits, last one below), as an aggregate. A set
     hashes a long by its two halves' difference, which ranges of one length share, so it
@@ -234,6 +290,29 @@ def _bucketed(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def _sharing(texts: DataFrame) -> DataFrame:
+    """The ids of the documents with PASSAGE words in a row that are in another one too. Rows
+    of one id and text are one document."""
+    long = texts.where(F.octet_length("raw") >= 2 * PASSAGE - 1)
+    ranges = materialize(long.select(*_ID, F.col("raw").cast("string")).mapInArrow(_passages, "key bigint, _k bigint, _h bigint, range bigint, stretch bigint"), "ranges")
+    some = materialize(ranges.join(_across(ranges, "key"), "key"), "passages")
+    discard(ranges)
+    settled = materialize(some.join(_across(some, "stretch"), "stretch").select(*_ID).distinct(), "settled")
+    left = some.join(settled, _ID, "left_anti")
+    wanted = materialize(left.select("key").distinct(), "wanted")
+    lenders = some.join(settled, _ID, "left_semi").join(wanted, "key", "left_semi")
+    lenders = lenders.groupBy("stretch").agg(F.min(F.struct(*_ID, "range")).alias("x")).select("x.*", F.lit("lent").alias("what"))
+    asked = left.select(*_ID, "range", F.lit("open").alias("what")).unionByName(lenders)
+    of = lambda what: _ranges(F.when(F.col("what") == what, F.col("range"))).alias(what)
+    asked = asked.groupBy(*_ID).agg(of("open"), of("lent"))
+    windows = materialize(long.select(*_ID, "raw").join(asked, _ID).select(*_ID, "raw", "open", "lent").mapInArrow(_passage_windows, "key bigint, _k bigint, _h bigint, open boolean"), "windows")
+    found = windows.where("open").join(_across(windows, "key"), "key").select(*_ID)
+    sharing = materialize(settled.union(found).distinct(), "sharing")
+    discard(windows)
+    discard(some)
+    return sharing
+
+
 def _removed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     """The rows of remove_repeats(), and the table of texts that they are read from."""
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
@@ -265,6 +344,7 @@ def _removed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     cuts = materialize(marked.where("what = 'settled'").select(*_ID, "range").unionByName(single).groupBy(*_ID).agg(_ranges(F.col("range")).alias("cuts")), "cuts")
     discard(windows)
     discard(marked)
+    sharing = _sharing(texts).withColumn("shares", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,28 +356,30 @@ def _removed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
                 removed.append(gone)
                 spans.append(runs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], ["_id", "kept", "n_bytes", "n_removed", "n_spans"]
+                [batch.column("_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), batch.column("shares_passage")],
+                ["_id", "kept", "n_bytes", "n_removed", "n_spans", "shares_passage"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    full = texts.join(cuts, _ID, "left").select("_id", "raw", "cuts")
-    return full.mapInArrow(run, f"_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"), name
+    full = texts.join(cuts, _ID, "left").join(sharing, _ID, "left").select("_id", "raw", "cuts", F.coalesce("shares", F.lit(False)).alias("shares_passage"))
+    return full.mapInArrow(run, f"_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, shares_passage boolean"), name
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, kept (the bytes that stay, as binary), n_bytes, n_removed, n_spans: a row a row
-    of docs. It is read from a table in the shared folder that stays until that is cleared."""
+    """_id, kept (the bytes that stay, as binary), n_bytes, n_removed, n_spans, shares_passage: a
+    row a row of docs. It is read from a table in the shared folder that stays until that is cleared."""
     return _removed(docs, key, text)[0]
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, the SHA-256 of what stays, whether anything went,
-    and what stays as text (bytes that are no UTF-8 any more become U+FFFD). All scratch
-    tables but the result's are gone afterwards."""
+    whether PASSAGE words in a row are in another document too, and what stays as text (bytes
+    that are no UTF-8 any more become U+FFFD). The texts and the large scratch tables are
+    gone afterwards."""
     rows, name = _removed(docs, key, text)
     out = materialize(
         rows.select(
-            F.col("_id").alias(key), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"),
+            F.col("_id").alias(key), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), "shares_passage",
             F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
         ),
         "repeats",

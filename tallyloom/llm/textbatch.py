@@ -43,6 +43,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def running_hash(values: np.ndarray) -> np.ndarray:
+    """Running polynomial hash of a sequence of uint64, for Block.span_hash()."""
+    power, _ = _power_tables(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], dtype=np.uint64, out=out[1:])
+    return out
+
+
 def utf8_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of len(col) + 1) of a string column; a null has no bytes."""
     if isinstance(col, pa.ChunkedArray):
@@ -73,11 +81,7 @@ class Block:
 
     def prefix_hash(self, data: np.ndarray | None = None) -> np.ndarray:
         """Running polynomial hash; span_hash() cuts any span's hash out of it."""
-        data = self.data if data is None else data
-        power, _ = _power_tables(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64, out=out[1:])
-        return out
+        return running_hash(_BYTE[self.data if data is None else data])
 
     def span_hash(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         _, inverse = _power_tables(len(prefix))

@@ -73,3 +73,28 @@ def test_groups_are_fixed_before_packing(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit(None).cast("string").alias("source")).orderBy(F.rand())
     got = packing.pack(docs, capacity=64, group_rows=50)
     assert sorted(x["doc_id"] for x in got.collect()) == list(range(500))
+
+
+def test_passages_shorter_than_the_window_are_told(spark):
+    r = random.Random(9)
+    base = " ".join(r.choice("abcdefg") * r.randrange(1, 4) for _ in range(400)).split(" ")
+    rows = [(i, " ".join([words(r, r.randrange(40)), *base[a : a + n], words(r, r.randrange(40))]).strip()) for i in range(40) for a, n in [(r.randrange(330), r.choice([20, 49, 50, 51, 52, 70]))]]
+    alone, twice, lines = words(r, 80), words(r, 60), words(r, 51)
+    # One document's own repeat, equal rows, copies, other white space, one word less, few words.
+    rows += [(50, f"{alone} . {alone}"), (51, twice), (51, twice), (52, words(r, 60)), (53, "to " * 90), (54, "it " * 3 + "to " * 51), (55, None), (None, "")]
+    rows += [(60, lines), (61, "x\n" + lines.replace(" ", "\n\t") + " y"), (62, "z " + lines.rpartition(" ")[0])]
+    rows += [(63, rows[43][1]), (64, "short")]
+    seen = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for p in range(len(w) - 50):
+            seen.setdefault(tuple(w[p : p + 51]), set()).add((i, t))
+    want = sorted((i or 0, any(len(seen[tuple((t or "").split()[p : p + 51])]) > 1 for p in range(len((t or "").split()) - 50))) for i, t in rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = substring.digest(docs).collect()
+    assert sorted((x["doc_id"] or 0, x["shares_passage"]) for x in got) == want
+    one = {x["doc_id"]: x for x in got}
+    assert [one[i]["shares_passage"] for i in (50, 51, 60, 61, 62)] == [False, False, True, True, False]
+    assert one[60]["n_removed"] == one[61]["n_removed"] == 0 and one[50]["n_removed"] > 0
+    assert 5 < sum(shared for _, shared in want) < len(want) - 5
+    assert substring.digest(docs.limit(0)).count() == 0

@@ -15,11 +15,18 @@ shares no leg, amount or reference with another is settled by its shape:
 Other clusters (a settlement before its last part, several settlements, references with more
 legs) go to the fold. A window ranks the parts of a batch and keeps those few, so that a
 batch of any size passes through no task whole.
+
+Most batches touch nothing else and are small. `whole_batches` settles those before all other
+steps from a few columns of their legs, so that no whole leg of theirs is moved; what it can't
+be sure of is left to the steps above. It tells references and amounts apart by 64-bit hashes;
+an equal hash by chance only sends a batch the longer way, but for one of two batch keys or
+sources of one amount, about one pair in 2**64.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,6 +89,110 @@ def _shapes(placed: DataFrame, order: Column) -> DataFrame:
     return whole.select("cluster", shape.alias("shape")).where("shape IS NOT NULL")
 
 
+#: Legs of a batch that is settled at once; larger ones go the longer way.
+AT_ONCE = 64
+_KEY = [*WINDOW_KEY, "key"]
+
+
+@dataclass
+class Batches:
+    """What became of whole batches. matched: as in Groups, with some columns of the legs;
+    members: id, ingest_seq and is_new of all their legs; left: the other legs, if any."""
+
+    matched: DataFrame
+    members: DataFrame
+    left: DataFrame | None
+
+
+def _touched(legs: DataFrame, batch_ref: Column, live: Column) -> DataFrame | None:
+    """The keys of legs that may meet another leg by a reference, by a second batch or, outside
+    of their key, by an amount; None if there are none."""
+    ref, batch, amount = F.xxhash64("txn_ref"), F.xxhash64(batch_ref), F.xxhash64(*WINDOW_KEY, "amount_minor")
+    uses = F.array(
+        F.struct(ref.alias("h"), F.lit(1).alias("n"), (batch_ref != "").alias("own"), F.lit(False).alias("named")),
+        F.struct(batch.alias("h"), F.lit(0).alias("n"), F.lit(False).alias("own"), F.lit(True).alias("named")),
+    )
+    uses = legs.select(F.explode(F.when(batch_ref != "", uses).otherwise(F.slice(uses, 1, 1))).alias("u")).select("u.*")
+    met = uses.groupBy("h").agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.max("named").alias("named"))
+    met = materialize(met.where("n > 1 OR (own AND named)").select("h"), "met")
+    source, key = F.xxhash64("source"), F.xxhash64("key")
+    priced = legs.where(live).groupBy(amount.alias("h")).agg(
+        F.min(source).alias("s0"), F.max(source).alias("s1"), F.min(key).alias("k0"), F.max(key).alias("k1"), F.max("is_new").alias("is_new")
+    )
+    priced = materialize(priced.where("is_new AND s0 <> s1 AND k0 <> k1").select("h"), "priced")
+    found = []
+    if not met.isEmpty():
+        found.append(legs.withColumn("h", F.explode(F.array(ref, batch))).join(met, "h", "left_semi").select(_KEY))
+    if not priced.isEmpty():
+        found.append(legs.where(live).withColumn("h", amount).join(priced, "h", "left_semi").select(_KEY))
+    return reduce(DataFrame.unionByName, found).distinct() if found else None
+
+
+def whole_batches(legs: DataFrame, batch_ref: Column, order: Column, rules: Rules) -> Batches:
+    """legs: the new ones and those of the state that they can meet."""
+    keyed = legs.withColumn("key", F.when(batch_ref != "", batch_ref).otherwise(F.col("txn_ref")))
+    live = F.col("is_new") | F.coalesce(F.col("status") == "open", F.lit(False))
+    touched = _touched(keyed, batch_ref, live)
+    canonical = Window.partitionBy(*_KEY).orderBy("value_date", "txn_ref", "id")
+    some = keyed.select(*_KEY, "value_date", "txn_ref", "id", "source", "ingest_seq", "amount_minor", "is_new", live.alias("live"), (batch_ref != "").alias("part"))
+    some = some.withColumn("_n", F.row_number().over(canonical)).where(F.col("_n") <= AT_ONCE + 1)
+    row = F.struct("id", "source", "ingest_seq", "amount_minor", "value_date", "is_new", "part", "currency")
+    each = some.groupBy(*_KEY).agg(
+        F.count("*").alias("m"), F.min("live").alias("live"), F.max("is_new").alias("new"), F.max("part").alias("batch"),
+        F.max_by(row, order).alias("leg"), F.array_sort(F.collect_list(F.struct("_n", row.alias("x")))).alias("all"),
+    )
+    l = F.col("leg")
+    each = each.withColumn("others", F.filter(F.transform("all", lambda p: p["x"]), lambda x: x["id"] != l["id"])).drop("all")
+    quiet = F.forall("others", lambda x: x["source"] == l["source"])
+    one = F.forall("others", lambda x: (x["source"] != l["source"]) & (x["source"] == F.get("others", F.lit(0))["source"]) & (x["amount_minor"] != l["amount_minor"]))
+    pair = (F.col("m") == 2) & ~quiet
+    clean = (F.col("m") <= AT_ONCE) & F.col("live") & F.col("new") & F.col("batch") & (quiet | one | pair)
+    if touched is not None:
+        each = each.join(touched.withColumn("touched", F.lit(True)), _KEY, "left")
+        clean = clean & F.col("touched").isNull()
+    each = each.withColumn("clean", clean)
+    own = lambda c: F.when(F.col("clean"), F.col(c)).alias(c)
+    each = materialize(each.select(*_KEY, "clean", own("leg"), own("others")), "batches")
+    n, n_clean = each.agg(F.count("*"), F.count_if("clean")).first()
+    left = None
+    if n_clean < n:  # by the fewer keys
+        by = each.where("NOT clean" if 2 * n_clean > n else "clean").select(_KEY)
+        left = materialize(keyed.join(by, _KEY, "left_semi" if 2 * n_clean > n else "left_anti").select(legs.columns), "left")
+    each = each.where("clean")
+    members = each.select(F.explode(F.array_append("others", l)).alias("x")).select("x.id", "x.ingest_seq", "x.is_new")
+
+    # Two legs of one amount, which no other leg has in two sources, meet by it.
+    c = F.get("others", F.lit(0))
+    alike = (F.size("others") == 1) & (c["source"] != l["source"]) & (c["amount_minor"] == l["amount_minor"]) & within_days(c["value_date"], l["value_date"], rules)
+    pairs = each.where(alike).select("leg", "others", F.lit(2).alias("tier"), F.lit(S.T2_AMOUNT_DATE).alias("rule_id"), F.lit(0.75).alias("confidence"))
+
+    near = F.filter("others", lambda x: x["part"] & (x["source"] != l["source"]) & within_days(x["value_date"], l["value_date"], rules))
+    pool = each.select("leg", F.slice(near, 1, rules.t3_max_candidates).alias("pool"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: F.try_add(a, x))
+    amounts, most, target = F.transform("pool", lambda x: x["amount_minor"]), rules.t3_max_subset, l["amount_minor"]
+    tol = tolerance(target, rules)
+    small = F.size("pool") < 2
+    unreached = total(F.slice(F.sort_array(amounts, asc=False), 1, most)) < target - tol
+    # The search takes larger amounts first: all of them, unless they do without the smallest.
+    lesser = (F.size("pool") > 2) & (F.abs(total(amounts) - F.array_min(amounts) - target) <= tol)
+    entire = (F.size("pool") <= most) & (F.abs(total(amounts) - target) <= tol) & ~lesser
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    entire, hopeless = sure(entire) & ~small, small | sure(unreached)
+    found = pool.where(entire).select("leg", F.col("pool").alias("others"))
+    hard = pool.where(~entire & ~hopeless)
+    if not hard.isEmpty():
+        taken = hard.select("leg", "pool", _subset(most)(amounts, target, tol).alias("taken")).where("taken IS NOT NULL")
+        found = found.unionByName(materialize(taken.select("leg", F.transform("taken", lambda i: F.element_at("pool", i + 1)).alias("others")), "searched"))
+    return Batches(pairs.unionByName(_settled(found, rules)), members, left)
+
+
+def _settled(found: DataFrame, rules: Rules) -> DataFrame:
+    """leg, others of settlements and what they take, with tier, rule and confidence."""
+    residual = F.aggregate("others", F.lit(0).cast("long"), lambda a, p: a + p["amount_minor"]) - F.col("leg.amount_minor")
+    confidence = tolerant_confidence(residual, tolerance(F.col("leg.amount_minor"), rules)) - F.lit(0.1)
+    return found.select("leg", "others", F.lit(3).alias("tier"), F.lit(S.T3_SUBSET).alias("rule_id"), confidence.alias("confidence"))
+
+
 def _subset(most: int):
     """Positions of the legs that a settlement takes; null if there are none."""
 
@@ -115,8 +226,6 @@ def settle(rest: DataFrame, amounts: DataFrame | None, batch_ref: Column, order:
     tol = tolerance(F.col("leg.amount_minor"), rules)
     taken = _subset(rules.t3_max_subset)(F.transform("pool", lambda p: p["amount_minor"]), F.col("leg.amount_minor"), tol).alias("taken")
     found = pool.select("leg", "pool", taken).where("taken IS NOT NULL").select("leg", F.transform("taken", lambda i: F.element_at("pool", i + 1)).alias("others"))
-    residual = F.aggregate("others", F.lit(0).cast("long"), lambda a, p: a + p["amount_minor"]) - F.col("leg.amount_minor")
-    batches = found.select("leg", "others", F.lit(3).alias("tier"), F.lit(S.T3_SUBSET).alias("rule_id"), (tolerant_confidence(residual, tol) - F.lit(0.1)).alias("confidence"))
     return Groups(
-        materialize(pairs.unionByName(batches), "grouped"), shaped.where("is_new").select(*columns), shaped.select("txn_ref").distinct()
+        materialize(pairs.unionByName(_settled(found, rules)), "grouped"), shaped.where("is_new").select(*columns), shaped.select("txn_ref").distinct()
     )
